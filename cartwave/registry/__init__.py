@@ -1,0 +1,16 @@
+"""All registered queries with their check SQL."""
+
+from __future__ import annotations
+
+from functools import cache
+
+from cartwave.registry.base import Registry
+
+
+@cache
+def registry() -> Registry:
+    from cartwave.registry import purchase
+
+    r = Registry()
+    purchase.register(r)
+    return r
