@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 8, app: str = "cartwave") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.debug.maxToStringFields", "400")
         .getOrCreate()
     )
@@ -45,12 +46,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cartwave/{uuid.uuid4().hex}/{name}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *even_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Ends the lineage of iterative work: a lost executor costs a re-read, not a
+    ``even_by`` stores it in even parts by a hash of these columns.  Ends the lineage of iterative work: a lost executor costs a re-read, not a
     re-run of every earlier round.
     """
     path = fresh_path(df.sparkSession, "cut")
+    if even_by:
+        df = df.repartition(*even_by)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for a table stored in fewer files than there are cores.
+
+    A table with enough partitions is left where it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cartwave.functions.geo import haversine
+from cartwave.session import spread_out
 
 SLOTS = 7
 
@@ -70,11 +71,8 @@ def star_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stations = star_stations(spark, sf_dir)
     count = stations.agg(F.count(F.lit(1)).alias("n")).scalar()
-    events = (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .select("event_id", "user_id", "ts")
-        .withColumn("_n", count)
-    )
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    events = spread_out(events, "event_id").withColumn("_n", count)
     slots = []
     for i in range(1, SLOTS + 1):
         cell = f"(event_id * 31 + {(i - 1) * 17}) % _n"
