@@ -32,19 +32,23 @@ def _running(counts: DataFrame, groups: Sequence[str], by: str, n: str = "_n") -
     )
 
 
-def upper_median(
+def value_at(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
-    name: str = "median",
+    position: Column,
+    name: str,
     width: float = ERROR_WIDTH,
 ) -> DataFrame:
-    """Per group the value at position floor(n/2) of the sorted values."""
+    """Per group the value at one position (from 0) of the sorted values.
+
+    ``position`` may use ``_total``, the number of values in the group.
+    """
     groups = list(groups)
     rows = df.where(F.col(value).isNotNull()).select(*groups, value)
     rows = rows.withColumn("_b", _bucket(value, width))
     counts = rows.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = F.floor(F.col("_total") / 2)
+    wanted = position
     picked = (
         _running(counts, groups, "_b")
         .where((F.col("_before") <= wanted) & (wanted < F.col("_before") + F.col("_n")))
@@ -63,6 +67,23 @@ def upper_median(
     return ranked.where(hit).select(*groups, F.col(value).alias(name))
 
 
+def upper_median(
+    df: DataFrame, groups: Sequence[str], value: str, name: str = "median"
+) -> DataFrame:
+    """Per group the value at position floor(n/2) of the sorted values."""
+    return value_at(df, groups, value, F.floor(F.col("_total") / 2), name)
+
+
+def middle_median(
+    df: DataFrame, groups: Sequence[str], value: str, name: str = "median"
+) -> DataFrame:
+    """Per group the usual median: the mean of the two middle values."""
+    low = value_at(df, groups, value, F.floor((F.col("_total") - 1) / 2), "_low")
+    high = upper_median(df, groups, value, "_high")
+    both = low.join(high, list(groups))
+    return both.select(*groups, ((F.col("_low") + F.col("_high")) / 2).alias(name))
+
+
 def sorted_runs(
     df: DataFrame, groups: Sequence[str], value: str, width: float = ERROR_WIDTH
 ) -> DataFrame:

@@ -9,8 +9,9 @@ from cartwave.registry.base import Registry
 
 @cache
 def registry() -> Registry:
-    from cartwave.registry import purchase
+    from cartwave.registry import purchase, signal
 
     r = Registry()
     purchase.register(r)
+    signal.register(r)
     return r
