@@ -8,18 +8,34 @@ stations borrow.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
+from pyspark.ml.classification import (
+    DecisionTreeClassifier,
+    GBTClassifier,
+    NaiveBayes,
+    RandomForestClassifier,
+)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from cartwave.functions.columns import drop_containing, feature_columns
+from cartwave.functions.geo import Grid
+from cartwave.learners.boosting import BoostedClassifier
 from cartwave.learners.forest import fit_grouped_forest
+from cartwave.learners.models import Neighbours
 from cartwave.operators.joins import spread_join
-from cartwave.operators.metrics import first_of_group, with_distance
-from cartwave.operators.ranking import take_smallest, upper_median
-from cartwave.operators.sampling import repeated_splits
+from cartwave.operators.metrics import (
+    first_of_group,
+    top_cell_scores,
+    top_values,
+    with_distance,
+)
+from cartwave.operators.ranking import sorted_curve, take_smallest, upper_median
+from cartwave.operators.sampling import repeated_splits, with_split
 from cartwave.operators.stations import MAIN, distinct_stations, with_absolute, with_offsets
 from cartwave.session import cut
 
@@ -229,6 +245,128 @@ def forest_errors(
     return finish(scored, fallback_offsets(train))
 
 
+# -- grid cells ------------------------------------------------------------------
+
+CELL_BOARD = (
+    "Name string, Time double, Recall double, F double, Precision double, "
+    "`Overall Precision` double, `Median Error` double"
+)
+
+
+class FrequentCells:
+    """One-against-rest boosting on the most frequent cells.
+
+    Boosted trees are binary in Spark, so one model per cell is fitted for the
+    ``cells`` most frequent cells only; records of other cells train as "rest".
+    """
+
+    def __init__(self, estimator, cells: int = 10):
+        self.estimator, self.cells = estimator, cells
+
+    def fit(self, df: DataFrame):
+        top = [r["target"] for r in top_values(df, "target", self.cells).collect()]
+        models = [
+            (c, self.estimator.fit(df.withColumn("target", (F.col("target") == c).cast("double"))))
+            for c in top
+        ]
+        return _FrequentCellsModel(models)
+
+
+class _FrequentCellsModel:
+    def __init__(self, models):
+        self.models = models
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out, votes = df, []
+        for i, (cell, model) in enumerate(self.models):
+            out = model.transform(out)
+            # binary models of both kinds end with a score of class 1
+            if "probability" in out.columns:
+                score = vector_to_array("probability")[1]
+                spare = ["rawPrediction", "probability", "prediction"]
+            else:
+                score, spare = F.col("prediction"), ["prediction"]
+            out = out.withColumn(f"_s{i}", score).drop(*spare)
+            votes.append(
+                F.struct(F.col(f"_s{i}").alias("s"), F.lit(-i).alias("i"), F.lit(float(cell)).alias("c"))
+            )
+        best = F.greatest(*votes) if len(votes) > 1 else votes[0]
+        return out.withColumn("prediction", best["c"]).drop(*[f"_s{i}" for i in range(len(votes))])
+
+
+def cell_models(rounds: dict[str, int] = {"ada": 50, "gbt": 10}) -> list[tuple[str, object]]:
+    """The seven position classifiers; trees keep a limited depth for so many cells."""
+    label = {"labelCol": "target", "seed": 0}
+    return [
+        ("GaussianNB", NaiveBayes(modelType="gaussian", labelCol="target")),
+        ("KNeighborsClassifier", Neighbours(3)),
+        ("DecisionTreeClassifier", DecisionTreeClassifier(maxDepth=10, **label)),
+        ("AdaBoostClassifier", FrequentCells(BoostedClassifier(rounds=rounds["ada"]))),
+        ("RandomForestClassifier", RandomForestClassifier(numTrees=10, maxDepth=8, **label)),
+        ("BaggingClassifier", RandomForestClassifier(
+            numTrees=10, featureSubsetStrategy="all", maxDepth=8, **label)),
+        ("GradientBoostingClassifier", FrequentCells(
+            GBTClassifier(maxIter=rounds["gbt"], maxDepth=3, **label))),
+    ]
+
+
+def rank_cell_models(
+    models: Sequence[tuple[str, object]], table: DataFrame, grid: Grid, splits: int = 10
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Cell scores and distance errors per model, averaged over the splits.
+
+    Cells are indexed by frequency for training and turned back into cell ids.
+    Returns the leaderboard and each model's test errors (``split``, ``dist``).
+    """
+    spark = table.sparkSession
+    vectors = VectorAssembler(inputCols=position_features(table), outputCol="features").transform(
+        table
+    ).select("row_id", "Latitude_m", "Longitude_m", "Target", "features")
+    indexed = StringIndexer(inputCol="Target", outputCol="target_index").fit(vectors)
+    names = F.array(*[F.lit(int(x)) for x in indexed.labels])
+    known = cut(
+        indexed.transform(vectors)
+        .withColumnRenamed("Target", "cell")
+        .withColumnRenamed("target_index", "target")
+    )
+    rows, errors = [], {}
+    for name, model in models:
+        try:
+            scores, parts, spent = [], None, 0.0
+            for split in range(splits):
+                start = time.time()
+                marked = with_split(known, ["row_id"], split)
+                fitted = model.fit(marked.where("is_test = 0").select("features", "target"))
+                asked = marked.where("is_test = 1").select(
+                    "row_id", "Latitude_m", "Longitude_m", "cell", "features"
+                )
+                scored = fitted.transform(asked).withColumn(
+                    "pred_cell", F.get(names, F.col("prediction").cast("int"))
+                )
+                lat, lon = grid.centre_of(F.col("pred_cell"))
+                placed = with_distance(
+                    scored.withColumns({"pred_latitude": lat, "pred_longitude": lon})
+                ).select(F.lit(split).alias("split"), "row_id", "cell", "pred_cell", "dist")
+                placed = cut(placed)
+                scores.append(top_cell_scores(placed, "cell", "pred_cell").first())
+                parts = placed if parts is None else parts.unionByName(placed)
+                spent += time.time() - start
+            curve = sorted_curve(parts, ["split"], "dist").groupBy("rank").agg(
+                F.avg("dist").alias("dist")
+            )
+            middle = upper_median(curve.withColumn("model", F.lit(name)), ["model"], "dist")
+            mean = {c: sum(s[c] for s in scores) / splits for c in scores[0].asDict()}
+            rows.append((
+                name, spent / splits, mean["recall"], mean["f"], mean["precision"],
+                mean["accuracy"], middle.first()["median"],
+            ))
+            errors[name] = parts
+        except Exception as problem:  # noqa: BLE001 - a failing model is reported, not fatal
+            print(f"{name} skipped: {str(problem)[:300]}")
+    board = spark.createDataFrame(rows, CELL_BOARD)
+    return board.orderBy(F.col("Median Error").desc(), "Name"), errors
+
+
 # -- comparison -----------------------------------------------------------------
 
 

@@ -9,9 +9,10 @@ from cartwave.registry.base import Registry
 
 @cache
 def registry() -> Registry:
-    from cartwave.registry import purchase, signal
+    from cartwave.registry import learning, purchase, signal
 
     r = Registry()
     purchase.register(r)
     signal.register(r)
+    learning.register(r)
     return r
