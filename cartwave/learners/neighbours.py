@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cartwave.operators.sampling import key_hash
 from cartwave.session import cut
 
-# number of pivots and rows per block: both fixed, whatever the data
-PIVOTS = 64
+# most pivots and most rows per block: both fixed, whatever the data
+PIVOTS = 128
 BLOCK = 4096
 SALTS = 64
 
@@ -131,10 +131,11 @@ def nearest(
     reduced = cut(reduced)
     asked = cut(test.select(F.col(test_key).alias("test_id"), x.alias("x")))
 
-    # a fixed number of vectors, chosen by hash
+    # a bounded number of vectors, chosen by hash; small tables need one cell only
+    cells = max(1, min(PIVOTS, reduced.count() // BLOCK))
     chosen = (
         reduced.groupBy("x").agg(F.min("key").alias("key"))
-        .withColumn("_h", key_hash(["key"], 0)).orderBy("_h", "key").limit(PIVOTS)
+        .withColumn("_h", key_hash(["key"], 0)).orderBy("_h", "key").limit(cells)
     )
     pivots = np.array([r["x"] for r in chosen.select("x").collect()], dtype=float)
     if len(pivots) == 0:
@@ -154,13 +155,15 @@ def nearest(
     block_keys = ["tcell", "tblock", "scell", "sblock"]
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = (
-        asked.join(table, asked.cell == table.tcell)
+        asked.withColumnRenamed("cell", "tcell")
+        .join(table, "tcell")
         .withColumn("tblock", F.pmod(F.xxhash64("test_id"), F.col("tblocks")))
         .withColumn("sblock", every("sblocks"))
         .select(*block_keys, "test_id", "x")
     )
     right = (
-        reduced.join(table, reduced.cell == table.scell)
+        reduced.withColumnRenamed("cell", "scell")
+        .join(table, "scell")
         .withColumn("sblock", F.pmod(F.xxhash64("key"), F.col("sblocks")))
         .withColumn("tblock", every("tblocks"))
         .select(*block_keys, "key", "label", "x")
