@@ -62,15 +62,19 @@ def slot_lookup(
 
 
 def with_positions(
-    reports: DataFrame, stations: DataFrame, row_id: str = "row_id", small_rows: int = NARROW_ROWS
+    reports: DataFrame,
+    stations: DataFrame,
+    row_id: str = "row_id",
+    small_rows: int = NARROW_ROWS,
+    slots: Sequence[int] = range(1, SLOTS + 1),
 ) -> DataFrame:
-    """Add Longitude_i and Latitude_i of the seven stations of a report."""
+    """Add Longitude_i and Latitude_i of the stations of a report."""
     return slot_lookup(
         reports,
         stations.dropDuplicates(["RNCID", "CellID"]),
         ["RNCID", "CellID"],
         ["Longitude", "Latitude"],
-        range(1, SLOTS + 1),
+        slots,
         row_id,
         small_rows,
     )
@@ -89,10 +93,17 @@ def fill_from_main(df: DataFrame) -> DataFrame:
 
 
 def with_cells(
-    df: DataFrame, lat: str = "Latitude", lon: str = "Longitude", cell: int = CELL_METRES
+    df: DataFrame,
+    lat: str = "Latitude",
+    lon: str = "Longitude",
+    cell: int = CELL_METRES,
+    extent: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``Target``, the grid cell of the true position."""
-    grid = grid_of(df, lat, lon, cell)
+    """Add ``Target``, the grid cell of the true position.
+
+    ``extent`` holds the same positions where they are cheaper to read than in ``df``.
+    """
+    grid = grid_of(df if extent is None else extent, lat, lon, cell)
     return df.withColumn("Target", grid.cell_of(F.col(lat), F.col(lon)))
 
 
@@ -101,9 +112,10 @@ def training_table(
     stations: DataFrame,
     fill_with_zero: bool = True,
     row_id: str = "row_id",
+    extent: DataFrame | None = None,
 ) -> DataFrame:
     """Reports with grid cell, renamed truth, station positions and no nulls."""
-    labelled = with_cells(reports).withColumnsRenamed(
+    labelled = with_cells(reports, extent=extent).withColumnsRenamed(
         {"Longitude": "Longitude_m", "Latitude": "Latitude_m"}
     )
     placed = with_positions(labelled, stations, row_id)

@@ -10,17 +10,15 @@ from cartwave.functions.geo import grid_of
 from cartwave.learners import models as ml
 from cartwave.learners.neighbours import average, nearest, vote
 from cartwave.operators import labels, metrics, sampling
-from cartwave.operators import stations as st
 from cartwave.plans import datasets as ds
 from cartwave.plans import positioning as pos
 from cartwave.plans import training as tr
 from cartwave.registry import trade_sql as q
 from cartwave.registry.base import Registry, rounded, sql_double, sql_whole
 from cartwave.registry.purchase import light
-from cartwave.registry.signal import errors_of, table_of
+from cartwave.registry.signal import errors_of, extent_of, table_of, training_of
 from cartwave.session import cut, fresh_path
 from cartwave.sources import store
-from cartwave.sources.reports import star_reports, star_stations
 from cartwave.sources.trade import star_trade
 from cartwave.sources.windows import SCORE, TEST, TRAIN, Window
 
@@ -244,8 +242,7 @@ def register(r: Registry) -> None:
     r.add("snk7_error_table", stored_errors, r.sql["jn13_error_table"])
 
     def stored_table(spark, sf):
-        table = st.training_table(star_reports(spark, sf), star_stations(spark, sf))
-        kept = drop_containing(table, pos.NOT_FEATURES)
+        kept = drop_containing(training_of(spark, sf), pos.NOT_FEATURES)
         return rounded(store.read_or_build(spark, fresh_path(spark, "mr"), lambda: kept), 9)
 
     r.add("snk8_training_table", stored_table, r.sql["prj3_drop_by_fragment"])
@@ -361,7 +358,7 @@ def register(r: Registry) -> None:
 
     def cells(spark, sf):
         table = cut(zero_nulls(table_of(spark, sf), keep=("row_id",)), "row_id")
-        grid = grid_of(star_reports(spark, sf), "Latitude", "Longitude")
+        grid = grid_of(extent_of(spark, sf), "Latitude", "Longitude")
         models = [m for m in pos.cell_models() if m[0] in ("GaussianNB", "KNeighborsClassifier")]
         board, _ = pos.rank_cell_models(models, table, grid, splits=1)
         return rounded(board.drop("Time"))

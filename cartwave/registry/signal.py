@@ -19,21 +19,40 @@ SLOT_IDS = range(1, SLOTS + 1)
 POSITIONS = [f"{c}_{i}" for i in SLOT_IDS for c in ("Longitude", "Latitude")]
 
 
+def extent_of(spark, sf_dir) -> DataFrame:
+    """The reports' positions alone."""
+    return star_reports(spark, sf_dir, slots=()).select("Latitude", "Longitude")
+
+
 def table_of(spark, sf_dir) -> DataFrame:
     """Reports joined to their stations, nulls kept."""
-    reports = st.with_cells(star_reports(spark, sf_dir)).withColumnsRenamed(
-        {"Longitude": "Longitude_m", "Latitude": "Latitude_m"}
-    )
+    reports = st.with_cells(
+        star_reports(spark, sf_dir), extent=extent_of(spark, sf_dir)
+    ).withColumnsRenamed({"Longitude": "Longitude_m", "Latitude": "Latitude_m"})
     return st.with_positions(reports, star_stations(spark, sf_dir))
 
 
-def split_rows(spark, sf_dir) -> DataFrame:
-    """Train and test rows of all splits, stored once: several passes read them."""
-    return cut(pos.split_rows(table_of(spark, sf_dir), SPLITS))
+def main_table(spark, sf_dir) -> DataFrame:
+    """Reports joined to their main station only."""
+    reports = star_reports(spark, sf_dir, slots=[1]).select(
+        "row_id", "RNCID_1", "CellID_1",
+        F.col("Longitude").alias("Longitude_m"), F.col("Latitude").alias("Latitude_m"))
+    return st.with_positions(reports, star_stations(spark, sf_dir), slots=[1])
+
 
+def training_of(spark, sf_dir) -> DataFrame:
+    return st.training_table(
+        star_reports(spark, sf_dir), star_stations(spark, sf_dir), extent=extent_of(spark, sf_dir))
 
-def errors_of(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = split_rows(spark, sf_dir)
+
+def errors_of(spark, sf_dir, wide=False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of all splits, scored test records, and the error table.
+
+    The rows are stored once, because several passes read them; ``wide`` keeps all
+    features.
+    """
+    table = training_of(spark, sf_dir) if wide else main_table(spark, sf_dir)
+    rows = cut(pos.split_rows(table, SPLITS))
     scored = pos.mean_offset_errors(rows)
     return rows, scored, pos.error_table(scored)
 
@@ -64,12 +83,12 @@ def register(r: Registry) -> None:
     add("src2_stations", star_stations,
         select(q.STATIONS, ["RNCID", "CellID", *doubles(["Longitude", "Latitude"], 9)], "stations"), 9)
     add("agg15_bounding_box",
-        lambda s, d: bounding_box(star_reports(s, d), "Latitude", "Longitude"),
+        lambda s, d: bounding_box(extent_of(s, d), "Latitude", "Longitude"),
         select(q.GRID, [sql_double(a, b, 9) for a, b in
                         (("la0", "lat_min"), ("la1", "lat_max"), ("lo0", "lon_min"), ("lo1", "lon_max"))],
                "box"), 9)
     add("geo2_grid_size",
-        lambda s, d: grid_spec(star_reports(s, d), "Latitude", "Longitude").select("grid_rows", "grid_cols"),
+        lambda s, d: grid_spec(extent_of(s, d), "Latitude", "Longitude").select("grid_rows", "grid_cols"),
         select(q.GRID, ["rws AS grid_rows", "cls AS grid_cols"], "grid"))
     add("geo1_haversine",
         lambda s, d: table_of(s, d).select("row_id", *[
@@ -79,11 +98,11 @@ def register(r: Registry) -> None:
             sql_double(q.hav("Latitude_m", "Longitude_m", f"Latitude_{i}", f"Longitude_{i}"),
                        f"metres_{i}", 3) for i in (1, 2)]], "joined"))
     add("geo2_grid_label",
-        lambda s, d: st.with_cells(star_reports(s, d)).select("row_id", "Target"),
+        lambda s, d: st.with_cells(star_reports(s, d, slots=())).select("row_id", "Target"),
         select(q.GRID, ["row_id", f"{q.cell('Latitude', 'Longitude')} AS Target"], "reports, grid"))
 
     def station_cells(s, d):
-        grid = grid_of(star_reports(s, d), "Latitude", "Longitude")
+        grid = grid_of(extent_of(s, d), "Latitude", "Longitude")
         return star_stations(s, d).select(
             "RNCID", "CellID", grid.cell_of(F.col("Latitude"), F.col("Longitude")).alias("cell"))
 
@@ -91,7 +110,7 @@ def register(r: Registry) -> None:
         select(q.GRID, ["RNCID", "CellID", f"{q.cell('Latitude', 'Longitude')} AS cell"], "stations, grid"))
 
     def centres(s, d, drift=False):
-        rep = star_reports(s, d)
+        rep = star_reports(s, d, slots=())
         grid = grid_of(rep, "Latitude", "Longitude")
         lat, lon = grid.centre_of(F.col("Target"), drift)
         return st.with_cells(rep).select("row_id", "Target", lat.alias("lat"), lon.alias("lon"))
@@ -102,11 +121,11 @@ def register(r: Registry) -> None:
         add(name, lambda s, d, drift=drift: centres(s, d, drift),
             select(q.GRID, ["row_id", "Target", sql_double(la, "lat", 9), sql_double(lo, "lon", 9)], labelled), 9)
     add("geo5_relative_position",
-        lambda s, d: st.with_offsets(table_of(s, d)).select("row_id", *pos.OFFSETS),
+        lambda s, d: st.with_offsets(main_table(s, d)).select("row_id", *pos.OFFSETS),
         select(q.OFFSETS, ["row_id", sql_double("dlat", "relative_latitude", 9),
                            sql_double("dlon", "relative_longitude", 9)], "offs"), 9)
     add("geo6_absolute_position",
-        lambda s, d: st.with_absolute(st.with_offsets(table_of(s, d)), *pos.OFFSETS)
+        lambda s, d: st.with_absolute(st.with_offsets(main_table(s, d)), *pos.OFFSETS)
         .select("row_id", "pred_latitude", "pred_longitude"),
         select(q.OFFSETS, ["row_id", sql_double("dlat + Latitude_1", "pred_latitude", 9),
                            sql_double("dlon + Longitude_1", "pred_longitude", 9)], "offs"), 9)
@@ -141,17 +160,16 @@ def register(r: Registry) -> None:
             *[f"RSSI_{i}" for i in SLOT_IDS], *POSITIONS]
     whole_kept = {"Num_connected", "Target"}
     add("prj3_drop_by_fragment",
-        lambda s, d: drop_containing(
-            st.training_table(star_reports(s, d), star_stations(s, d)), pos.NOT_FEATURES),
+        lambda s, d: drop_containing(training_of(s, d), pos.NOT_FEATURES),
         select(q.JOINED, ["row_id", *[
             sql_whole(c, c) if c in whole_kept else sql_double(f"coalesce({c}, 0)", c, 9) for c in kept]],
             "joined"), 9)
-    add("prj9_distinct_stations", lambda s, d: st.distinct_stations(table_of(s, d)),
+    add("prj9_distinct_stations", lambda s, d: st.distinct_stations(main_table(s, d)),
         select(q.JOINED, ["DISTINCT " + "RNCID_1", "CellID_1", *doubles(["Latitude_1", "Longitude_1"], 9)],
                "joined"), 9)
 
     def one_position(s, d):
-        table = table_of(s, d)
+        table = main_table(s, d)
         first = table.agg(F.min(F.struct("CellID_1", "RNCID_1")).alias("k")).first()["k"]
         return st.station_position(table, first["RNCID_1"], first["CellID_1"])
 
@@ -160,7 +178,7 @@ def register(r: Registry) -> None:
                           sql_double("Longitude_1", "Longitude_1", 9)], "joined",
                "WHERE CellID_1 = (SELECT min(CellID_1) FROM joined)"), 9)
     add("smp4_repeated_split",
-        lambda s, d: sampling.repeated_splits(star_reports(s, d).select("row_id"), ["row_id"], range(10)),
+        lambda s, d: sampling.repeated_splits(star_reports(s, d, slots=()).select("row_id"), ["row_id"], range(10)),
         "SELECT event_id AS row_id, CAST(split AS BIGINT) AS split, "
         f"CAST({q.is_test('split', 'event_id')} AS BIGINT) AS is_test "
         "FROM events, (VALUES " + ", ".join(f"({i})" for i in range(10)) + ") v(split)")
@@ -271,10 +289,11 @@ def register(r: Registry) -> None:
 
     # cells: the main station's cell as a prediction of the record's cell
     def station_cell(s, d):
-        rep = st.training_table(star_reports(s, d), star_stations(s, d)).select(
-            "row_id", *STATION, "Target", "Latitude_1", "Longitude_1")
-        grid = grid_of(star_reports(s, d), "Latitude", "Longitude")
-        return rep.withColumn("prediction", grid.cell_of(F.col("Latitude_1"), F.col("Longitude_1")))
+        rep = st.with_cells(main_table(s, d), "Latitude_m", "Longitude_m", extent=extent_of(s, d)
+                            .toDF("Latitude_m", "Longitude_m"))
+        grid = grid_of(extent_of(s, d), "Latitude", "Longitude")
+        return rep.withColumn("prediction", grid.cell_of(F.col("Latitude_1"), F.col("Longitude_1"))).select(
+            "row_id", *STATION, "Target", "prediction")
 
     cells = q.JOINED + (f", cells AS (SELECT row_id, RNCID_1, CellID_1, Target, "
                         f"{q.cell('Latitude_1', 'Longitude_1')} AS prediction FROM joined, grid)")
@@ -316,7 +335,7 @@ def register(r: Registry) -> None:
 
     # forests per station
     def forest(s, d, choose=None, cluster=False):
-        rows, _, errs = errors_of(s, d)
+        rows, _, errs = errors_of(s, d, wide=True)
         train, test = rows.where("split = 0 and is_test = 0"), rows.where("split = 0 and is_test = 1")
         lending = None
         if choose is not None or cluster:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cartwave.functions.geo import haversine
 from cartwave.session import spread_out
+from cartwave.sources.trade import star_table
 
 SLOTS = 7
 
@@ -53,7 +54,7 @@ def read_stations_csv(
 
 def star_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations as a view over the supplier table."""
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(
+    return star_table(spark, sf_dir, "supplier").selectExpr(
         "cast(s_nationkey as bigint) as RNCID",
         "s_suppkey as CellID",
         "121.2013D + ((s_suppkey * 7919) % 1000) * 1.69e-5D as Longitude",
@@ -61,9 +62,13 @@ def star_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def star_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star_reports(
+    spark: SparkSession, sf_dir: str, slots: Sequence[int] = range(1, SLOTS + 1)
+) -> DataFrame:
     """Reports as a view over the events; ``row_id`` identifies a record.
 
+    ``slots`` limits the stations whose area code and signal are worked out.
+
     Slot keys and positions follow from the event id by integer arithmetic, so no
     join is needed to place a record; only the station's area code is looked up.
     """
@@ -71,19 +76,19 @@ def star_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stations = star_stations(spark, sf_dir)
     count = stations.agg(F.count(F.lit(1)).alias("n")).scalar()
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    events = star_table(spark, sf_dir, "events")
     events = spread_out(events, "event_id").withColumn("_n", count)
-    slots = []
+    cells = []
     for i in range(1, SLOTS + 1):
         cell = f"(event_id * 31 + {(i - 1) * 17}) % _n"
         if i > 1:
             cell = f"case when event_id % {i + 5} = 0 then null else {cell} end"
-        slots.append(f"{cell} as CellID_{i}")
+        cells.append(f"{cell} as CellID_{i}")
     keyed = events.selectExpr(
         "event_id as row_id",
         "cast(user_id as string) as IMSI",
         "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as MRTime",
-        *slots,
+        *cells,
     )
     placed = keyed.selectExpr(
         "*",
@@ -100,11 +105,11 @@ def star_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         stations.select("RNCID", "CellID"),
         ["CellID"],
         ["RNCID"],
-        range(1, SLOTS + 1),
+        slots,
         row_id="row_id",
     )
     signal = {}
-    for i in range(1, SLOTS + 1):
+    for i in slots:
         away = haversine(
             F.col("Latitude"),
             F.col("Longitude"),
@@ -113,9 +118,9 @@ def star_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         signal[f"RSSI_{i}"] = (F.lit(-50) - F.floor(away / 20)).cast("double")
     levels = {}
-    for i in range(1, SLOTS + 1):
+    for i in slots:
         levels[f"AsuLevel_{i}"] = (F.col(f"RSSI_{i}") + 113) / 2
         levels[f"SignalLevel_{i}"] = F.when(
             F.col(f"CellID_{i}").isNotNull(), ((F.col("row_id") + i) % 5).cast("double")
         )
-    return known.withColumns(signal).withColumns(levels)
+    return known.withColumns(signal).withColumns(levels) if signal else known

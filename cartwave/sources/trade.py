@@ -59,15 +59,23 @@ def in_months(trade: DataFrame, months: int | Sequence[int]) -> DataFrame:
     return trade.where(F.col("month").isin(wanted))
 
 
+# the columns read from the star schema; stated, so that no footer is read to infer them
+STAR_SCHEMAS = {
+    "lineitem": "l_orderkey long, l_partkey long, l_extendedprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz",
+    "part": "p_partkey long, p_brand string, p_type string",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "events": "event_id long, user_id long, ts timestamp_ntz",
+}
+
+
+def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def star_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a view over the star schema; one row per line item."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_partkey", "l_extendedprice"
-    )
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderdate"
-    )
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type")
+    line, orders, part = (star_table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
     joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(
         part, line.l_partkey == part.p_partkey
     )

@@ -152,7 +152,7 @@ def test_far_edge_is_in_the_last_cell(spark):
     assert top == spec.grid_rows * spec.grid_cols - 1
 
 
-@pytest.mark.parametrize("block, pivots", [(4096, 128), (16, 5)])
+@pytest.mark.parametrize("block, pivots", [(4096, 128), (60, 4)])
 def test_nearest_equals_brute_force(spark, monkeypatch, block, pivots):
     monkeypatch.setattr(nn, "BLOCK", block)
     monkeypatch.setattr(nn, "PIVOTS", pivots)
