@@ -21,6 +21,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cartwave.operators.joins import spread_join
 from cartwave.session import cut
 
+# a model table is broadcast only if its arrays together stay below this size
+BROADCAST_BYTES = 64_000_000
+
+
+def _small_rows(trees: int, depth: int, outputs: int) -> int:
+    """How many groups' models fit a broadcast; a model's size is fixed."""
+    return BROADCAST_BYTES // (trees * (1 << depth + 1) * 8 * (1 + outputs))
+
+
 # fixed values: distribution function of Poisson(1) at 0..5, for bootstrap weights
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
 
@@ -41,7 +50,8 @@ class GroupedForest:
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add ``pred_<output>``; null where the group has no model."""
         packed = rows.withColumn("_x", F.array(*[F.col(f).cast("double") for f in self.features]))
-        joined = spread_join(packed, self.model, self.groups, [self.row_id])
+        small = _small_rows(self.trees, self.depth, len(self.outputs))
+        joined = spread_join(packed, self.model, self.groups, [self.row_id], small_rows=small)
         full = (1 << self.depth + 1) - 1
         walked = joined.withColumn("_b", F.expr(_bin_sql(self.bins))).withColumn(
             "_node", F.expr(_walk_sql(self.trees, self.depth, self.depth))
@@ -131,7 +141,7 @@ def fit_grouped_forest(
         else:
             model = _codes(splits, edges, groups, trees, depth)
             walked = spread_join(
-                binned, model, groups, [row_id], how="inner", weights=weights
+                binned, model, groups, [row_id], "inner", weights, _small_rows(trees, depth, 0)
             ).withColumn("_node", F.expr(_walk_sql(trees, depth, level)))
         found = _best_splits(walked, groups, row_id, level, k, feature_share, seed)
         grown = cut(found if splits is None else splits.unionByName(found))

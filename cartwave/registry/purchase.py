@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, functions as F
 
 from cartwave.functions import columns as col
 from cartwave.operators import labels
-from cartwave.operators.cube import base_cube, monthly_facts
+from cartwave.operators.cube import monthly_facts
+from cartwave.operators.joins import spread_join
 from cartwave.plans import datasets as ds
 from cartwave.plans.profiles import Profiles
 from cartwave.registry import trade_sql as q
 from cartwave.registry.base import Registry, rounded, sql_double, sql_whole
 from cartwave.sources.trade import in_months, star_trade
-from cartwave.sources.windows import SCORE, TEST_MONTH_5, TRAIN, Window
+from cartwave.sources.windows import SCORE, TEST_MONTH_5, TRAIN
 
 M = TRAIN.feature_months
 L = TRAIN.label_month
@@ -133,6 +132,15 @@ def register(r: Registry) -> None:
     fam("jn2_item_families", lambda t: light(t).penetration("item_id").join(
         light(t).repeat_entity("item_id"), "item_id", "full_outer"),
         q.penetration("item_id", M).joined(q.repeat_entity("item_id", M)))
+    def enriched(t):
+        p = light(t)
+        pairs = p.activity_stats("user_id", "item_id", months_only=True)
+        out = spread_join(pairs, p.activity("user_id"), ["user_id"], ["item_id"], small_rows=0)
+        return spread_join(out, p.penetration("item_id"), ["item_id"], ["user_id"], small_rows=0)
+
+    fam("jn3_pair_enrichment", enriched,
+        q.activity_stats(("user_id", "item_id"), M, True).joined(q.activity(("user_id",), M))
+        .joined(q.penetration("item_id", M)))
     fam("jn4_user_label", lambda t: ds.attach_label(
         light(t).rolled("user_id").selectExpr("user_id", "n_4 as last_rows"),
         labels.bought(t, L, ["user_id"]), ["user_id"]),

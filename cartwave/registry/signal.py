@@ -259,20 +259,17 @@ def register(r: Registry) -> None:
         lending = choose(cut(pos.station_medians(errs)), rows)
         return pos.mean_offset_errors(rows, lending).select("split", "row_id", *STATION, "dist")
 
-    for name, choose, ctes in (("best", lending_best, q.LENT_BEST), ("area", lending_area, q.LENT_AREA)):
+    for name, choose in (("best", lending_best), ("area", lending_area)):
         add(f"jn11_lent_rows_{name}", lambda s, d, choose=choose: lent(s, d, choose),
-            f"WITH {ranked}{ctes} SELECT CAST(split AS BIGINT) AS split, RNCID_1, CellID_1, count(*) AS n, "
-            f"{sql_double('sum(dlat) * 1e6', 'relative_latitude', 3)}, "
-            f"{sql_double('sum(dlon) * 1e6', 'relative_longitude', 3)} FROM lent "
+            f"WITH {ranked}{q.lent(name)} SELECT CAST(split AS BIGINT) AS split, RNCID_1, CellID_1, "
+            f"count(*) AS n, {sql_double('sum(dlat) * 1e6', 'relative_latitude', 3)}, "
+            f"{sql_double('sum(dlon) * 1e6', 'relative_longitude', 3)} FROM lent_{name} "
             "GROUP BY split, RNCID_1, CellID_1")
-        head = ranked + ctes
-        again = q.scored(q.LENT_MODELS).replace("models AS", "models2 AS", 1).replace(
-            "fallback AS", "fallback2 AS").replace("scored AS", "scored2 AS").replace(
-            "JOIN fallback f", "JOIN fallback2 f").replace("JOIN models m", "JOIN models2 m")
         number = 17 if name == "best" else 18
         add(f"ml{number}_lend_{name}_errors", lambda s, d, choose=choose: lent_errors(s, d, choose),
-            select(head + again, ["CAST(split AS BIGINT) AS split", "row_id", *STATION, *doubles(["dist"], 3)],
-                   "scored2"))
+            select(ranked + q.lent_scored(name),
+                   ["CAST(split AS BIGINT) AS split", "row_id", *STATION, *doubles(["dist"], 3)],
+                   f"scored_{name}"))
 
     def concatenated(s, d):
         rows, _, errs = errors_of(s, d)
@@ -331,7 +328,16 @@ def register(r: Registry) -> None:
             out[name] = cut(pos.station_medians(pos.error_table(scored)))
         return pos.compare_methods(out, "own")
 
-    r.add("top6_method_comparison", lambda s, d: rounded(comparison(s, d), 3))
+    ctes, cols, joins = ranked, [sql_double("m.median_error", "own", 3)], ""
+    for name in ("best", "area"):
+        ctes += q.lent_scored(name) + q.error_rows(f"_{name}") + q.medians(f"errors_{name}", f"medians_{name}")
+        joins += f" LEFT JOIN medians_{name} {name[0]} USING (RNCID_1, CellID_1)"
+        cols += [sql_double(f"{name[0]}.median_error", name, 3),
+                 f"CAST(coalesce({name[0]}.median_error < m.median_error, false) AS BIGINT) AS {name}_improved"]
+    add("top6_method_comparison", comparison,
+        f"WITH {ctes} SELECT RNCID_1, CellID_1, {', '.join(cols)}, "
+        "CAST(w.CellID_1 IS NOT NULL AS BIGINT) AS was_worst FROM medians m" + joins +
+        " LEFT JOIN (SELECT RNCID_1, CellID_1 FROM worst) w USING (RNCID_1, CellID_1)")
 
     # forests per station
     def forest(s, d, choose=None, cluster=False):

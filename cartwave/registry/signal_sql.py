@@ -94,15 +94,15 @@ def splits(n) -> str:
   FROM offs o, (VALUES {values}) v(split))"""
 
 
-def scored(models) -> str:
+def scored(models, tag="") -> str:
     """Errors of the test records; ``models`` selects split, station, dlat and dlon."""
-    return f""", models AS ({models}),
-fallback AS (SELECT split, avg(dlat) AS dlat, avg(dlon) AS dlon FROM parts WHERE NOT is_test GROUP BY split),
-scored AS (
+    return f""", models{tag} AS ({models}),
+fallback{tag} AS (SELECT split, avg(dlat) AS dlat, avg(dlon) AS dlon FROM parts WHERE NOT is_test GROUP BY split),
+scored{tag} AS (
   SELECT p.split, p.row_id, p.RNCID_1, p.CellID_1,
          {hav('p.Latitude_1 + coalesce(m.dlat, f.dlat)', 'p.Longitude_1 + coalesce(m.dlon, f.dlon)', 'p.Latitude_m', 'p.Longitude_m')} AS dist
-  FROM parts p JOIN fallback f ON f.split = p.split
-  LEFT JOIN models m ON m.split = p.split AND m.RNCID_1 = p.RNCID_1 AND m.CellID_1 = p.CellID_1
+  FROM parts p JOIN fallback{tag} f ON f.split = p.split
+  LEFT JOIN models{tag} m ON m.split = p.split AND m.RNCID_1 = p.RNCID_1 AND m.CellID_1 = p.CellID_1
   WHERE p.is_test)"""
 
 
@@ -112,9 +112,8 @@ OWN_MEAN = (
 )
 
 
-def mean_errors(n, name="errors") -> str:
-    return splits(n) + scored(OWN_MEAN) + f""", {name} AS (
-  SELECT row_id, RNCID_1, CellID_1, avg(dist) AS dist FROM scored GROUP BY ALL)"""
+def mean_errors(n) -> str:
+    return splits(n) + scored(OWN_MEAN) + error_rows()
 
 
 def medians(errors="errors", name="medians") -> str:
@@ -133,18 +132,30 @@ worst AS (SELECT RNCID_1, CellID_1, median_error FROM (
   SELECT *, row_number() OVER (ORDER BY median_error DESC, RNCID_1, CellID_1) AS r FROM {medians_name}), sized WHERE r <= k)"""
 
 
-# a borrower's training set is materialised row by row here
-LENT_BEST = """, lent AS (
-  SELECT p.split, w.RNCID_1, w.CellID_1, p.dlat, p.dlon
-  FROM worst w, best b JOIN parts p ON p.RNCID_1 = b.RNCID_1 AND p.CellID_1 = b.CellID_1
-  WHERE NOT p.is_test)"""
-LENT_AREA = """, lent AS (
-  SELECT p.split, w.RNCID_1, w.CellID_1, p.dlat, p.dlon
-  FROM worst w JOIN parts p ON p.RNCID_1 = w.RNCID_1 WHERE NOT p.is_test)"""
-LENT_MODELS = """SELECT split, RNCID_1, CellID_1, avg(dlat) AS dlat, avg(dlon) AS dlon FROM (
+def error_rows(tag="") -> str:
+    return f""", errors{tag} AS (
+  SELECT row_id, RNCID_1, CellID_1, avg(dist) AS dist FROM scored{tag} GROUP BY ALL)"""
+
+
+def lent(kind) -> str:
+    """A borrower's training set, materialised row by row, as CTE ``lent_<kind>``."""
+    if kind == "best":
+        source = "worst w, best b JOIN parts p ON p.RNCID_1 = b.RNCID_1 AND p.CellID_1 = b.CellID_1"
+    else:
+        source = "worst w JOIN parts p ON p.RNCID_1 = w.RNCID_1"
+    return f""", lent_{kind} AS (
+  SELECT p.split, w.RNCID_1, w.CellID_1, p.dlat, p.dlon FROM {source} WHERE NOT p.is_test)"""
+
+
+def lent_models(kind) -> str:
+    return f"""SELECT split, RNCID_1, CellID_1, avg(dlat) AS dlat, avg(dlon) AS dlon FROM (
   SELECT split, RNCID_1, CellID_1, dlat, dlon FROM parts WHERE NOT is_test
   UNION ALL
-  SELECT l.split, l.RNCID_1, l.CellID_1, l.dlat, l.dlon FROM lent l
+  SELECT l.split, l.RNCID_1, l.CellID_1, l.dlat, l.dlon FROM lent_{kind} l
   WHERE EXISTS (SELECT 1 FROM parts q WHERE NOT q.is_test AND q.split = l.split
                 AND q.RNCID_1 = l.RNCID_1 AND q.CellID_1 = l.CellID_1))
   GROUP BY split, RNCID_1, CellID_1"""
+
+
+def lent_scored(kind) -> str:
+    return lent(kind) + scored(lent_models(kind), f"_{kind}")
