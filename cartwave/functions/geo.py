@@ -75,18 +75,18 @@ def grid_spec(df: DataFrame, lat: str, lon: str, cell: int = CELL_METRES) -> Dat
 
 
 def grid_of(df: DataFrame, lat: str, lon: str, cell: int = CELL_METRES) -> Grid:
-    """The grid of a frame as one scalar subquery, usable in any other frame.
+    """The grid of a frame: one aggregate, whose single row becomes literals.
 
-    Spark runs the one-row aggregate before the main query, so no join is needed.
+    Literals fold into every expression that uses the grid, in any frame, without a
+    join and without running the aggregate again.
     """
-    spec = grid_spec(df, lat, lon, cell)
-    box = spec.select(F.struct(*spec.columns).alias("box")).scalar()
+    row = grid_spec(df, lat, lon, cell).first()
     return Grid(
-        lat_min=box["lat_min"],
-        lat_max=box["lat_max"],
-        lon_min=box["lon_min"],
-        lon_max=box["lon_max"],
-        rows=box["grid_rows"],
-        cols=box["grid_cols"],
+        lat_min=F.lit(row["lat_min"]),
+        lat_max=F.lit(row["lat_max"]),
+        lon_min=F.lit(row["lon_min"]),
+        lon_max=F.lit(row["lon_max"]),
+        rows=F.lit(row["grid_rows"]).cast("long"),
+        cols=F.lit(row["grid_cols"]).cast("long"),
         cell=cell,
     )

@@ -164,10 +164,13 @@ def worst_stations(medians: DataFrame, share: float = 0.2) -> DataFrame:
 
 
 def best_to_worst(medians: DataFrame, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """One pool: the best stations lend to each of the worst."""
+    """One pool: the best stations lend to each of the worst.
+
+    Both lists are stored, so that joins on the pool stay joins on a column.
+    """
     donors = best_stations(medians, share).select(*MAIN, F.lit(0).alias("pool"))
     borrowers = worst_stations(medians, share).select(*MAIN, F.lit(0).alias("pool"))
-    return donors, borrowers
+    return cut(donors), cut(borrowers)
 
 
 def similar_to_worst(

@@ -28,9 +28,9 @@ MONTHLY = ("frequency", "days", "amts")
 
 
 def labelled_pairs(t: DataFrame) -> DataFrame:
-    """User x brand pairs of the window with their label, keys only."""
+    """User x brand pairs of the window with their label, stored: sampling reads it often."""
     pairs = light(t).rolled(*PAIR).select(*PAIR)
-    return ds.attach_label(pairs, labels.bought(t, L, PAIR), PAIR)
+    return cut(ds.attach_label(pairs, labels.bought(t, L, PAIR), PAIR))
 
 
 def monthly_users(t: DataFrame, window: Window, spend: bool = False) -> DataFrame:

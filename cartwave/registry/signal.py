@@ -204,7 +204,7 @@ def register(r: Registry) -> None:
         "AS rank FROM scored) GROUP BY rank")
 
     def overall(s, d):
-        errs = cut(errors_of(s, d)[2]).withColumn("model", F.lit("mean_offset"))
+        errs = cut(errors_of(s, d)[2].withColumn("model", F.lit("mean_offset")))
         return (
             metrics.error_range(errs, ["model"])
             .join(ranking.upper_median(errs, ["model"], "dist", "upper_median"), "model")
