@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartwave.functions.columns import half_even, yes_no
 from cartwave.operators import metrics
@@ -36,6 +38,27 @@ def cross_validate(model, train: DataFrame, keys: Sequence[str], folds: int) ->
     return row.asDict()
 
 
+def _each(
+    spark: SparkSession, models: Sequence[tuple[str, object]], run: Callable, parallelism: int
+) -> list:
+    """``run(name, model)`` for every model; a failing model is reported and left out.
+
+    The jobs of up to ``parallelism`` models share the cluster.
+    """
+
+    def safe(entry):
+        name, model = entry
+        try:
+            return run(name, model)
+        except Exception as problem:  # noqa: BLE001 - one bad model must not end the board
+            print(f"{name} skipped: {str(problem)[:300]}")
+            return None
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(safe), models))
+    return [f for f in found if f is not None]
+
+
 def rank_classifiers(
     models: Sequence[tuple[str, object]],
     train: DataFrame,
@@ -43,32 +66,32 @@ def rank_classifiers(
     keys: Sequence[str],
     folds: int = 3,
     wrong_by_truth: bool = False,
+    parallelism: int = 1,
 ) -> tuple[DataFrame, dict[str, object]]:
-    """Leaderboard by AUC and the fitted models by name; a failing model is skipped.
+    """Leaderboard by AUC and the fitted models by name.
 
     Only one row of scores per model reaches the driver.
     """
-    spark, rows, fitted = train.sparkSession, [], {}
-    for name, model in models:
-        try:
-            cv = cross_validate(model, train, keys, folds) if folds > 1 else {}
-            start = time.time()
-            done = model.fit(train)
-            scored = cut(done.transform(test).select("target", "prediction"))
-            score = metrics.class_scores(scored).first()
-            spread = metrics.distribution_maps(
-                metrics.prediction_distribution(scored, wrong_by_truth=wrong_by_truth)
-            ).first()
-            rows.append((
-                name, score["auc"], score["accuracy"], time.time() - start,
-                cv.get("recall_mean"), cv.get("accuracy_mean"), cv.get("auc_mean"),
-                spread["correct"], spread["error"], spread["correct_counts"], spread["error_counts"],
-            ))
-            fitted[name] = done
-        except Exception as problem:  # noqa: BLE001 - a failing model is reported, not fatal
-            print(f"{name} skipped: {str(problem)[:300]}")
-    board = spark.createDataFrame(rows, CLASS_BOARD).orderBy(F.col("Test_auc").desc(), "Model")
-    return board, fitted
+
+    def run(name, model):
+        cv = cross_validate(model, train, keys, folds) if folds > 1 else {}
+        start = time.time()
+        done = model.fit(train)
+        scored = cut(done.transform(test).select("target", "prediction"))
+        score = metrics.class_scores(scored).first()
+        spread = metrics.distribution_maps(
+            metrics.prediction_distribution(scored, wrong_by_truth=wrong_by_truth)
+        ).first()
+        row = (
+            name, score["auc"], score["accuracy"], time.time() - start,
+            cv.get("recall_mean"), cv.get("accuracy_mean"), cv.get("auc_mean"),
+            spread["correct"], spread["error"], spread["correct_counts"], spread["error_counts"],
+        )
+        return row, done
+
+    found = _each(train.sparkSession, models, run, parallelism)
+    board = train.sparkSession.createDataFrame([row for row, _ in found], CLASS_BOARD)
+    return board.orderBy(F.col("Test_auc").desc(), "Model"), {row[0]: m for row, m in found}
 
 
 def two_stage(spend: DataFrame, buys: DataFrame, key: str = "user_id") -> DataFrame:
@@ -87,24 +110,27 @@ def rank_regressors(
     test: DataFrame,
     buys: DataFrame | None = None,
     key: str = "user_id",
+    parallelism: int = 1,
 ) -> tuple[DataFrame, dict[str, object], dict[str, DataFrame]]:
     """Leaderboard by squared error, fitted models, and test predictions by name."""
-    spark, rows, fitted, tests = train.sparkSession, [], {}, {}
-    for name, model in models:
-        try:
-            start = time.time()
-            done = model.fit(train)
-            scored = done.transform(test)
-            if buys is not None:
-                scored = two_stage(scored, buys, key)
-            scored = cut(scored.select(key, "target", "prediction"))
-            score = metrics.regression_scores(scored).first()
-            rows.append((name, score["evs"], score["mae"], score["mse"], time.time() - start))
-            fitted[name], tests[name] = done, scored
-        except Exception as problem:  # noqa: BLE001 - a failing model is reported, not fatal
-            print(f"{name} skipped: {str(problem)[:300]}")
-    board = spark.createDataFrame(rows, SPEND_BOARD).orderBy("Test_MSE", "Model")
-    return board, fitted, tests
+
+    def run(name, model):
+        start = time.time()
+        done = model.fit(train)
+        scored = done.transform(test)
+        if buys is not None:
+            scored = two_stage(scored, buys, key)
+        scored = cut(scored.select(key, "target", "prediction"))
+        score = metrics.regression_scores(scored).first()
+        return (name, score["evs"], score["mae"], score["mse"], time.time() - start), done, scored
+
+    found = _each(train.sparkSession, models, run, parallelism)
+    board = train.sparkSession.createDataFrame([f[0] for f in found], SPEND_BOARD)
+    return (
+        board.orderBy("Test_MSE", "Model"),
+        {f[0][0]: f[1] for f in found},
+        {f[0][0]: f[2] for f in found},
+    )
 
 
 # fixed values: the searched settings of each model

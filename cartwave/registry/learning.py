@@ -331,7 +331,7 @@ def register(r: Registry) -> None:
         if stages == 2:
             nb = dict(ml.classifiers())["GaussianNB"].fit(buy_vectors(t, TRAIN))
             buys = nb.transform(buy_vectors(t, TEST)).select("user_id", "prediction")
-        board, _, _ = tr.rank_regressors(ml.regressors(ml.LIGHT), train, test, buys)
+        board, _, _ = tr.rank_regressors(ml.regressors(ml.LIGHT), train, test, buys, parallelism=4)
         return board.drop("Time")
 
     add("ml10_spend_leaderboard", spend_board)
@@ -341,7 +341,7 @@ def register(r: Registry) -> None:
         train, test = buy_vectors(t, TRAIN), buy_vectors(t, TEST)
         models = [m for m in ml.classifiers("user", ml.LIGHT) if m[0] in (
             "GaussianNB", "DecisionTreeClassifier", "RandomForestClassifier")]
-        out, _ = tr.rank_classifiers(models, train, test, ["user_id"])
+        out, _ = tr.rank_classifiers(models, train, test, ["user_id"], parallelism=4)
         return out.drop("Time")
 
     add("ml13_leaderboard", board)
