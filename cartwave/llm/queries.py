@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwave.llm import quality
+from cartwave.llm import quality, toxicity
 from cartwave.llm.common import held_out, table
 from cartwave.registry.base import Registry
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.select(
+        "doc_id", held_out().alias("held_out"), toxicity.score(docs, model).alias("score")
+    ).withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -19,4 +27,5 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register(found: Registry) -> None:
+    found.add("op5_toxicity", op5_toxicity)
     found.add("op8_quality_classifier", op8_quality_classifier)
