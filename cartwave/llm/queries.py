@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwave.llm import quality, toxicity
-from cartwave.llm.common import held_out, table
+from cartwave.llm import quality, secrets, toxicity
+from cartwave.llm.common import held_out, span_list, table
 from cartwave.registry.base import Registry
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", secrets.found().alias("spans"))
+    base = docs.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS)))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS
+    ]
+    return base.select("doc_id", *counts, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -27,5 +36,6 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register(found: Registry) -> None:
+    found.add("op2_secret_scans", op2_secret_scans)
     found.add("op5_toxicity", op5_toxicity)
     found.add("op8_quality_classifier", op8_quality_classifier)
