@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwave.llm import quality, secrets, toxicity
+from cartwave.llm import quality, secrets, toxicity, warc
 from cartwave.llm.common import held_out, span_list, table
 from cartwave.registry.base import Registry
 
@@ -19,6 +19,21 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", *counts, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT *, octet_length(payload) AS size, max(page_id) OVER (PARTITION BY payload) AS first FROM p),
+r AS (SELECT *, size >= 1000 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM q)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM r
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -37,5 +52,6 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register(found: Registry) -> None:
     found.add("op2_secret_scans", op2_secret_scans)
+    found.add("op4_warc", op4_warc, OP4_SQL)
     found.add("op5_toxicity", op5_toxicity)
     found.add("op8_quality_classifier", op8_quality_classifier)
