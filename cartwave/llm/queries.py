@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwave.llm import quality, secrets, toxicity, warc
+from cartwave.llm import chat, quality, secrets, toxicity, warc
 from cartwave.llm.common import held_out, span_list, table
 from cartwave.registry.base import Registry
 
@@ -42,6 +42,38 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    probe = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.digests(chat.formatted(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+# over all turns of a conversation in the order of the operator
+OP6_SQL = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), e AS (
+    SELECT *, length(role) + length(text) + 16 AS marks,
+           length(text) - length(replace(text, '\', '')) AS slashes,
+           length(text) - length(regexp_replace(text, '<(/?turn)', '\1', 'g')) AS controls
+    FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), ''))
+           AS loss_sha256,
+       CAST(sum(marks + slashes + controls) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -54,4 +86,5 @@ def register(found: Registry) -> None:
     found.add("op2_secret_scans", op2_secret_scans)
     found.add("op4_warc", op4_warc, OP4_SQL)
     found.add("op5_toxicity", op5_toxicity)
+    found.add("op6_chat_formatting", op6_chat_formatting, OP6_SQL)
     found.add("op8_quality_classifier", op8_quality_classifier)
