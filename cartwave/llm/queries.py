@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwave.llm import chat, quality, secrets, toxicity, warc
+from cartwave.llm import chat, pii, quality, secrets, toxicity, warc
 from cartwave.llm.common import held_out, span_list, table
 from cartwave.registry.base import Registry
 
 
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", secrets.found().alias("spans"))
     base = docs.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS)))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS
-    ]
+    counts = [_count("base", k) for k in secrets.KINDS]
     return base.select("doc_id", *counts, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
 
 
@@ -74,6 +76,14 @@ FROM e GROUP BY conv_id
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = docs.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS)))
+    counts = [_count("base", k) for k in pii.KINDS]
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores")
+    return base.select("doc_id", *counts, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"), scores)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -87,4 +97,5 @@ def register(found: Registry) -> None:
     found.add("op4_warc", op4_warc, OP4_SQL)
     found.add("op5_toxicity", op5_toxicity)
     found.add("op6_chat_formatting", op6_chat_formatting, OP6_SQL)
+    found.add("op7_pii", op7_pii)
     found.add("op8_quality_classifier", op8_quality_classifier)
