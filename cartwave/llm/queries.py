@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwave.llm import chat, pii, quality, secrets, toxicity, warc
+from cartwave.llm import chat, decontaminate, pii, quality, secrets, sql, toxicity, warc
 from cartwave.llm.common import held_out, span_list, table
 from cartwave.registry.base import Registry
 
@@ -21,21 +21,16 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", *counts, F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, items).drop("text_hash", "coverage")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OP4_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-q AS (SELECT *, octet_length(payload) AS size, max(page_id) OVER (PARTITION BY payload) AS first FROM p),
-r AS (SELECT *, size >= 1000 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM q)
-SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
-       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
-FROM r
-"""
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -55,27 +50,6 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(rows, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-# over all turns of a conversation in the order of the operator
-OP6_SQL = r"""
-WITH c AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
-), e AS (
-    SELECT *, length(role) + length(text) + 16 AS marks,
-           length(text) - length(replace(text, '\', '')) AS slashes,
-           length(text) - length(regexp_replace(text, '<(/?turn)', '\1', 'g')) AS controls
-    FROM c
-)
-SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), ''))
-           AS loss_sha256,
-       CAST(sum(marks + slashes + controls) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
-"""
-
-
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = docs.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS)))
@@ -94,8 +68,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register(found: Registry) -> None:
     found.add("op2_secret_scans", op2_secret_scans)
-    found.add("op4_warc", op4_warc, OP4_SQL)
+    found.add("op3_benchmark_decontamination", op3_benchmark_decontamination, sql.OP3)
+    found.add("op4_warc", op4_warc, sql.OP4)
     found.add("op5_toxicity", op5_toxicity)
-    found.add("op6_chat_formatting", op6_chat_formatting, OP6_SQL)
+    found.add("op6_chat_formatting", op6_chat_formatting, sql.OP6)
     found.add("op7_pii", op7_pii)
     found.add("op8_quality_classifier", op8_quality_classifier)
