@@ -4,7 +4,7 @@ A text is the sequence of its word shingles (``SHINGLE`` lower-cased white-space
 are labelled by occurrence.  Each of ``SKETCHES`` hash functions takes the two smallest labelled shingles and keeps them in text
 order, so equal values speak for equal shingles in equal order.  ``ROWS`` values make a band, and texts that share a band are
 candidates.  A pair is linked if a banded alignment of the two shingle sequences keeps, in order, at least ``SIMILARITY`` of
-all shingles: aligned / (all of both - aligned).  A class is a connected component of links.
+all shingles, aligned / (all of both - aligned), or of their first occurrences.  A class is a connected component of links.
 
 Texts with the same words are one node, so copies are never paired.  Within a band's bucket:
 
@@ -162,14 +162,22 @@ def aligned(a: list[int], b: list[int], slack: int) -> int:
 
 
 def similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
-    """Whether the alignment of two texts, given as word hashes, keeps enough of their shingles."""
-    x, y = shingles(np.frombuffer(a, np.uint32)), shingles(np.frombuffer(b, np.uint32))
+    """Whether the alignment of two texts, given as word hashes, keeps enough of their shingles.
+
+    Either of all shingles or of each one's first occurrence, so that lines repeated more or less often don't part two texts.
+    """
+    x, y = shingles(np.frombuffer(a, np.uint32)).tolist(), shingles(np.frombuffer(b, np.uint32)).tolist()
+    if _kept(x, y, least):
+        return True
+    once_x, once_y = list(dict.fromkeys(x)), list(dict.fromkeys(y))
+    return (len(once_x) < len(x) or len(once_y) < len(y)) and _kept(once_x, once_y, least)
+
+
+def _kept(x: list[int], y: list[int], least: float) -> bool:
     n = len(x) + len(y)
     need = int(np.ceil(n * least / (1 + least) - 1e-9))
-    if need > min(len(x), len(y)):
-        return False
     # an alignment that keeps enough leaves out so many shingles at most
-    return aligned(x.tolist(), y.tolist(), n - 2 * need) >= need
+    return need <= min(len(x), len(y)) and aligned(x, y, n - 2 * need) >= need
 
 
 def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -203,18 +211,12 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether the lengths of two texts allow the similarity."""
-    a, b = np.maximum(n - SHINGLE + 1, 1), np.maximum(m - SHINGLE + 1, 1)
-    return np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9
-
-
 @F.pandas_udf(BooleanType())
-def _worth(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+def _worth(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=bool)
     x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
-    return pd.Series(((x == y).sum(1) >= AGREE) & _close(n.to_numpy(), m.to_numpy()))
+    return pd.Series((x == y).sum(1) >= AGREE)
 
 
 @F.pandas_udf(BooleanType())
@@ -236,10 +238,10 @@ def _hub_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
         .select("key", (-F.col("top.col2")).alias("b"))
     )
     pairs = members.join(hubs, "key").where("uid != b").select(F.col("uid").alias("a"), "b").distinct()
-    short = nodes.select("uid", "n", "values")
+    short = nodes.select("uid", "values")
     worth = (
-        pairs.join(short.toDF("a", "n_a", "values_a"), "a").join(short.toDF("b", "n_b", "values_b"), "b")
-        .where(_worth("values_a", "values_b", "n_a", "n_b")).select("a", "b")
+        pairs.join(short.toDF("a", "values_a"), "a").join(short.toDF("b", "values_b"), "b")
+        .where(_worth("values_a", "values_b")).select("a", "b")
     )
     return _aligned_links(cut(worth), nodes)
 
@@ -288,14 +290,13 @@ def _meetings(part: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]
 def _rest_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between members of a bucket that are still in different classes; ``members`` has (key, uid, label, outside)."""
     ids = cut(members.select("uid").distinct())
-    short = _of(nodes.select("uid", "n", "values"), ids)
+    short = _of(nodes.select("uid", "values"), ids)
 
     def worth(part: pd.DataFrame) -> pd.DataFrame:
         keys, uids = [], []
         for left, right in _meetings(part):
             x, y = (np.frombuffer(b"".join(s["values"]), np.uint16).reshape(len(s), -1) for s in (left, right))
-            good = (_agreeing(x, y) >= AGREE) & _close(left["n"].to_numpy()[:, None], right["n"].to_numpy())
-            good &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()
+            good = (_agreeing(x, y) >= AGREE) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy())
             for side, hit in ((left, good.any(1)), (right, good.any(0))):
                 uids.append(side["uid"].to_numpy()[hit])
                 keys.append(side["key"].to_numpy()[hit])
@@ -304,14 +305,13 @@ def _rest_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = cut(_dealt(members.join(short, "uid")))
     good = cut(_by_task(rows).groupBy("task").applyInPandas(worth, "key long, uid long").distinct())
     chosen = members.join(good, ["key", "uid"])
-    words = _of(nodes.select("uid", "n", "values", "words"), cut(good.select("uid").distinct()))
+    words = _of(nodes.select("uid", "values", "words"), cut(good.select("uid").distinct()))
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for left, right in _meetings(part):
             x, y = (np.frombuffer(b"".join(s["values"]), np.uint16).reshape(len(s), -1) for s in (left, right))
             agree = _agreeing(x, y)
-            good = (agree >= AGREE) & _close(left["n"].to_numpy()[:, None], right["n"].to_numpy())
             root = {v: v for v in [*left["label"], *right["label"]]}
 
             def find(v: int, root: dict = root) -> int:
@@ -323,7 +323,7 @@ def _rest_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
             for i, (label, words_l, uid_l) in enumerate(zip(left["label"], left["words"], left["uid"], strict=True)):
                 # the likeliest first: once two classes are one, the other pairs between them need no alignment
                 for j in np.argsort(-agree[i].astype(int), kind="stable"):
-                    if good[i, j] and find(label) != find(theirs[j]) and similar(words_l, words_r[j]):
+                    if agree[i, j] >= AGREE and find(label) != find(theirs[j]) and similar(words_l, words_r[j]):
                         root[find(label)] = find(theirs[j])
                         out.append((uid_l, uid_r[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
@@ -345,9 +345,11 @@ def classes(rows: DataFrame) -> DataFrame:
         members.where("size > 2").join(labels.withColumnRenamed("node", "uid"), "uid", "left")
         .select("key", "uid", F.coalesce("label", "uid").alias("label"))
     )
-    open_keys = placed.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")
-    ).where("low != high").select("key", "main")
+    open_keys = (
+        placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label"))["label"].alias("main"))
+        .where("classes > 1").select("key", "main")
+    )
     rest = cut(placed.join(open_keys, "key").select("key", "uid", "label", (F.col("label") != F.col("main")).alias("outside")))
     more = _rest_links(rest, nodes)
     labels = components(links.union(more))
