@@ -150,9 +150,9 @@ class _Window:
         self.file, self.size = file, size
         self.at, self.data = 0, b""
 
-    def read(self, at: int) -> bytes:
-        """Bytes from ``at`` on, at least one unless the file ends there."""
-        if not self.at <= at < self.at + len(self.data):
+    def read(self, at: int, least: int = 1) -> bytes:
+        """Bytes from ``at`` on, at least so many unless the file ends before."""
+        if not self.at <= at <= self.at + len(self.data) - least:
             self.at, self.data = at, (self.file.read_at(min(PIECE, self.size - at), at) if at < self.size else b"")
         return self.data[at - self.at :]
 
@@ -202,14 +202,13 @@ def records(window: _Window, start: int, end: int, keep: bool) -> Iterator[dict]
     """Records whose members start in [start, end)."""
     at = start
     while at < end:
-        data = window.read(at)
-        if not data:
+        data = window.read(at, len(_MAGIC))
+        if len(data) < len(_MAGIC):
             return
         place = data.find(_MAGIC)
         if place < 0:
-            # the last two bytes may begin the magic of the next piece
-            step = max(1, len(data) - 2)
-            at += step
+            # the last two bytes may begin a magic that the next piece ends
+            at += len(data) - 2
             continue
         at += place
         if at >= end:
@@ -259,10 +258,9 @@ def read(manifest: DataFrame, payload: bool = False, split: int = SPLIT) -> Data
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows)
-    for c in ("page_id", "refers_to"):
-        out[c] = pd.array(out[c].tolist(), dtype="Int64")
-    return out
+    """A frame that keeps whole numbers beside nulls whole."""
+    whole = ("page_id", "refers_to")
+    return pd.DataFrame({c: pd.array([r[c] for r in rows], dtype="Int64") if c in whole else [r[c] for r in rows] for c in rows[0]})
 
 
 def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:
