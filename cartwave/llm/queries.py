@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwave.llm import chat, decontaminate, neardup, pii, quality, secrets, sql, toxicity, warc
+from cartwave.llm import chat, decontaminate, neardup, packing, pii, quality, secrets, sql, toxicity, warc
 from cartwave.llm.common import held_out, span_list, table
 from cartwave.registry.base import Registry
 
@@ -14,6 +14,10 @@ def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), packing.public_coder())
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", secrets.found().alias("spans"))
     base = docs.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS)))
@@ -71,6 +75,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register(found: Registry) -> None:
+    found.add("op1_best_fit_packing", op1_best_fit_packing)
     found.add("op2_secret_scans", op2_secret_scans)
     found.add("op3_benchmark_decontamination", op3_benchmark_decontamination, sql.OP3)
     found.add("op4_warc", op4_warc, sql.OP4)
