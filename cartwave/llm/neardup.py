@@ -333,8 +333,9 @@ def _rest_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(high, low, rep, class_id) per word sequence of sketched rows: its class's first uid and smallest doc_id."""
-    texts = cut(rows.groupBy("high", "low").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")))
+    """(high, low, first, class_id) per word sequence of sketched rows: uid and doc_id of its class's first document by doc_id."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("least")
+    texts = cut(rows.groupBy("high", "low").agg(F.min("uid").alias("uid"), first))
     nodes = rows.join(texts.select("uid"), "uid", "left_semi")
     keys = nodes.where(F.col("n") > SHINGLE - 1).select("uid", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -354,11 +355,10 @@ def classes(rows: DataFrame) -> DataFrame:
     more = _rest_links(rest, nodes)
     labels = components(links.union(more))
     linked = texts.join(labels.withColumnRenamed("node", "uid"), "uid")
-    least = linked.groupBy("label").agg(F.min("least").alias("class_id"))
-    named = linked.join(least, "label").select("uid", F.col("label").alias("rep"), "class_id")
-    return texts.join(named, "uid", "left").select(
-        "high", "low", F.coalesce("rep", "uid").alias("rep"), F.when(F.col("rep").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id")
-    )
+    least = linked.groupBy("label").agg(F.min("least").alias("of_class"))
+    named = linked.join(least, "label").select("uid", "of_class")
+    out = texts.join(named, "uid", "left").withColumn("least", F.coalesce("of_class", "least"))
+    return out.select("high", "low", F.col("least.uid").alias("first"), F.col("least.doc_id").alias("class_id"))
 
 
 def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -368,11 +368,11 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The first document of each class, with its own columns."""
+    """The document with the smallest doc_id of each class, with its own columns."""
     rows = sketched(docs, text)
     placed = cut(
         rows.select("uid", "doc_id", "text_hash", "high", "low").join(classes(rows), ["high", "low"])
-        .groupBy("doc_id", "text_hash").agg(F.max((F.col("uid") == F.col("rep")).cast("int")).alias("kept"), F.count(F.lit(1)).alias("rows"))
+        .groupBy("doc_id", "text_hash").agg(F.max((F.col("uid") == F.col("first")).cast("int")).alias("kept"), F.count(F.lit(1)).alias("rows"))
         .where("kept = 0 or rows > 1")
     )
     own = F.xxhash64(F.coalesce(docs[text], F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwave.llm import chat, decontaminate, neardup, packing, pii, quality, secrets, sql, toxicity, warc
+from cartwave.llm import chat, decontaminate, neardup, neighbours, packing, pii, quality, secrets, sql, toxicity, warc
 from cartwave.llm.common import held_out, span_list, table
 from cartwave.registry.base import Registry
 
@@ -70,6 +70,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -83,4 +87,5 @@ def register(found: Registry) -> None:
     found.add("op6_chat_formatting", op6_chat_formatting, sql.OP6)
     found.add("op7_pii", op7_pii)
     found.add("op8_quality_classifier", op8_quality_classifier)
+    found.add("op9_nearest_neighbours", op9_nearest_neighbours)
     found.add("op10_minhash_near_dedup", op10_minhash_near_dedup)
