@@ -7,14 +7,16 @@ inside a word are read as such, other signs inside a word are dropped, and runs
 
 Training is on labelled sentences, which inherit the label of their document.  A sentence is as toxic as its worst word, its
 witness.  The machine alternates between naming the witnesses of the sentences of toxic documents and fitting a
-squared-hinge SVM to them against the words of clean sentences, in the space that ``landmarks`` words span (Nyström).  Since
-the machine is linear in the kernel, landmarks and weights fold into one table over letter triples: scoring a word costs the
-same for any number of landmarks.
+squared-hinge SVM to them against the words of clean sentences, in the space that ``landmarks`` words span (Nyström).  A witness
+that few others resemble comes from a document with a wrong label and is left out.  Since the machine is linear in the kernel,
+landmarks and weights fold into one table over letter triples: scoring a word costs the same for any number of landmarks.  A
+logistic, fitted to documents kept back from the machine, gives the probability of a word, and a text is toxic unless its
+``WORST`` worst words are all harmless.
 
 The training sample is bounded by ``max_rows`` documents (a hash of the id decides), so the model is too.  Scoring visits every
 word of every text once per task, in Arrow batches without a shuffle.
 
-Odd rows: null and empty texts have no word and get the calibrated score of the lowest decision, ``FLOOR``; repeated rows score
+Odd rows: null and empty texts have no word and get the probability of the lowest decisions, ``FLOOR``; repeated rows score
 alike; null, other than 0 / 1, or contradictory labels are not learnt; with no toxic or no clean row every score is the share
 of toxic rows (0 without any row); an empty table gives an empty result.  Other columns are kept.
 """
@@ -37,6 +39,8 @@ MAX_ROWS = 12_000  # bound of the training sample
 LANDMARKS = 384
 ROUNDS = 4
 DECAY, SPAN = 0.6, 6  # weight of a letter of gap, and the letters that three may spread over
+WORST = 3  # words that a text's probability rests on
+ALIKE = 0.45  # kernel value from which two words are of one family
 THRESHOLD = 0.3
 FLOOR = -3.0
 
@@ -131,7 +135,7 @@ def kernel(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights over letter triples, and the logistic that turns a decision into a probability."""
+    """Weights over letter triples, and the logistic that turns a decision into a word's probability."""
 
     weights: np.ndarray
     bias: float
@@ -154,8 +158,21 @@ class Model:
                 np.maximum.at(out, ids[of], total / norms(rows) + self.bias)
         return out
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -30, 30)))
+    def probability(self, worst: np.ndarray) -> np.ndarray:
+        """Of texts, from the decisions on their ``WORST`` worst words: that not all of the words are harmless."""
+        harmless = 1 / (1 + np.exp(np.clip(self.slope * worst + self.offset, -30, 30)))
+        return 1 - harmless.prod(1)
+
+
+def _even(share: float) -> float:
+    """The offset at which ``WORST`` words together have this probability."""
+    each = 1 - (1 - min(max(share, 1e-9), 1 - 1e-9)) ** (1 / WORST)
+    return float(np.log(each / (1 - each)))
+
+
+def worst_of(decisions: Iterable[float]) -> list[float]:
+    """The ``WORST`` largest decisions, falling, filled up with ``FLOOR``."""
+    return [*sorted(decisions, reverse=True)[:WORST], *[FLOOR] * WORST][:WORST]
 
 
 def _table(marks: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -185,17 +202,25 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 12) -> tuple[
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit by Newton steps, targets drawn in a little from 0 and 1."""
-    n1, n0 = y.sum(), len(y) - y.sum()
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    design, w = np.stack([x, np.ones(len(x))], 1), np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        h = (design * (p * (1 - p))[:, None]).T @ design + 1e-4 * np.eye(2)
-        step = np.linalg.solve(h, design.T @ (t - p) - 1e-4 * w)
-        w += np.clip(step, -5, 5)
-    return float(max(w[0], 0.0)), float(w[1])
+def _calibrated(model: Model, worst: np.ndarray, y: np.ndarray) -> Model:
+    """The model with the slope and middle of a grid under which these texts are likeliest."""
+    best = np.inf
+    for slope in np.geomspace(1, 20, 25):
+        for middle in np.linspace(-1, 1.5, 51):
+            model.slope, model.offset = float(slope), float(-slope * middle)
+            p = np.clip(model.probability(worst), 1e-4, 1 - 1e-4)  # a wrong label costs no more than that
+            loss = -np.where(y == 1, np.log(p), np.log(1 - p)).sum()
+            if loss < best:
+                best, found = loss, (model.slope, model.offset)
+    model.slope, model.offset = found
+    return model
+
+
+def _supported(rows: np.ndarray, count: np.ndarray, toxic: int) -> np.ndarray:
+    """Which witnesses have enough others like them; the rest come from documents with a wrong label.  All, if none has."""
+    like = np.concatenate([(kernel(rows[at : at + 512], rows) >= ALIKE) @ count for at in range(0, len(rows), 512)])
+    enough = like >= max(3, toxic / 200)
+    return enough if enough.any() else np.ones(len(rows), bool)
 
 
 def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 7) -> Model:
@@ -204,27 +229,36 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     spare = [(t, v) for t, v, k in zip(texts, labels, every, strict=True) if not k]
     texts = [t for t, k in zip(texts, every, strict=True) if k]
     y = np.array(labels)[every]
-    constant = Model(np.zeros((1 << 18) + 1), 0.0, 0.0, float(np.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9))) if len(y) else -30.0)
+    constant = Model(np.zeros((1 << 18) + 1), 0.0, 0.0, _even(y.mean()) if len(y) else -30.0)
     if not 0 < y.sum() < len(y):
         return constant
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    sentences, owner = [], []
+    place: dict[str, int] = {}
+    sentences, sent_y, of_doc, owner = [], [], [], []
     for i, text in enumerate(texts):
         for part in _SENTENCE.split(text):
-            ids = {number.setdefault(w, len(number)) for w in {plain(t) for t in tokens(part)} if len(w) > 2}
-            if ids:
-                sentences.append(np.fromiter(ids, np.int64))
+            at = place.get(part)
+            if at is None:
+                ids = {number.setdefault(w, len(number)) for w in {plain(t) for t in tokens(part)} if len(w) > 2}
+                at = place[part] = len(sentences) if ids else -1
+                if ids:
+                    sentences.append(np.fromiter(ids, np.int64))
+                    sent_y.append(1)
+            if at >= 0:
+                # copies of a sentence count once; one that a clean document has too is clean
+                sent_y[at] = min(sent_y[at], int(y[i]))
+                of_doc.append(at)
                 owner.append(i)
     if not sentences:
         return constant
-    words, sent_y = list(number), y[np.array(owner)]
+    words, sent_y = list(number), np.array(sent_y)
     flat, starts = np.concatenate(sentences), np.cumsum([0, *map(len, sentences[:-1])])
-    in_docs = [Counter(), Counter()]
-    for i, ids in enumerate(sentences):
-        in_docs[sent_y[i]].update(ids.tolist())
-    clean = np.array([in_docs[0][i] for i in range(len(words))], float)
-    toxic = np.array([in_docs[1][i] for i in range(len(words))], float)
+    in_sentences = [Counter(), Counter()]
+    for ids, label in zip(sentences, sent_y, strict=True):
+        in_sentences[label].update(ids.tolist())
+    clean = np.array([in_sentences[0][i] for i in range(len(words))], float)
+    toxic = np.array([in_sentences[1][i] for i in range(len(words))], float)
 
     # first guess of a word's weight: log ratio of the shares of toxic and clean sentences that have its triples
     share = np.zeros((2, (1 << 18) + 1))
@@ -240,17 +274,17 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
         decision = model.decide(words)
         worst = np.maximum.reduceat(decision[flat], starts)
         high = np.full(len(y), -np.inf)
-        np.maximum.at(high, np.array(owner), worst)
+        np.maximum.at(high, np.array(owner), worst[of_doc])
         limit = np.quantile(high[y == 0], 0.9)
         # witnesses: in each toxic document the worst word of its worst sentence, and of others beyond what clean ones reach
-        witness: Counter = Counter()
-        for i in np.nonzero(sent_y == 1)[0]:
-            ids = sentences[i]
-            if worst[i] >= high[owner[i]] or worst[i] > limit:
-                witness[int(ids[np.argmax(decision[ids])])] += 1
+        chosen = {s for s, i in zip(of_doc, owner, strict=True) if sent_y[s] == 1 and (worst[s] >= high[i] or worst[s] > limit)}
+        witness = Counter(int(sentences[s][np.argmax(decision[sentences[s]])]) for s in chosen)
+        # and words that many toxic sentences have and no clean one, which worse words beside them may hide
+        witness.update({int(w): int(toxic[w]) for w in np.nonzero((clean == 0) & (toxic >= max(5, y.sum() / 100)))[0]})
         pos = np.array([w for w in witness if witness[w] > clean[w]], np.int64)
         if not len(pos):
             break
+        pos = pos[_supported(letters([words[i][:_WIDE] for i in pos])[0], np.array([witness[w] for w in pos]), y.sum())]
         pool = np.nonzero(clean > 0)[0]
         hard = pool[np.argsort(-decision[pool], kind="stable")[:4000]]
         common = pool[np.argsort(-clean[pool], kind="stable")[:1000]]
@@ -259,22 +293,24 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
         by_use = pos[np.argsort([-witness[w] for w in pos], kind="stable")]
         half = landmarks // 2
         marks = [*by_use[: half // 2], *rng.permutation(by_use[half // 2 :])[: half - half // 2]]
-        marks += [*rng.choice(hard, min(len(hard), half // 2), replace=False), *rng.choice(neg, min(len(neg), half // 2), replace=False)]
+        # near misses that are frequent, others near, and any
+        near = hard[np.argsort(-clean[hard[:400]], kind="stable")]
+        marks += [*near[: half // 4], *rng.choice(hard, min(len(hard), half // 4), replace=False), *rng.choice(neg, min(len(neg), half // 2), replace=False)]
         mark_rows = letters([words[i][:_WIDE] for i in dict.fromkeys(marks)])[0]
         values, vectors = np.linalg.eigh(kernel(mark_rows, mark_rows).astype(float))
         keep = values > 1e-3 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
         train = np.concatenate([pos, neg])
         target = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        weight = np.r_[np.minimum([witness[w] for w in pos], 5.0), np.ones(len(neg))]
-        weight[: len(pos)] *= min(4.0, len(neg) / weight[: len(pos)].sum())
+        # as often as they are seen, up to a limit; both sides weigh the same
+        weight = np.r_[np.minimum([witness[w] for w in pos], 10.0), np.minimum(clean[neg], 10.0)]
+        weight[: len(pos)] *= min(4.0, weight[len(pos) :].sum() / weight[: len(pos)].sum())
         w, bias = _svm(kernel(letters([words[i][:_WIDE] for i in train])[0], mark_rows) @ root, target, weight)
         model = Model(_table(mark_rows, root @ w), bias, 1.0, 0.0)
     if len({v for _, v in spare}) < 2:  # too few documents to keep some back
         spare = list(zip(texts, y.tolist(), strict=True))
-    high = [max(model.decide([plain(t) for t in tokens(text)]), default=FLOOR) for text, _ in spare]
-    model.slope, model.offset = _logistic(np.array(high), np.array([v for _, v in spare]))
-    return model
+    high = [worst_of(model.decide([plain(t) for t in tokens(text)])) for text, _ in spare]
+    return _calibrated(model, np.array(high), np.array([v for _, v in spare]))
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", text: str = "text", max_rows: int = MAX_ROWS) -> Model:
@@ -307,7 +343,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
     def worst(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m, known = shared.value, {}
         for batch in batches:
-            out = np.full(len(batch), FLOOR)
+            out = np.full((len(batch), WORST), FLOOR)
             for at in range(0, len(batch), 1000):
                 some = [tokens(t or "") for t in batch.iloc[at : at + 1000]]
                 if len(known) > _CACHE:
@@ -315,8 +351,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
                 new = list(set().union(*some).difference(known))
                 known.update(zip(new, m.decide([plain(t) for t in new]).tolist(), strict=True))
                 for i, found in enumerate(some):
-                    if found:
-                        out[at + i] = max(map(known.__getitem__, found))
+                    out[at + i] = worst_of(map(known.__getitem__, found))
             yield pd.Series(m.probability(out))
 
     return worst(F.coalesce(F.col(text), F.lit("")))
