@@ -21,7 +21,7 @@ _TINY = 1e-10
 
 @dataclass
 class BoostedClassifierModel:
-    """Weighted vote of the rounds; prediction is 0 or 1."""
+    """Weighted vote of the rounds: ``score`` is their sum, prediction is 0 or 1."""
 
     rounds: list
 
@@ -33,7 +33,7 @@ class BoostedClassifierModel:
                 f"_q{i}"
             ).transform(out).drop(f"_r{i}", f"_q{i}")
             score = score + F.lit(alpha) * (F.col(name) * 2 - 1)
-        out = out.withColumn("prediction", (score > 0).cast("double"))
+        out = out.withColumn("score", score).withColumn("prediction", (F.col("score") > 0).cast("double"))
         return out.drop(*[f"_p{i}" for i in range(len(self.rounds))])
 
 

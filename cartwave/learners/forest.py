@@ -109,6 +109,8 @@ def fit_grouped_forest(
 
     Each node looks at a random third of the features that vary within the group.
     """
+    if bins > 64:
+        raise ValueError("a split's code has room for 64 bins")
     groups, features, outputs = tuple(groups), tuple(features), tuple(outputs)
     k = len(outputs)
     packed = rows.select(

@@ -77,20 +77,20 @@ class NeighbourModel:
             arr = vector_to_array("features")
             return rows.select("*", *[arr[i].alias(n) for i, n in enumerate(names)])
 
-        # the whole key as text, so that two rows never share an id
-        key = F.to_json(F.struct(*[c for c in df.columns if c != "features"]))
-        asked = unpacked(df).withColumn("_id", key)
+        # every distinct vector is searched once; its copies share the answer
+        asked = unpacked(df).withColumn("_id", F.to_json(F.struct(vector_to_array("features").alias("x"))))
         # orders equal distances only; rows that share it are copies of each other
         known = unpacked(self.train).withColumn(
             "_key", F.xxhash64(vector_to_array("features"), F.col("target"))
         )
-        found = self.combine(nearest(known, asked, names, self.k, "_key", "_id"), "_id")
+        distinct = asked.select("_id", *names).dropDuplicates(["_id"])
+        found = self.combine(nearest(known, distinct, names, self.k, "_key", "_id"), "_id")
         return asked.drop(*names).join(found, "_id", "left").drop("_id")
 
 
 @dataclass
 class Neighbours:
-    """k nearest neighbours; the test rows' other columns must identify them."""
+    """k nearest neighbours by vector."""
 
     k: int = 3
     regress: bool = False
@@ -128,9 +128,9 @@ def classifiers(task: str = "user_brand", rounds: dict[str, int] = FULL) -> list
 
 
 def l1_logistic(c: float, rows: int, balanced: bool = False):
-    """L1 logistic regression with inverse strength ``c``."""
+    """L1 logistic regression with inverse strength ``c`` on unscaled features; ``rows`` is the number trained on."""
     model = LogisticRegression(
-        labelCol="target", elasticNetParam=1.0, regParam=1.0 / (c * rows), maxIter=100
+        labelCol="target", elasticNetParam=1.0, regParam=1.0 / (c * rows), maxIter=100, standardization=False
     )
     return Balanced(model) if balanced else model
 
@@ -164,14 +164,22 @@ def regressors(rounds: dict[str, int] = FULL) -> list[tuple[str, object]]:
     ]
 
 
-def linear(kind: str = "linear", alpha: float = 0.5, intercept: bool = True) -> LinearRegression:
-    """Linear, ridge or lasso regression."""
-    mix = {"linear": 0.0, "ridge": 0.0, "lasso": 1.0}[kind]
+def linear(
+    kind: str = "linear", alpha: float = 0.5, rows: int = 1, spread: float = 1.0, intercept: bool = True
+) -> LinearRegression:
+    """Linear, ridge or lasso regression on unscaled features.
+
+    Ridge minimises the sum of squares + alpha |w|^2.  Spark takes half the mean of squares and divides the strength of the square
+    by the target's population deviation, so it depends on ``rows``, the number trained on, and ``spread``, that deviation.  Lasso
+    minimises half the mean of squares + alpha |w|, as Spark does.
+    """
+    strength = {"linear": 0.0, "ridge": alpha / rows * spread, "lasso": alpha}[kind]
     return LinearRegression(
         labelCol="target",
-        elasticNetParam=mix,
-        regParam=0.0 if kind == "linear" else alpha,
+        elasticNetParam=1.0 if kind == "lasso" else 0.0,
+        regParam=strength,
         fitIntercept=intercept,
+        standardization=False,
     )
 
 

@@ -91,12 +91,11 @@ def _block_neighbours(k: int):
             d = np.zeros((len(a[at : at + step]), len(b)))
             for f in range(a.shape[1]):
                 d += (a[at : at + step, f, None] - b[None, :, f]) ** 2
-            edge = np.partition(d, take - 1, axis=1)[:, take - 1]
-            for i in range(len(d)):
-                # rows are in key order, so the stable sort breaks ties by key
-                near = np.flatnonzero(d[i] <= edge[i])
-                near = near[np.argsort(d[i][near], kind="stable")][:take]
-                parts.append((np.repeat(ids[at + i], len(near)), d[i][near], keys[near], labels[near]))
+            # rows are in key order, so the stable sort breaks ties by key
+            near = np.argsort(d, axis=1, kind="stable")[:, :take]
+            parts.append((
+                np.repeat(ids[at : at + step], take), np.take_along_axis(d, near, 1).ravel(), keys[near].ravel(), labels[near].ravel()
+            ))
         cols = [np.concatenate(c) for c in zip(*parts)]
         return pd.DataFrame(dict(zip(("test_id", "d", "key", "label"), cols)))
 
@@ -180,12 +179,15 @@ def nearest(
 
 
 def vote(neighbours: DataFrame, test_key: str) -> DataFrame:
-    """Most frequent label among the neighbours, the smaller one on a tie."""
+    """Most frequent label among the neighbours, the smaller one on a tie; ``score`` is the share of label 1."""
     return (
         neighbours.groupBy("test_id", "label")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("test_id")
-        .agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("prediction"))
+        .agg(
+            F.max_by("label", F.struct("n", -F.col("label"))).alias("prediction"),
+            (F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("score"),
+        )
         .withColumnRenamed("test_id", test_key)
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartwave.functions.geo import haversine
+from cartwave.operators.ranking import sorted_runs
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -40,11 +41,32 @@ def class_scores(
     )
 
 
-def fold_scores(df: DataFrame, groups: Sequence[str] = (), fold: str = "fold") -> DataFrame:
-    """Mean and population deviation of the scores over folds."""
+def rank_auc(df: DataFrame, groups: Sequence[str], score: str, target: str = "target") -> DataFrame:
+    """``rank_auc`` per group: the chance that a row of class 1 has a larger score than one of class 0, ties count half.
+
+    From the mean ranks of runs of equal scores; 0 for a group that lacks a class, as for the other scores.
+    """
+    keys = [*groups, score]
+    ones = df.where(F.col(score).isNotNull()).groupBy(*keys).agg(_count(F.col(target) == 1).alias("_ones"))
+    runs = sorted_runs(df, groups, score, 1 / 1024).join(ones, keys)
+    sums = runs.groupBy(*groups).agg(
+        F.sum("_ones").cast("double").alias("p"),
+        F.sum(F.col("n") - F.col("_ones")).cast("double").alias("q"),
+        F.sum(F.col("_ones") * (F.col("rank_from") + (F.col("n") + 1) / 2)).alias("r"),
+    )
+    above = F.col("r") - F.col("p") * (F.col("p") + 1) / 2
+    return sums.select(*groups, _ratio(above, F.col("p") * F.col("q")).alias("rank_auc"))
+
+
+def fold_scores(df: DataFrame, groups: Sequence[str] = (), fold: str = "fold", score: str | None = None) -> DataFrame:
+    """Mean and population deviation of the scores over folds; with ``score`` also those of its rank AUC."""
     per_fold = class_scores(df, [*groups, fold])
+    names = ["recall", "accuracy", "auc"]
+    if score is not None:
+        per_fold = per_fold.join(rank_auc(df, [*groups, fold], score), [*groups, fold])
+        names.append("rank_auc")
     aggs = []
-    for s in ("recall", "accuracy", "auc"):
+    for s in names:
         aggs += [F.avg(s).alias(f"{s}_mean"), F.stddev_pop(s).alias(f"{s}_std")]
     return per_fold.groupBy(*groups).agg(*aggs)
 
@@ -81,15 +103,21 @@ def distribution_maps(distribution: DataFrame) -> DataFrame:
 
 
 def regression_scores(
-    df: DataFrame, groups: Sequence[str] = (), target: str = "target", pred: str = "prediction"
+    df: DataFrame, groups: Sequence[str] = (), target: str = "target", pred: str = "prediction", exact: bool = False
 ) -> DataFrame:
-    """Explained variance, mean absolute and mean squared error."""
+    """Explained variance, mean absolute and mean squared error.
+
+    ``exact`` sums errors as decimals of six places, so that the order of rows does not show in the result.
+    """
     err = F.col(target) - F.col(pred)
+    if exact:
+        err = err.cast("decimal(18,6)")
     spread = F.var_pop(F.col(target))
+    mean = lambda c: F.sum(c).cast("double") / F.count(c)
     return df.groupBy(*groups).agg(
         F.coalesce(1 - F.try_divide(F.var_pop(err), spread), F.lit(0.0)).alias("evs"),
-        F.avg(F.abs(err)).alias("mae"),
-        F.avg(err * err).alias("mse"),
+        mean(F.abs(err)).alias("mae"),
+        mean(err * err).alias("mse"),
     )
 
 

@@ -15,6 +15,8 @@ from cartwave.operators.ranking import take_smallest
 # the first 8 hex digits of an md5 as a number
 HASH_RANGE = 1 << 32
 HASH_BUCKETS = 1 << 16
+# copies of a row that are made in one place
+COPIES = 4096
 
 
 def key_hash(keys: Sequence[str], seed: int | Column) -> Column:
@@ -62,9 +64,15 @@ def balanced_up(
     ).scalar()
     marked = take_smallest(minor, "_h", keys, rest, HASH_RANGE / HASH_BUCKETS, flag="_extra")
     copies = F.floor(F.col("_s.big") / F.col("_s.small")) + F.col("_extra")
+    # chunks of copies are spread before they are expanded: few rows may stand for very many.  The number of parts is
+    # stated, as it would else follow from the few bytes before
+    step = F.lit(COPIES).cast("long")
+    chunks = marked.withColumn("_copies", copies).withColumn(
+        "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, step)))
     repeated = (
-        marked.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-        .drop("_copy", "_extra", "_h")
+        chunks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_from")
+        .withColumn("_copy", F.explode(F.sequence(F.col("_from") + 1, F.least(F.col("_from") + step, "_copies"))))
+        .drop("_copy", "_copies", "_from", "_extra", "_h")
     )
     return major.unionByName(repeated).drop("_s")
 

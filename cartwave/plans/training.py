@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from cartwave.functions.columns import half_even, yes_no
 from cartwave.operators import metrics
@@ -19,29 +21,35 @@ from cartwave.session import cut
 CLASS_BOARD = (
     "Model string, Test_auc double, Test_precision double, Time double, CV_recall double, "
     "CV_accuracy double, CV_auc double, Correct long, Error long, "
-    "Correct_counts map<long,long>, Error_counts map<long,long>"
+    "Correct_counts map<long,long>, Error_counts map<long,long>, Problem string"
 )
-SPEND_BOARD = "Model string, Test_EVS double, Test_MAE double, Test_MSE double, Time double"
+SPEND_BOARD = "Model string, Test_EVS double, Test_MAE double, Test_MSE double, Time double, Problem string"
 
 
 def cross_validate(model, train: DataFrame, keys: Sequence[str], folds: int) -> dict[str, float]:
-    """Mean recall, accuracy and AUC over hash folds."""
+    """Mean recall, accuracy, hard-label AUC and rank AUC (of the model's scores) over hash folds."""
     folded = with_fold(train, keys, folds)
     parts = None
     for f in range(folds):
         fitted = model.fit(folded.where(F.col("fold") != f))
-        held = fitted.transform(folded.where(F.col("fold") == f)).select(
-            "target", "prediction", "fold"
-        )
+        held = fitted.transform(folded.where(F.col("fold") == f))
+        held = held.select("target", "prediction", "fold", _score_of(held).alias("_score"))
         parts = held if parts is None else parts.unionByName(held)
-    row = metrics.fold_scores(parts).first()
+    row = metrics.fold_scores(cut(parts), score="_score").first()
     return row.asDict()
 
 
+def _score_of(scored: DataFrame):
+    """What orders the rows by how likely class 1 is."""
+    if "probability" in scored.columns:
+        return vector_to_array("probability")[1]
+    return F.col("score" if "score" in scored.columns else "prediction").cast("double")
+
+
 def _each(
     spark: SparkSession, models: Sequence[tuple[str, object]], run: Callable, parallelism: int
 ) -> list:
-    """``run(name, model)`` for every model; a failing model is reported and left out.
+    """``run(name, model)`` for every model, or (name, problem) for one that fails: no model ends or leaves the board.
 
     The jobs of up to ``parallelism`` models share the cluster.
     """
@@ -50,13 +58,18 @@ def _each(
         name, model = entry
         try:
             return run(name, model)
-        except Exception as problem:  # noqa: BLE001 - one bad model must not end the board
-            print(f"{name} skipped: {str(problem)[:300]}")
-            return None
+        except Exception as problem:  # noqa: BLE001 - stands in the board
+            return name, str(problem)[:300]
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        found = list(pool.map(inheritable_thread_target(spark)(safe), models))
-    return [f for f in found if f is not None]
+        return list(pool.map(inheritable_thread_target(spark)(safe), models))
+
+
+def _board(spark: SparkSession, found: list, schema: str) -> DataFrame:
+    """One row per model, a failing one with nothing but its problem."""
+    width = len(StructType.fromDDL(schema).fields)
+    rows = [(f[0], *[None] * (width - 2), f[1]) if isinstance(f[1], str) else (*f[0], None) for f in found]
+    return spark.createDataFrame(rows, schema)
 
 
 def rank_classifiers(
@@ -84,14 +97,15 @@ def rank_classifiers(
         ).first()
         row = (
             name, score["auc"], score["accuracy"], time.time() - start,
-            cv.get("recall_mean"), cv.get("accuracy_mean"), cv.get("auc_mean"),
+            cv.get("recall_mean"), cv.get("accuracy_mean"), cv.get("rank_auc_mean"),
             spread["correct"], spread["error"], spread["correct_counts"], spread["error_counts"],
         )
         return row, done
 
     found = _each(train.sparkSession, models, run, parallelism)
-    board = train.sparkSession.createDataFrame([row for row, _ in found], CLASS_BOARD)
-    return board.orderBy(F.col("Test_auc").desc(), "Model"), {row[0]: m for row, m in found}
+    board = _board(train.sparkSession, found, CLASS_BOARD)
+    fitted = {f[0][0]: f[1] for f in found if not isinstance(f[1], str)}
+    return board.orderBy(F.col("Test_auc").desc_nulls_last(), "Model"), fitted
 
 
 def two_stage(spend: DataFrame, buys: DataFrame, key: str = "user_id") -> DataFrame:
@@ -125,11 +139,12 @@ def rank_regressors(
         return (name, score["evs"], score["mae"], score["mse"], time.time() - start), done, scored
 
     found = _each(train.sparkSession, models, run, parallelism)
-    board = train.sparkSession.createDataFrame([f[0] for f in found], SPEND_BOARD)
+    board = _board(train.sparkSession, found, SPEND_BOARD)
+    good = [f for f in found if not isinstance(f[1], str)]
     return (
-        board.orderBy("Test_MSE", "Model"),
-        {f[0][0]: f[1] for f in found},
-        {f[0][0]: f[2] for f in found},
+        board.orderBy(F.col("Test_MSE").asc_nulls_last(), "Model"),
+        {f[0][0]: f[1] for f in good},
+        {f[0][0]: f[2] for f in good},
     )
 
 
@@ -191,7 +206,7 @@ def search_settings(
     rows = []
     for name, model in named:
         score = cross_validate(model, train, keys, folds)
-        rows.append((name, score["auc_mean"], score["auc_std"]))
+        rows.append((name, score["rank_auc_mean"], score["rank_auc_std"]))
     return train.sparkSession.createDataFrame(
         rows, "setting string, score double, deviation double"
     ).orderBy(F.col("score").desc(), "setting")

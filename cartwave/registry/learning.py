@@ -132,25 +132,29 @@ def register(r: Registry) -> None:
         f"FROM (SELECT {counts} FROM ({RULED}) p)")
     fold = f"('0x' || {hashed('user_id', 78)})::BIGINT * 3 // 4294967296"
     add("met3_fold_scores",
-        lambda t: metrics.fold_scores(sampling.with_fold(ruled(t), ["user_id"], 3)),
-        f", f AS (SELECT {fold} AS fold, {counts} FROM ({RULED}) p GROUP BY 1), "
-        f"s AS (SELECT tp / (tp + fn) AS recall, (tp + tn) / n AS accuracy, {auc} AS auc FROM f) SELECT "
+        lambda t: metrics.fold_scores(
+            cut(sampling.with_fold(ruled(t), ["user_id"], 3).withColumn("score", F.col("f3").cast("double"))), score="score"),
+        f", r AS (SELECT *, {fold} AS fold FROM ({RULED}) p), f AS (SELECT fold, {counts} FROM r GROUP BY 1), "
+        "k AS (SELECT fold, target, rank() OVER (PARTITION BY fold ORDER BY f3) "
+        "+ (count(*) OVER (PARTITION BY fold, f3) - 1) / 2.0::DOUBLE AS place FROM r), "
+        "c AS (SELECT fold, sum(place) FILTER (WHERE target = 1) AS places FROM k GROUP BY 1), "
+        f"s AS (SELECT tp / (tp + fn) AS recall, (tp + tn) / n AS accuracy, {auc} AS auc, "
+        "(places - (tp + fn) * (tp + fn + 1) / 2) / ((tp + fn) * (tn + fp)) AS rank_auc FROM f JOIN c USING (fold)) SELECT "
         + ", ".join(f"{sql_double(f'avg({x})', f'{x}_mean')}, {sql_double(f'stddev_pop({x})', f'{x}_std')}"
-                    for x in ("recall", "accuracy", "auc")) + " FROM s")
+                    for x in ("recall", "accuracy", "auc", "rank_auc")) + " FROM s")
     for name, by_truth in (("met4_prediction_distribution", False), ("met4_distribution_by_truth", True)):
         add(name, lambda t, by_truth=by_truth: metrics.prediction_distribution(
             ruled(t), wrong_by_truth=by_truth),
             f" SELECT (target = prediction)::BIGINT AS correct, "
             f"CAST({'target' if by_truth else 'prediction'} AS BIGINT) AS label, count(*) AS n "
             f"FROM ({RULED}) p GROUP BY ALL")
-    add("met5_regression_errors", lambda t: metrics.regression_scores(spend_rule(t)),
+    # errors as exact decimals: sums do not depend on the order of rows
+    error = "CAST(CAST(target - prediction AS DECIMAL(18,6)) AS DECIMAL(38,6))"
+    add("met5_regression_errors", lambda t: metrics.regression_scores(spend_rule(t), exact=True),
         f" SELECT {sql_double('1 - var_pop(target - prediction) / var_pop(target)', 'evs', 4)}, "
-        f"{sql_double('avg(abs(target - prediction))', 'mae', 4)}, "
-        f"floor(avg(power(target - prediction, 2)) / 1000 + 0.5) * 1000 AS mse "
+        f"{sql_double(f'CAST(sum(abs({error})) AS DOUBLE) / count(*)', 'mae', 4)}, "
+        f"{sql_double(f'CAST(sum({error} * {error}) AS DOUBLE) / count(*)', 'mse', 4)} "
         f"FROM ({SPEND_RULE}) p", 4)
-    mse_query = r.queries["met5_regression_errors"]
-    r.queries["met5_regression_errors"] = lambda spark, sf: mse_query(spark, sf).withColumn(
-        "mse", F.expr("cast(floor(mse / 1000 + 0.5D) as double) * 1000D"))
 
     def rules(t):
         users = cut(monthly_users(t, TRAIN))
@@ -293,6 +297,18 @@ def register(r: Registry) -> None:
         f", a AS ({monthly_sql(TRAIN, True)}), b AS ({monthly_sql(TEST, True)}) SELECT user_id, "
         f"{sql_double('f9 * (SELECT regr_slope(target, f9) FROM a) + (SELECT regr_intercept(target, f9) FROM a)', 'prediction', 2)} FROM b", 2)
 
+    def ridge_one_feature(t):
+        train = cut(ml.to_vectors(monthly_users(t, TRAIN, True), ["user_id"], features=["f9"]))
+        facts = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("target").alias("spread")).first()
+        model = ml.linear("ridge", 500.0, facts["n"], facts["spread"]).fit(train)
+        test = ml.to_vectors(monthly_users(t, TEST, True), ["user_id"], features=["f9"])
+        return model.transform(test).select("user_id", "prediction")
+
+    add("ml11_ridge", ridge_one_feature,
+        f", a AS ({monthly_sql(TRAIN, True)}), b AS ({monthly_sql(TEST, True)}), s AS (SELECT "
+        "regr_sxy(target, f9) / (regr_sxx(target, f9) + 500) AS slope, avg(target) AS my, avg(f9) AS mx FROM a) SELECT user_id, "
+        f"{sql_double('f9 * slope + my - mx * slope', 'prediction', 2)} FROM b, s", 2)
+
     # -- models without a SQL counterpart ---------------------------------
     def classify(name, task="user_brand"):
         def run(t):
@@ -345,9 +361,13 @@ def register(r: Registry) -> None:
         return out.drop("Time")
 
     add("ml13_leaderboard", board)
-    add("ml14_grid_search", lambda t: tr.grid_search(
-        ml.l1_logistic(0.9, 1000), {"regParam": [1.0 / (c * 1000) for c in tr.GRIDS["logistic_c_balanced"]]},
-        buy_vectors(t, TRAIN), ["user_id"]))
+    def searched(t):
+        train = buy_vectors(t, TRAIN)
+        n = train.count() * 3 / 4  # rows that a fold's model is trained on
+        return tr.grid_search(
+            ml.l1_logistic(0.9, n), {"regParam": [1.0 / (c * n) for c in tr.GRIDS["logistic_c_balanced"]]}, train, ["user_id"])
+
+    add("ml14_grid_search", searched)
 
     def score_unlabelled(t):
         model = dict(ml.classifiers("user"))["GaussianNB"].fit(buy_vectors(t, TRAIN))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,6 +29,7 @@ def local_session(cpus: int | str = 8, app: str = "cartwave") -> SparkSession:
 
 
 _own_dirs: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/cartwave/{uuid.uuid4().hex}/{name}"
+    """A new path under the application's part of the shared folder, which is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/cartwave/{app}"
+    if app not in _cleaned:
+        _cleaned.add(app)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(_delete, jvm, conf, folder)
+    return f"{folder}/{uuid.uuid4().hex}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what the session has stored for itself so far; results that read it must have been used."""
+    context = spark.sparkContext
+    _delete(context._jvm, context._jsc.hadoopConfiguration(), f"{shared_dir(spark)}/cartwave/{context.applicationId}")
+
+
+def _delete(jvm, conf, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except (Py4JError, OSError, AttributeError):
+        pass  # the JVM has gone first
 
 
 def cut(df: DataFrame, *even_by: str) -> DataFrame:

@@ -34,8 +34,8 @@ def canonical(raw: DataFrame) -> DataFrame:
     named = raw.withColumnsRenamed({k: v for k, v in RAW_NAMES.items() if k in raw.columns})
 
     def whole(name: str):
-        # brands arrive as "12.0" when the column once held nulls
-        return F.expr(f"cast(try_cast({name} as double) as bigint)")
+        # brands arrive as "12.0" when the column once held nulls; ids beyond 2^53 have no double of their own
+        return F.expr(f"coalesce(try_cast({name} as bigint), try_cast(try_cast({name} as double) as bigint))")
 
     return with_date_parts(
         named.select(

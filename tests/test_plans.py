@@ -26,11 +26,14 @@ def vectors(spark):
     return ml.to_vectors(rows, ["id"]).cache()
 
 
-def test_leaderboard_skips_broken_models_and_keeps_names(spark, vectors):
+def test_leaderboard_names_problems_and_keeps_names(spark, vectors):
     named = [("broken", Broken()), *[m for m in ml.classifiers() if m[0] in ("GaussianNB", "DecisionTreeClassifier")]]
     board, fitted = tr.rank_classifiers(named, vectors, vectors, ["id"], folds=2, parallelism=2)
     rows = board.collect()
-    assert [r.Model for r in rows][0] == "DecisionTreeClassifier" and len(rows) == 2
+    assert [r.Model for r in rows][0] == "DecisionTreeClassifier" and len(rows) == 3
+    broken = rows.pop()
+    assert broken.Model == "broken" and broken.Problem == "no such model" and broken.Test_auc is None
+    assert all(r.Problem is None and 0 <= r.CV_auc <= 1 for r in rows)
     assert set(fitted) == {"GaussianNB", "DecisionTreeClassifier"}
     for r in rows:
         assert 0 <= r.Test_auc <= 1 and r.Correct + r.Error == 300
@@ -38,7 +41,7 @@ def test_leaderboard_skips_broken_models_and_keeps_names(spark, vectors):
 
 
 def test_grid_search_orders_by_score(vectors):
-    got = tr.grid_search(ml.l1_logistic(0.5, 300), {"regParam": [0.001, 10.0]}, vectors, ["id"], folds=2).collect()
+    got = tr.grid_search(ml.l1_logistic(0.5, 300), {"regParam": [0.001, 100.0]}, vectors, ["id"], folds=2).collect()
     assert len(got) == 2 and got[0].setting == "regParam=0.001" and got[0].score > got[1].score
 
 
