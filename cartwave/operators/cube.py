@@ -36,6 +36,25 @@ def monthly_facts(trade: DataFrame, months: Sequence[int]) -> DataFrame:
     return in_months(trade, months).selectExpr(*KEYS, *cols)
 
 
+def month_cube(trade: DataFrame) -> DataFrame:
+    """One row per (month, user, item, brand, category) with ``n, d, a``: every window and label can be read from it."""
+    return trade.groupBy("month", *KEYS).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.expr("bit_or(shiftleft(1L, day)) as d"),
+        F.expr("sum(coalesce(cast(amt * 100 as bigint), 0L)) as a"),
+    )
+
+
+def is_month_cube(rows: DataFrame) -> bool:
+    return {"n", "d", "a"} <= set(rows.columns)
+
+
+def window_facts(cube: DataFrame, months: Sequence[int]) -> DataFrame:
+    """The additive columns per month of a window; only its months of the cube are read."""
+    cols = [f"case when month = {m} then {c} else 0L end as {c}_{m}" for m in months for c in ("n", "d", "a")]
+    return in_months(cube, months).selectExpr(*KEYS, *cols)
+
+
 def rolled_measures(months: Sequence[int]) -> list[Column]:
     return [
         F.expr(f"{'bit_or' if c.startswith('d_') else 'sum'}({c}) as {c}")

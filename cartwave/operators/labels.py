@@ -18,12 +18,13 @@ def bought(trade: DataFrame, month: int, keys: Sequence[str]) -> DataFrame:
 
 
 def spent(trade: DataFrame, month: int) -> DataFrame:
-    """Amount per user in the label month."""
+    """Amount per user in the label month, from the log or the month cube."""
+    amount = F.sum("amt") if "amt" in trade.columns else F.sum("a").cast("decimal(38,2)") / 100
     return (
         in_months(trade, month)
         .where(F.col("user_id").isNotNull())
         .groupBy("user_id")
-        .agg(F.sum("amt").cast("double").alias("target"))
+        .agg(amount.cast("double").alias("target"))
     )
 
 

@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cartwave.functions.columns import zero_nulls
-from cartwave.operators.cube import base_cube
+from cartwave.operators.cube import is_month_cube, month_cube, window_facts
 from cartwave.operators.joins import attach_label
 from cartwave.operators.labels import bought, spent
 from cartwave.plans.profiles import ENTITY, Profiles
 from cartwave.session import cut
+from cartwave.sources.trade import in_months
 from cartwave.sources.windows import DATASETS, TEST_WINDOWS, WINDOWS, Window
 
 ALL_ATTRIBUTES = ("brand", "item", "cat")
 
 
+def monthly(trade: DataFrame, window: Window) -> DataFrame:
+    """The month cube of a window's months and its label month, stored; a cube is taken as it is.
+
+    The log is read once for features and label, and nothing else is written before the result.
+    """
+    if is_month_cube(trade):
+        return trade
+    return cut(month_cube(in_months(trade, months_of(window))))
+
+
+def months_of(window: Window) -> list[int]:
+    return [*window.feature_months, *([window.label_month] if window.label_month is not None else [])]
+
+
 def profiles(trade: DataFrame, window: Window) -> Profiles:
-    """Profile builders over the window's cube, written once to the shared folder."""
-    months = window.feature_months
-    return Profiles(cut(base_cube(trade, months)), months)
+    """Profile builders over the window's months of the cube."""
+    return Profiles(window_facts(monthly(trade, window), window.feature_months), window.feature_months)
 
 
 def user_pair_dataset(
@@ -26,6 +40,7 @@ def user_pair_dataset(
 ) -> DataFrame:
     """User x item / brand / category features; target 1 if bought in the label month."""
     keys = ["user_id", ENTITY[attribute]]
+    trade = monthly(trade, window)
     label = None
     if window.label_month is not None:
         label = bought(trade, window.label_month, keys)
@@ -38,6 +53,7 @@ def _user_features(trade: DataFrame, window: Window, built: Profiles | None) ->
 
 def buy_dataset(trade: DataFrame, window: Window, built: Profiles | None = None) -> DataFrame:
     """User features; target 1 if the user bought anything in the label month."""
+    trade = monthly(trade, window)
     users = _user_features(trade, window, built)
     if window.label_month is not None:
         users = attach_label(users, bought(trade, window.label_month, ["user_id"]), ["user_id"])
@@ -46,6 +62,7 @@ def buy_dataset(trade: DataFrame, window: Window, built: Profiles | None = None)
 
 def spend_dataset(trade: DataFrame, window: Window, built: Profiles | None = None) -> DataFrame:
     """User features; target is the amount spent in the label month."""
+    trade = monthly(trade, window)
     users = _user_features(trade, window, built)
     if window.label_month is not None:
         users = attach_label(users, spent(trade, window.label_month), ["user_id"])
@@ -66,13 +83,11 @@ def dataset(
 def write_window(
     trade: DataFrame, window: Window, path: str, names: tuple[str, ...] = tuple(DATASETS)
 ) -> None:
-    """Write the base cube once, then every dataset of one window from it."""
-    cube_path = f"{path}/cube/window={window.name}"
-    base_cube(trade, window.feature_months).write.mode("overwrite").parquet(cube_path)
-    cube = trade.sparkSession.read.parquet(cube_path)
-    built = Profiles(cube, window.feature_months)
+    """Write every dataset of one window from one month cube."""
+    cube = monthly(trade, window)
+    built = profiles(cube, window)
     for name in names:
-        table = dataset(trade, window, name, built)
+        table = dataset(cube, window, name, built)
         table.write.mode("overwrite").parquet(f"{path}/{DATASETS[name]}/window={window.name}")
 
 
@@ -82,9 +97,12 @@ def write_all_windows(
     windows: tuple[Window, ...] = WINDOWS + TEST_WINDOWS,
     names: tuple[str, ...] = tuple(DATASETS),
 ) -> None:
-    """The window driver: every dataset of every window."""
+    """The window driver: the log is read once into a cube stored by month, every dataset of every window from the cube."""
+    months = sorted({m for w in windows for m in months_of(w)})
+    month_cube(in_months(trade, months)).write.mode("overwrite").partitionBy("month").parquet(f"{path}/cube")
+    cube = trade.sparkSession.read.parquet(f"{path}/cube")
     for window in windows:
-        write_window(trade, window, path, names)
+        write_window(cube, window, path, names)
 
 
 def read_dataset(spark, path: str, name: str, window: Window) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, functions as F
 from cartwave.functions.columns import zero_nulls
 from cartwave.operators import families as fam
 from cartwave.operators.cube import roll, summary
-from cartwave.operators.joins import spread_join
 
 LETTER = {"user_id": "u", "brand_id": "b", "cat_id": "c", "item_id": "i"}
 ENTITY = {"brand": "brand_id", "cat": "cat_id", "item": "item_id", "user": "user_id"}
@@ -196,8 +195,7 @@ class Profiles:
     def user_pairs(self, attribute: str, label: DataFrame | None = None) -> DataFrame:
         """Pair statistics enriched with the user's and the entity's profile.
 
-        The label joins the narrow pair table first, on the pair key.  The two wide
-        joins split hot users and hot entities.
+        The label joins the narrow pair table first, on the pair key.
         """
         entity = ENTITY[attribute]
         pairs = self.activity_stats("user_id", entity)
@@ -205,18 +203,7 @@ class Profiles:
             pairs = pairs.join(label, ["user_id", entity], "left").fillna(0, ["target"])
         users = self.users(over=(attribute,), repeat=(attribute,))
         things = self._items() if attribute == "item" else self._group_profile(entity)
-        out = spread_join(
-            pairs, users, ["user_id"], [entity], weights=self._weights("user_id", entity)
-        )
-        out = spread_join(
-            out, things, [entity], ["user_id"], weights=self._weights(entity, "user_id")
-        )
-        return zero_nulls(out, keep=("user_id", entity))
-
-    def _weights(self, entity: str, other: str) -> DataFrame:
-        """Pair rows per entity."""
-        return (
-            self.rolled(entity, other)
-            .groupBy(entity)
-            .agg(F.count(F.lit(1)).alias("_rows"))
-        )
+        # sizes are known when the profiles are done: Spark then broadcasts a small side or splits a hot user's or entity's rows
+        out = pairs.join(users, "user_id", "left").join(things, entity, "left")
+        order = ["user_id", entity]
+        return zero_nulls(out.select(*order, *[c for c in out.columns if c not in order]), keep=("user_id", entity))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cartwave.learners import models as ml
 from cartwave.learners.forest import fit_grouped_forest
 from cartwave.operators import metrics, sampling
-from cartwave.session import cut, fresh_path, release
+from cartwave.session import _delete, cut, fresh_path
 from cartwave.sources.trade import canonical
 
 
@@ -86,10 +86,8 @@ def test_few_rows_repeated_often_are_spread(spark):
 
 
 def test_stored_tables_can_be_deleted(spark, tmp_path):
-    import os
-
     path = fresh_path(spark, "x")
-    spark.range(3).write.parquet(path)
-    assert os.path.isdir(path.removeprefix("file:"))
-    release(spark)
-    assert not os.path.exists(path.removeprefix("file:"))
+    assert spark.sparkContext.applicationId in path
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), str(tmp_path / "t"))
+    assert not (tmp_path / "t").exists()

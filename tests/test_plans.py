@@ -80,6 +80,23 @@ def test_windows_are_written_and_read(spark, sf_dir, tmp_path):
     assert ds.read_dataset(spark, str(tmp_path), "spend", TRAIN).count() == train.count()
 
 
+def test_all_windows_read_the_log_once(spark, sf_dir, tmp_path):
+    """The log is gone after the cube has been written; every later table comes from the cube."""
+    import shutil
+
+    star_trade(spark, sf_dir).write.parquet(str(tmp_path / "log"))
+    log, write = spark.read.parquet(str(tmp_path / "log")), ds.write_window
+
+    def after_the_cube(*args):
+        shutil.rmtree(tmp_path / "log", ignore_errors=True)
+        write(*args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ds, "write_window", after_the_cube)
+        ds.write_all_windows(log, str(tmp_path / "out"), windows=(TRAIN, SCORE), names=("user", "spend", "user_brand"))
+    assert ds.read_dataset(spark, str(tmp_path / "out"), "user_brand", TRAIN).count() > 0
+
+
 def test_read_or_build_builds_once(spark, tmp_path):
     calls = []
 
