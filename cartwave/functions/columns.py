@@ -12,10 +12,6 @@ def containing(df: DataFrame, fragment: str) -> list[str]:
     return [c for c in df.columns if fragment in c]
 
 
-def starting(df: DataFrame, prefix: str) -> list[str]:
-    return [c for c in df.columns if c.startswith(prefix)]
-
-
 def drop_containing(df: DataFrame, fragments: Iterable[str]) -> DataFrame:
     """Drop every column whose name contains one of the fragments."""
     parts = list(fragments)
