@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from cartwave.llm.common import small_batches
 from cartwave.llm.graph import components
 from cartwave.session import cut
 
@@ -43,7 +44,7 @@ SKETCHES, ROWS = 40, 2
 AGREE = 12
 CHUNK = 256
 BROADCAST = 1_000_000
-_CACHE = 400_000
+_CACHE = 100_000  # words kept in a task's memory before the cache starts anew
 
 _RNG = np.random.default_rng(20240607)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -197,10 +198,11 @@ def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["high", "low", "n", "bands", "values", "words"])
 
     body = F.coalesce(F.col(text), F.lit(""))
-    return cut(
-        docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(body).alias("text_hash"), run(body).alias("s"))
-        .select("uid", "doc_id", "text_hash", "s.*")
-    )
+    with small_batches(docs.sparkSession):
+        return cut(
+            docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(body).alias("text_hash"), run(body).alias("s"))
+            .select("uid", "doc_id", "text_hash", "s.*")
+        )
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -249,10 +251,11 @@ def _hub_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
 def _aligned_links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = cut(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct())
     words = _of(nodes.select("uid", "words"), ids)
-    return cut(
-        pairs.join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
-        .where(_linked("words_a", "words_b")).select("a", "b")
-    )
+    with small_batches(nodes.sparkSession):
+        return cut(
+            pairs.join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
+            .where(_linked("words_a", "words_b")).select("a", "b")
+        )
 
 
 def _dealt(members: DataFrame) -> DataFrame:

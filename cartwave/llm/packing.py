@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwave.llm.common import small_batches
 from cartwave.session import cut
 
 CAPACITY = 2048
@@ -82,7 +83,8 @@ def pieces(docs: DataFrame, coder: tuple, text: str = "text", capacity: int = CA
 
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("doc_id", F.explode(run(body)).alias("p")).select("doc_id", "p.*")
-    return cut(rows.select(F.monotonically_increasing_id().alias("uid"), "*"))
+    with small_batches(docs.sparkSession):
+        return cut(rows.select(F.monotonically_increasing_id().alias("uid"), "*"))
 
 
 class Genome:

@@ -39,7 +39,7 @@ _LETTERS, _DIGITS, _RUNS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.comp
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SHIFT = np.uint64(64 - BITS)
 # words kept in a task's memory before the cache starts anew
-_CACHE = 400_000
+_CACHE = 100_000
 
 
 class _Words(dict):

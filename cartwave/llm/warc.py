@@ -34,6 +34,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwave.llm.common import small_batches
 from cartwave.session import fresh_path
 
 REVISIT_BYTES = 1000
@@ -139,7 +140,8 @@ def write(pages: DataFrame, folder: str | None = None, revisit_bytes: int = REVI
     manifest = fresh_path(spark, "warc-manifest")
     # ids as text: pandas would turn whole numbers beside nulls into floats
     rows = planned(pages, revisit_bytes).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    rows.mapInPandas(dump, schema).write.parquet(manifest)
+    with small_batches(spark):
+        rows.mapInPandas(dump, schema).write.parquet(manifest)
     return spark.read.schema(schema).parquet(manifest).withColumn("folder", F.lit(folder))
 
 
