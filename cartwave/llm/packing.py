@@ -7,7 +7,8 @@ the other, removes the sequences that share pieces with them, and best-fits the
 dissolves the least filled sequences.  Every block is bred on ``ISLANDS`` islands, in tasks of their own; between ``EPOCHS``
 each island's elite also moves to the next island.  A block is done early when it needs no more sequences than its
 pieces' total length demands.  The sequences that stay short of ``FILLED`` are unpacked and packed again across blocks, level by
-level, until one block is left or nothing is short, so blocks cost no sequence each.
+level, until one block is left or nothing is short, so blocks cost no sequence each.  A level that saves no sequence is the last,
+as is the level ``LEVELS``; then what is short stays as it is, in the grouping that needs fewer sequences.
 
 Memory is bounded by a block; a task never holds more, whatever the corpus.  Seeds come from block, island and epoch, and pieces
 are read from a stored table, so a repeated task breeds the same again.
@@ -38,6 +39,7 @@ EPOCHS = 2
 POPULATION = 5
 GENERATIONS = 12
 FILLED = 0.97
+LEVELS = 16
 
 # beyond such runs of white space the fast library's pattern may give up
 _SPACE = re.compile(r"\s{1000}")
@@ -246,18 +248,29 @@ def packed(
 ) -> DataFrame:
     """The stored pieces with sequence_id and offset."""
     full = found.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("uid") * 2, "offset": F.lit(0).cast("long")})
-    rest, level, done = found.where(F.col("length") < capacity).select("uid", "length"), 0, []
-    while True:
-        blocks = max(1, -(-rest.count() // block))
+    rest, done = found.where(F.col("length") < capacity).select("uid", "length"), []
+    short = F.col("fill") < F.lit(capacity * filled)
+    pieces_left = rest.count()
+    before, kept = pieces_left, None  # sequences that the level starts from, at first one to a piece, and their grouping
+    for level in range(LEVELS):
+        blocks = max(1, -(-pieces_left // block))
         now = _packed(rest, level, blocks, islands, epochs, capacity)
         # odd numbers; a block has fewer than 2 ** 20 sequences
         name = ((F.lit(level) * F.lit(1 << 32) + F.col("block")) * F.lit(1 << 20) + F.col("bin")) * 2 + 1
-        last = blocks == 1
-        short = F.lit(False) if last else F.col("fill") < F.lit(capacity * filled)
-        done.append(now.where(~short).select("uid", name.alias("sequence_id"), F.col("place").alias("offset")))
-        if last:
+        now = now.select("uid", "length", "fill", name.alias("sequence_id"), F.col("place").alias("offset"))
+        # every sequence has one piece at its start
+        first = F.col("offset") == 0
+        n = now.agg(F.count_if(first).alias("all"), F.count_if(first & short).alias("short"), F.count_if(short).alias("pieces")).first()
+        if kept is not None and n["all"] > before:
+            done.append(kept)
             break
-        rest, level = now.where(short).select("uid", "length"), level + 1
+        if blocks == 1 or n["all"] >= before or not n["short"] or level == LEVELS - 1:
+            done.append(now)
+            break
+        done.append(now.where(~short))
+        kept = now.where(short)
+        rest, before, pieces_left = kept.select("uid", "length"), n["short"], n["pieces"]
+    done = [d.select("uid", "sequence_id", "offset") for d in done]
     placed = done[0]
     for d in done[1:]:
         placed = placed.union(d)

@@ -83,3 +83,24 @@ def test_evolution_beats_best_fit():
 def test_best_fit_takes_the_tightest():
     g = p.Genome([60, 70, 30, 40, 25], 100).insert([0, 1, 2, 3, 4])
     assert g.bins == [[0, 3], [1, 2], [4]]
+
+
+@pytest.mark.parametrize(("length", "each"), [(1500, 1), (900, 2)])
+def test_pieces_that_fill_no_sequence_end(spark, monkeypatch, length, each):
+    """More than a block of pieces that can't be combined to filled sequences."""
+    levels, plain = [], p._packed
+
+    def counted(*args):
+        levels.append(args[1])
+        assert len(levels) <= 4
+        return plain(*args)
+
+    monkeypatch.setattr(p, "_packed", counted)
+    found = spark.createDataFrame([(i, i, length) for i in range(300)], "uid long, doc_id long, length long")
+    rows = p.packed(found, block=64).collect()
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append(r["offset"])
+    assert sorted(r["doc_id"] for r in rows) == list(range(300))
+    assert all(sorted(x) == [length * i for i in range(len(x))] and len(x) <= each for x in places.values())
+    assert len(places) <= 300 // each + 5  # an odd piece to a block at most
