@@ -2,8 +2,8 @@
 
 A text is the first layer.  Every layer is searched for the base kinds (``KINDS``) and for encoded passages: percent escapes,
 Unicode escapes (``\\u0041``, ``\\x41``, ``&#65;``), base64 (both alphabets, also wrapped over lines) and hexadecimal, whose
-bytes may be gzip, zlib, bzip2, xz or Zstandard data.  Each passage that decodes to readable text is a new layer, until none
-is left.  A layer that has already come from the same place ends a cycle.  What a layer holds is reported at the passage of the
+bytes may be gzip, zlib, bzip2, xz or Zstandard data, of any number of members.  Each passage that decodes is a new layer, until
+none is left; bytes that are no UTF-8 are read as Latin-1, and what follows compressed data is read with it.  A layer that has already come from the same place ends a cycle.  What a layer holds is reported at the passage of the
 original text that it came from, as ``kind@path`` (``access@base64.gzip``).  Compressed data beyond ``MAX_LAYER`` characters
 is not unpacked but reported as ``oversize@path``, so nothing is passed over in silence.
 
@@ -46,6 +46,10 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:(?<=[A-Za-z0-9+/_-]{60})\r?\n[A-Za
 _WORD = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 _PAIRS = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
 _MAGIC = ((b"\x1f\x8b\x08", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"))
+_TOOLS = {
+    "gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor,
+    "zstd": lambda: zstandard.ZstdDecompressor().decompressobj(),
+}
 
 Span = tuple[str, int, int, str]
 #: from a place in a layer to the place in the text
@@ -69,45 +73,76 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _readable(data: bytes) -> str | None:
+def _text(data: bytes) -> tuple[str, bool]:
+    """The text of decoded bytes, and whether all of it is readable."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        return data.decode("latin-1"), False
+    return text, bool(text) and all(c.isprintable() or c in "\t\r\n" for c in text)
 
 
-def _unpack(data: bytes) -> tuple[bytes | None, str]:
-    """The data behind one compressed layer and its name; no data if it is too large, no name if it isn't compressed."""
+def _compressed(data: bytes) -> str:
+    """The name of the compression that the data begins like, if any."""
     name = next((n for magic, n in _MAGIC if data.startswith(magic)), "")
     if not name and len(data) > 6 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
         name = "zlib"
-    try:
-        if name == "zstd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER + 1)
-        elif name:
-            make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
-            out = make[name]().decompress(data, MAX_LAYER + 1)
-        else:
-            return None, ""
-    except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
-        return None, ""
-    return (None if len(out) > MAX_LAYER else out), name
+    return name
 
 
-def _from_bytes(data: bytes, path: str) -> tuple[str | None, str]:
-    """Text of decoded bytes, through any compressed layers, and the path to it."""
+def _member(name: str, data: bytes, at: int, room: int) -> tuple[bytes, int, bool]:
+    """Up to ``room`` bytes of the member that begins at a place, the place behind it, and whether it is complete."""
+    tool, out = _TOOLS[name](), []
+    # small steps bound what one call without a limit can return, and what is copied behind a member
+    step = 64 if name == "zstd" else 1 << 14
+    while at < len(data) and not tool.eof and room > 0:
+        part = data[at : at + step]
+        new = tool.decompress(part) if name == "zstd" else tool.decompress(part, room)
+        out.append(new)
+        room -= len(new)
+        at += len(part) - len(tool.unused_data)
+    return b"".join(out), at, tool.eof
+
+
+def _unpack(data: bytes) -> tuple[bytes | None, str]:
+    """The data behind one compressed layer and its name; no data if it is too large, no name if it isn't compressed."""
+    name = kind = _compressed(data)
+    out, size, at = [], 0, 0
+    while kind:
+        try:
+            new, end, whole = _member(kind, data, at, MAX_LAYER + 1 - size)
+        except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
+            break
+        if not new and not whole:
+            break
+        out.append(new)
+        size += len(new)
+        if size > MAX_LAYER:
+            return None, name
+        # two bytes are weak evidence of zlib data, so what has no end is also read as it is
+        at = end if whole or kind != "zlib" else at
+        if not whole:
+            break
+        # members may be padded
+        while at < len(data) and not data[at]:
+            at += 1
+        kind = _compressed(data[at : at + 8])
+    return (b"".join([*out, data[at:]]), name) if out else (None, "")
+
+
+def _from_bytes(data: bytes, path: str) -> tuple[str | None, bool, str]:
+    """Text of decoded bytes, through any compressed layers, whether all of it is readable, and the path to it."""
     seen = set()
     while True:
         out, name = _unpack(data)
         if not name:
-            return _readable(data), path
+            return *_text(data), path
         path = f"{path}.{name}"
         if out is None:
-            return None, f"oversize@{path}"
+            return None, False, f"oversize@{path}"
         mark = hashlib.blake2b(out, digest_size=16).digest()
         if mark in seen:
-            return None, path
+            return None, False, path
         seen.add(mark)
         data = out
 
@@ -169,12 +204,13 @@ def _layers(text: str) -> Iterator[tuple[str, str | None, int, int, list[int] |
         parts = [m] if len(m[0].split("\n")) == 1 and _WORD.fullmatch(m[0]) else [m, *_WORD.finditer(text, m.start(), m.end())]
         for part in parts:
             data = None if found else _base64(part[0])
-            new, path = _from_bytes(data, "base64") if data else (None, "")
+            new, readable, path = _from_bytes(data, "base64") if data else (None, False, "")
             if new is not None or path.startswith("oversize"):
-                found = part is m
+                # a passage that isn't all readable may hold words that are encoded each for itself
+                found = part is m and (readable or new is None)
                 yield path, new, part.start(), part.end(), None
     for m in _PAIRS.finditer(text):
-        new, path = _from_bytes(bytes.fromhex(m[0]), "base16")
+        new, _, path = _from_bytes(bytes.fromhex(m[0]), "base16")
         if new is not None or path.startswith("oversize"):
             yield path, new, m.start(), m.end(), None
 

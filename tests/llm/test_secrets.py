@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -113,3 +114,32 @@ def test_odd_rows(spark):
     assert out[(1, 1_000_000 + len(s.MASK))]["n_chars"] == 1_000_000 + len(s.MASK)
     assert out[(2, 2 + len(s.MASK))]["text"] == f"x {s.MASK}"
     assert s.without_secrets(docs.limit(0)).count() == 0
+
+
+def test_odd_characters_hide_nothing():
+    for odd in ("\ufeff", "\xa0", "\u200b", "\u3000", "\x1b[31m", "\0"):
+        data = f"{odd}key {KEY} end{odd}".encode()
+        for path, code in (("base64", base64.b64encode(data).decode()), ("base16", data.hex()), ("base64.gzip", base64.b64encode(gzip.compress(data)).decode())):
+            assert ("access", 2, 2 + len(code), path) in s.spans(f"x {code} y"), (odd, path)
+    for data in (f"caf\xe9 {KEY} end".encode("latin-1"), bytes(range(128, 256)) * 3 + f" {KEY} ".encode()):
+        code = base64.b64encode(data).decode()
+        assert ("access", 2, 2 + len(code), "base64") in s.spans(f"x {code} y")
+    # words encoded each for itself, though all of the passage decodes to some bytes
+    code = base64.b64encode(f"key {KEY} end".encode()).decode().rstrip("=")
+    assert [x[0] for x in s.spans(f"{'a' * 20}/{code}")] == ["access"]
+
+
+def test_every_member_is_read():
+    first, second = b"nothing in this one " * 5, f"then {KEY} at the end".encode()
+    tools = {"gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}
+    for name, pack in tools.items():
+        for data in (pack(first) + pack(second), pack(first) + bytes(8) + pack(second), pack(first) * 40 + pack(second), pack(first) + second, pack(b"") + pack(second)):
+            code = base64.b64encode(data).decode()
+            assert ("access", 2, 2 + len(code), f"base64.{name}") in s.spans(f"x {code} y"), name
+
+
+def test_members_count_together_as_oversize(monkeypatch):
+    monkeypatch.setattr(s, "MAX_LAYER", 1000)
+    for pack in (gzip.compress, zstandard.compress):
+        bomb = base64.b64encode(pack(b"ab" * 300) * 2).decode()
+        assert [x[0] for x in s.spans(f"x {bomb}")] == ["oversize"]
