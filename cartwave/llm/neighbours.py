@@ -8,7 +8,9 @@ in at least one substring.  So each substring has an index of its values; probin
 within the radius, and all those are reranked by the inner products of the original vectors in double precision.
 
 The radius is the distance within which the sample's own neighbours lie, but for ``1 - COVER`` of them; the whole table is denser
-than the sample, its neighbours nearer.  Every row is indexed, and nothing is capped.
+than the sample, its neighbours nearer.  Queries that have fewer than ``k`` codes within the radius, as those far from dense groups
+do, are probed again with a radius half-way to ``BITS``, and then with ``BITS``, at which all rows are candidates.  Every row is
+indexed, and nothing is capped.
 
 Queries and rows are dealt in blocks of ``QUERIES`` and ``ROWS``; a task indexes one block of rows and answers one block of
 queries, and returns ``k`` rows at most per query.
@@ -148,7 +150,7 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, key: str = "vec_id",
         some = rows.orderBy("id").limit(SAMPLE).select("v").toPandas()
     codes = learn(np.stack(some["v"]), float(np.sqrt(facts["square"])), k)
     shared = spark.sparkContext.broadcast(codes)
-    row_blocks, query_blocks = -(-facts["n"] // ROWS), max(1, -(-(facts["asked"] or 0) // QUERIES))
+    row_blocks = -(-facts["n"] // ROWS)
 
     def encode(batches):
         for batch in batches:
@@ -166,7 +168,7 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, key: str = "vec_id",
             own: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1))),
         })
 
-    def answer(part: pd.DataFrame) -> pd.DataFrame:
+    def answer(part: pd.DataFrame, radius: int) -> pd.DataFrame:
         part = part.sort_values("id", kind="stable")
         asks, index = part[part["query"]], part[~part["query"]]
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
@@ -174,7 +176,7 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, key: str = "vec_id",
             return none
         codes_q, codes_r = (np.frombuffer(b"".join(s["code"]), np.uint16).reshape(len(s), -1) for s in (asks, index))
         v, ids, out = _matrix(index["v"]), index["id"].to_numpy(), [none]
-        for query, q, near in zip(asks["id"], _matrix(asks["v"]), within(codes_q, codes_r, shared.value.radius), strict=True):
+        for query, q, near in zip(asks["id"], _matrix(asks["v"]), within(codes_q, codes_r, radius), strict=True):
             near = near[ids[near] != query]
             score = v[near] @ q
             # ids rise, so a stable sort leaves the smaller id first
@@ -182,11 +184,26 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, key: str = "vec_id",
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near[best]], "score": score[best]}))
         return pd.concat(out)
 
-    index = dealt(coded(rows, False), "b", row_blocks, "c", query_blocks)
-    queries = dealt(coded(rows.where(asked), True), "c", query_blocks, "b", row_blocks)
-    found = index.unionByName(queries).groupBy("b", "c").applyInPandas(answer, out_schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    def nearest(left: DataFrame, n: int, radius: int) -> DataFrame:
+        blocks = max(1, -(-n // QUERIES))
+        index = dealt(coded(rows, False), "b", row_blocks, "c", blocks)
+        queries = dealt(coded(left, True), "c", blocks, "b", row_blocks)
+        found = index.unionByName(queries).groupBy("b", "c").applyInPandas(lambda part: answer(part, radius), out_schema)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+
+    want = min(k, facts["n"] - 1)
+    left, n, radius, done = rows.where(asked), facts["asked"] or 0, codes.radius, None
+    while True:
+        got = nearest(left, n, radius)
+        n = 0
+        if radius < BITS:
+            full = got.where(F.col("rank") == want).select(F.col("query_id").alias("id"))
+            few = cut(left.join(full, "id", "left_anti"))
+            n = few.count()
+        if n:
+            got = got.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+        done = got if done is None else done.unionByName(got)
+        if not n:
+            return done.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        left, radius = few, (radius + BITS + 1) // 2 if radius == codes.radius else BITS

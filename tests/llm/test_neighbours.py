@@ -75,3 +75,20 @@ def test_odd_rows(spark):
     }
     for none in (df.limit(0), df.where("vec_id = 3"), df.where("vec_id in (1, 2)")):
         assert n.search(none, F.col("id") % 20 == 0).count() == 0
+
+
+def test_outliers_of_dense_groups_have_all_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(n, "ROWS", 700)
+    monkeypatch.setattr(n, "QUERIES", 30)
+    rng = np.random.default_rng(4)
+    centre = np.repeat(rng.normal(size=(20, 32)), 98, axis=0)
+    v = np.vstack([centre + 0.01 * rng.normal(size=centre.shape), rng.normal(size=(40, 32))])
+    # a quarter of the outliers are queries, and there is one query that all else is opposite to
+    v[-1] = -10 * centre.mean(0)
+    ids = np.arange(len(v))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = (F.col("id") % 20 == 0) | ((F.col("id") >= 1960) & (F.col("id") % 4 == 3))
+    got = n.search(df, asked).toPandas()
+    sizes = got.groupby("query_id").size()
+    assert set(sizes.index) == {i for i in range(2000) if i % 20 == 0 or i >= 1960 and i % 4 == 3} and (sizes == 20).all()
+    assert recall(got, ids, v) >= 0.8
