@@ -2,7 +2,8 @@
 
 A text is the sequence of its word shingles (``SHINGLE`` lower-cased white-space words; a shorter text is one shingle).  Shingles
 are labelled by occurrence.  Each of ``SKETCHES`` hash functions takes the two smallest labelled shingles and keeps them in text
-order, so equal values speak for equal shingles in equal order.  ``ROWS`` values make a band, and texts that share a band are
+order, so equal values speak for equal shingles in equal order.  A second sketch is of the first occurrences alone; it is the same
+if no shingle is repeated.  ``ROWS`` values of a sketch make a band, and texts that share a band of either sketch are
 candidates.  A pair is linked if a banded alignment of the two shingle sequences keeps, in order, at least ``SIMILARITY`` of
 all shingles, aligned / (all of both - aligned), or of their first occurrences.  A class is a connected component of links.
 
@@ -15,7 +16,7 @@ Texts with the same words are one node, so copies are never paired.  Within a ba
    pairs that its own links have already joined.
 
 So no bucket is gathered in a task, none is capped, and every pair of a bucket is either aligned, ruled out by its sketches
-(fewer than ``AGREE`` of them agree, which at the similarity sought has a chance of about 1e-5) or already in one class.
+(in both sketches fewer than ``AGREE`` values agree, which at the similarity sought has a chance of about 1e-5) or already in one class.
 
 Odd rows: null and empty texts form one class; texts of under ``SHINGLE`` words are only linked to copies; repeated rows are in one
 class; very long texts are aligned within a band that follows from the similarity; a null doc_id has no say in the class id, the
@@ -108,6 +109,13 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(items: np.ndarray) -> np.ndarray:
+    """The sketches of a sequence of shingles and of its first occurrences."""
+    first = np.sort(np.unique(items, return_index=True)[1])
+    values = sketch(items)
+    return np.stack([values, values if len(first) == len(items) else sketch(items[first])])
+
+
 def bands(values: np.ndarray) -> np.ndarray:
     """Keys of the bands of a sketch, different from band to band."""
     rows = values.reshape(-1, ROWS)
@@ -192,9 +200,10 @@ def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in batch:
                 words = np.array([known[w] for w in t.lower().split()], np.uint32)
                 name = xxhash.xxh3_128_digest(words.tobytes())
-                values = sketch(shingles(words))
+                values = sketches(shingles(words))
+                keys = bands(values[0]) if (values[0] == values[1]).all() else np.unique(np.r_[bands(values[0]), bands(values[1])])
                 high, low = np.frombuffer(name, np.int64).tolist()
-                rows.append((high, low, len(words), bands(values), values.astype(np.uint16).tobytes(), words.tobytes()))
+                rows.append((high, low, len(words), keys, values.astype(np.uint16).tobytes(), words.tobytes()))
             yield pd.DataFrame(rows, columns=["high", "low", "n", "bands", "values", "words"])
 
     body = F.coalesce(F.col(text), F.lit(""))
@@ -206,11 +215,12 @@ def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many values of each sketch of ``a`` equal those of each of ``b``."""
-    out = np.zeros((len(a), len(b)), np.uint8)
+    """How many values of each text of ``a`` equal those of each of ``b``, in the sketches that agree more."""
+    out = np.zeros((2, len(a), len(b)), np.uint8)
     for i in range(SKETCHES):
-        out += a[:, i, None] == b[None, :, i]
-    return out
+        out[0] += a[:, i, None] == b[None, :, i]
+        out[1] += a[:, SKETCHES + i, None] == b[None, :, SKETCHES + i]
+    return out.max(0)
 
 
 @F.pandas_udf(BooleanType())
@@ -218,7 +228,7 @@ def _worth(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=bool)
     x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(1) >= AGREE)
+    return pd.Series((x == y).reshape(len(x), 2, SKETCHES).sum(2).max(1) >= AGREE)
 
 
 @F.pandas_udf(BooleanType())

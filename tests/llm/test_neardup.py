@@ -130,3 +130,29 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
     assert {got[i] for i in range(200, 260)} == {200}
+
+
+def test_passages_repeated_more_or_less_often(spark):
+    """Pages of nearly the same shingles whose passages are repeated 1, 2, 3 and 8 times, against brute force without regard to length."""
+    rng = random.Random(12)
+    vocabulary = [f"u{i}" for i in range(3000)]
+    texts = []
+    for _ in range(8):
+        passage = [rng.choice(vocabulary) for _ in range(100)]
+        texts += [" ".join(passage * times) for times in (1, 3, 2, 8)]
+        texts.append(" ".join(edited(rng, passage, 2, vocabulary) * 4))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in n.near_copies(df).collect()}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if find(i) != find(j) and len(set(texts[i].split()) & set(texts[j].split())) > 50 and kept(texts[i], texts[j]) >= 0.8:
+            low, high = sorted((find(i), find(j)))
+            root[high] = low
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) < len(texts) / 3
