@@ -33,6 +33,76 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP12 = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+    SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units,
+           [CAST('0x' || substr(h, 1, 8) AS BIGINT), CAST('0x' || substr(h, 9, 8) AS BIGINT)] AS cuts,
+           CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 OR text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+               OR contains(text, '<M>') AS plain,
+           CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS spm
+    FROM d
+), c AS (
+    SELECT *, least(cuts[1] % (len(units) + 1), cuts[2] % (len(units) + 1)) AS a, greatest(cuts[1] % (len(units) + 1), cuts[2] % (len(units) + 1)) AS b
+    FROM u
+), p AS (
+    SELECT *, array_to_string(list_slice(units, 1, a), '') AS prefix, array_to_string(list_slice(units, a + 1, b), '') AS middle,
+           array_to_string(list_slice(units, b + 1, len(units)), '') AS suffix
+    FROM c
+)
+SELECT doc_id, CAST(len(units) AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+OP13 = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+           min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+    FROM documents
+), l AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+        'A': len(words) < 200,
+        'B': 100 * len(list_distinct(words)) < 50 * len(words),
+        'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text),
+        'D': regexp_matches(text, '[#$%&*|]'),
+        'E': coalesce(d.doc_id > least, false)
+    } AS x
+    FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+), g AS (
+    SELECT part, good, toxic, (CASE WHEN x.A THEN 'A' ELSE '' END || CASE WHEN x.B THEN 'B' ELSE '' END || CASE WHEN x.C THEN 'C' ELSE '' END
+           || CASE WHEN x.D THEN 'D' ELSE '' END || CASE WHEN x.E THEN 'E' ELSE '' END) AS failed, count(*) AS n
+    FROM f GROUP BY ALL
+), k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k), o AS (
+    SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM k a, k b, k c, k d, k e
+    WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), s AS (
+    SELECT filter_order, step, filter_order[step] AS own, substr(filter_order, 1, step - 1) AS earlier
+    FROM o, (SELECT unnest(range(1, 6)) AS step)
+), t AS (
+    SELECT part, filter_order, step, own, n, good, toxic, contains(failed, own) AS fails, failed = own AS only_this,
+           regexp_matches(failed, '[' || earlier || '-]') AS gone
+    FROM g, s
+), r AS (
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+           sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN only_this THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN NOT gone AND fails AND good THEN n ELSE 0 END) AS good_lost,
+           sum(CASE WHEN NOT gone AND fails AND toxic THEN n ELSE 0 END) AS toxic_lost
+    FROM t GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
 
 def _marked() -> str:
     signs = d._NUMBER + d._NAME + d._UNIT
