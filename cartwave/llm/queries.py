@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwave.llm import audit, chat, decontaminate, infill, neardup, neighbours, packing, pii, quality, secrets, sql, toxicity, warc
+from cartwave.llm import audit, chat, decontaminate, gramjoin, infill, neardup, neighbours, packing, pii, quality, secrets, sql, toxicity, warc
 from cartwave.llm.common import held_out, span_list, table
 from cartwave.registry.base import Registry
 
@@ -78,6 +78,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gramjoin.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     output, form = F.col("fim.output"), F.col("fim.form")
@@ -102,5 +106,6 @@ def register(found: Registry) -> None:
     found.add("op8_quality_classifier", op8_quality_classifier)
     found.add("op9_nearest_neighbours", op9_nearest_neighbours)
     found.add("op10_minhash_near_dedup", op10_minhash_near_dedup)
+    found.add("op11_ngram_jaccard_join", op11_ngram_jaccard_join)
     found.add("op12_fill_in_middle", op12_fill_in_middle, sql.OP12)
     found.add("op13_filter_audit", op13_filter_audit, sql.OP13)
