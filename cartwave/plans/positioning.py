@@ -10,28 +10,24 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    NaiveBayes,
-    RandomForestClassifier,
-)
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cartwave.functions.columns import drop_containing, feature_columns
 from cartwave.functions.geo import Grid
-from cartwave.learners.boosting import BoostedClassifier
+from cartwave.learners import multiclass as mc
 from cartwave.learners.forest import fit_grouped_forest
 from cartwave.learners.models import Neighbours
 from cartwave.operators.joins import spread_join
 from cartwave.operators.metrics import (
     first_of_group,
     top_cell_scores,
-    top_values,
     with_distance,
 )
 from cartwave.operators.ranking import sorted_curve, take_smallest, upper_median
@@ -250,124 +246,130 @@ def forest_errors(
 
 # -- grid cells ------------------------------------------------------------------
 
+# fixed values: columns of the board
 CELL_BOARD = (
     "Name string, Time double, Recall double, F double, Precision double, "
-    "`Overall Precision` double, `Median Error` double"
+    "`Overall Precision` double, `Median Error` double, Problem string"
 )
 
 
-class FrequentCells:
-    """One-against-rest boosting on the most frequent cells.
+@dataclass
+class BoostedCells:
+    """Boosting over every cell, for all splits in the same jobs: ``stumps`` or ``softmax`` trees."""
 
-    Boosted trees are binary in Spark, so one model per cell is fitted for the
-    ``cells`` most frequent cells only; records of other cells train as "rest".
-    """
+    kind: str
+    rounds: int
 
-    def __init__(self, estimator, cells: int = 10):
-        self.estimator, self.cells = estimator, cells
-
-    def fit(self, df: DataFrame):
-        top = [r["target"] for r in top_values(df, "target", self.cells).collect()]
-        models = [
-            (c, self.estimator.fit(df.withColumn("target", (F.col("target") == c).cast("double"))))
-            for c in top
-        ]
-        return _FrequentCellsModel(models)
-
-
-class _FrequentCellsModel:
-    def __init__(self, models):
-        self.models = models
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out, votes = df, []
-        for i, (cell, model) in enumerate(self.models):
-            out = model.transform(out)
-            # binary models of both kinds end with a score of class 1
-            if "probability" in out.columns:
-                score = vector_to_array("probability")[1]
-                spare = ["rawPrediction", "probability", "prediction"]
-            else:
-                score, spare = F.col("prediction"), ["prediction"]
-            out = out.withColumn(f"_s{i}", score).drop(*spare)
-            votes.append(
-                F.struct(F.col(f"_s{i}").alias("s"), F.lit(-i).alias("i"), F.lit(float(cell)).alias("c"))
-            )
-        best = F.greatest(*votes) if len(votes) > 1 else votes[0]
-        return out.withColumn("prediction", best["c"]).drop(*[f"_s{i}" for i in range(len(votes))])
+    def predict_splits(self, known: DataFrame, features: Sequence[str], classes: int, splits: int) -> DataFrame:
+        marked = known
+        for s in range(splits):
+            marked = with_split(marked, ["row_id"], s).withColumn(f"_in{s}", F.col("is_test") == 0).drop("is_test")
+        rows = mc.prepared(marked, features, "target", [F.col(f"_in{s}") for s in range(splits)], ["row_id"])
+        if self.kind == "stumps":
+            deciders = [mc.stump_classes(m, classes) for m in mc.boost_stumps(rows, classes, splits, self.rounds)]
+        else:
+            deciders = [mc.softmax_classes(m) for m in mc.boost_softmax(rows, classes, splits, self.rounds)]
+        return mc.predicted(rows, deciders, "row_id")
+
+
+@dataclass
+class PerSplit:
+    """An estimator fitted once per split; the jobs of up to ``parallelism`` splits share the cluster."""
+
+    estimator: object
+    parallelism: int = 4
+
+    def predict_splits(self, known: DataFrame, features: Sequence[str], classes: int, splits: int) -> DataFrame:
+        def one(split: int) -> DataFrame:
+            marked = with_split(known, ["row_id"], split)
+            fitted = self.estimator.fit(marked.where("is_test = 0").select("features", "target"))
+            scored = fitted.transform(marked.where("is_test = 1").select("row_id", "features"))
+            return cut(scored.select(F.lit(split).alias("split"), "row_id", F.col("prediction").cast("int").alias("prediction")))
+
+        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
+            parts = list(pool.map(inheritable_thread_target(known.sparkSession)(one), range(splits)))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
 
 def cell_models(rounds: dict[str, int] = {"ada": 50, "gbt": 10}) -> list[tuple[str, object]]:
-    """The seven position classifiers; trees keep a limited depth for so many cells."""
+    """The seven position classifiers; Spark's trees have a limited depth."""
     label = {"labelCol": "target", "seed": 0}
     return [
-        ("GaussianNB", NaiveBayes(modelType="gaussian", labelCol="target")),
-        ("KNeighborsClassifier", Neighbours(3)),
-        ("DecisionTreeClassifier", DecisionTreeClassifier(maxDepth=10, **label)),
-        ("AdaBoostClassifier", FrequentCells(BoostedClassifier(rounds=rounds["ada"]))),
-        ("RandomForestClassifier", RandomForestClassifier(numTrees=10, maxDepth=8, **label)),
-        ("BaggingClassifier", RandomForestClassifier(
-            numTrees=10, featureSubsetStrategy="all", maxDepth=8, **label)),
-        ("GradientBoostingClassifier", FrequentCells(
-            GBTClassifier(maxIter=rounds["gbt"], maxDepth=3, **label))),
+        ("GaussianNB", PerSplit(NaiveBayes(modelType="gaussian", labelCol="target"))),
+        ("KNeighborsClassifier", PerSplit(Neighbours(3))),
+        ("DecisionTreeClassifier", PerSplit(DecisionTreeClassifier(maxDepth=10, **label))),
+        ("AdaBoostClassifier", BoostedCells("stumps", rounds["ada"])),
+        ("RandomForestClassifier", PerSplit(RandomForestClassifier(numTrees=10, maxDepth=8, **label))),
+        ("BaggingClassifier", PerSplit(RandomForestClassifier(numTrees=10, featureSubsetStrategy="all", maxDepth=8, **label))),
+        ("GradientBoostingClassifier", BoostedCells("softmax", rounds["gbt"])),
     ]
 
 
+def numbered_cells(table: DataFrame, cell: str = "Target") -> DataFrame:
+    """(cell, target): cells that occur, numbered from 0 by id.  There are at most as many as the grid has."""
+    return table.select(F.col(cell).alias("cell")).distinct().withColumn(
+        "target", (F.row_number().over(Window.orderBy("cell")) - 1).cast("int")
+    )
+
+
 def rank_cell_models(
     models: Sequence[tuple[str, object]], table: DataFrame, grid: Grid, splits: int = 10
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Cell scores and distance errors per model, averaged over the splits.
+    """Cell scores and distance errors per model, averaged over the splits; a model that fails is on the board with its problem.
 
-    Cells are indexed by frequency for training and turned back into cell ids.
-    Returns the leaderboard and each model's test errors (``split``, ``dist``).
+    Returns the leaderboard and each model's test errors (``split``, ``row_id``, ``cell``, ``pred_cell``, ``dist``).
     """
     spark = table.sparkSession
-    vectors = VectorAssembler(inputCols=position_features(table), outputCol="features").transform(
-        table
-    ).select("row_id", "Latitude_m", "Longitude_m", "Target", "features")
-    indexed = StringIndexer(inputCol="Target", outputCol="target_index").fit(vectors)
-    names = F.array(*[F.lit(int(x)) for x in indexed.labels])
-    known = cut(
-        indexed.transform(vectors)
-        .withColumnRenamed("Target", "cell")
-        .withColumnRenamed("target_index", "target")
-    )
+    features = position_features(table)
+    cells = cut(numbered_cells(table))
+    classes = cells.count()
+    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(table).withColumnRenamed("Target", "cell")
+    known = cut(vectors.select("row_id", "Latitude_m", "Longitude_m", "cell", "features", *features).join(cells, "cell"))
+    truth = known.select("row_id", "Latitude_m", "Longitude_m", "cell")
+    named = cells.select(F.col("target").alias("prediction"), F.col("cell").alias("pred_cell"))
     rows, errors = [], {}
     for name, model in models:
         try:
-            scores, parts, spent = [], None, 0.0
-            for split in range(splits):
-                start = time.time()
-                marked = with_split(known, ["row_id"], split)
-                fitted = model.fit(marked.where("is_test = 0").select("features", "target"))
-                asked = marked.where("is_test = 1").select(
-                    "row_id", "Latitude_m", "Longitude_m", "cell", "features"
-                )
-                scored = fitted.transform(asked).withColumn(
-                    "pred_cell", F.get(names, F.col("prediction").cast("int"))
-                )
-                lat, lon = grid.centre_of(F.col("pred_cell"))
-                placed = with_distance(
-                    scored.withColumns({"pred_latitude": lat, "pred_longitude": lon})
-                ).select(F.lit(split).alias("split"), "row_id", "cell", "pred_cell", "dist")
-                placed = cut(placed)
-                scores.append(top_cell_scores(placed, "cell", "pred_cell").first())
-                parts = placed if parts is None else parts.unionByName(placed)
-                spent += time.time() - start
-            curve = sorted_curve(parts, ["split"], "dist").groupBy("rank").agg(
-                F.avg("dist").alias("dist")
+            start = time.time()
+            found = model.predict_splits(known, features, classes, splits).join(named, "prediction").join(truth, "row_id")
+            lat, lon = grid.centre_of(F.col("pred_cell"))
+            placed = cut(
+                with_distance(found.withColumns({"pred_latitude": lat, "pred_longitude": lon}))
+                .select("split", "row_id", "cell", "pred_cell", "dist")
             )
+            spent = time.time() - start
+            scores = [top_cell_scores(placed.where(F.col("split") == s), "cell", "pred_cell").first() for s in range(splits)]
+            curve = sorted_curve(placed, ["split"], "dist").groupBy("rank").agg(F.avg("dist").alias("dist"))
             middle = upper_median(curve.withColumn("model", F.lit(name)), ["model"], "dist")
             mean = {c: sum(s[c] for s in scores) / splits for c in scores[0].asDict()}
             rows.append((
                 name, spent / splits, mean["recall"], mean["f"], mean["precision"],
-                mean["accuracy"], middle.first()["median"],
+                mean["accuracy"], middle.first()["median"], None,
             ))
-            errors[name] = parts
-        except Exception as problem:  # noqa: BLE001 - a failing model is reported, not fatal
-            print(f"{name} skipped: {str(problem)[:300]}")
+            errors[name] = placed
+        except Exception as problem:  # noqa: BLE001 - stands on the board
+            rows.append((name, *[None] * 6, str(problem)[:300]))
     board = spark.createDataFrame(rows, CELL_BOARD)
-    return board.orderBy(F.col("Median Error").desc(), "Name"), errors
+    return board.orderBy(F.col("Median Error").desc_nulls_last(), "Name"), errors
+
+
+def first_stumps(table: DataFrame, features: Sequence[str], splits: int = 10) -> DataFrame:
+    """(split, feature, bin, left_cell, right_cell, error): the first round of the stumps, before any row has a weight."""
+    cells = cut(numbered_cells(table))
+    marked = table.withColumnRenamed("Target", "cell").join(cells, "cell")
+    for s in range(splits):
+        marked = with_split(marked, ["row_id"], s).withColumn(f"_in{s}", F.col("is_test") == 0).drop("is_test")
+    rows = mc.prepared(marked, features, "target", [F.col(f"_in{s}") for s in range(splits)])
+    found = mc.stump_round(rows, cells.count(), [[] for _ in range(splits)], range(splits))
+    stumps = table.sparkSession.createDataFrame(
+        [(s, features[t.feature], t.bin, t.left, t.right, t.error) for s, t in found.items()],
+        "split long, feature string, bin long, target int, right int, error double",
+    )
+    left = stumps.join(cells.withColumnRenamed("cell", "left_cell"), "target").drop("target")
+    return left.withColumnRenamed("right", "target").join(cells.withColumnRenamed("cell", "right_cell"), "target").drop("target")
 
 
 # -- comparison -----------------------------------------------------------------

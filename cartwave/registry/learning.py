@@ -13,6 +13,7 @@ from cartwave.operators import labels, metrics, sampling
 from cartwave.plans import datasets as ds
 from cartwave.plans import positioning as pos
 from cartwave.plans import training as tr
+from cartwave.registry import signal_sql as sq
 from cartwave.registry import trade_sql as q
 from cartwave.registry.base import Registry, rounded, sql_double, sql_whole
 from cartwave.registry.purchase import light
@@ -379,8 +380,33 @@ def register(r: Registry) -> None:
     def cells(spark, sf):
         table = cut(zero_nulls(table_of(spark, sf), keep=("row_id",)), "row_id")
         grid = grid_of(extent_of(spark, sf), "Latitude", "Longitude")
-        models = [m for m in pos.cell_models() if m[0] in ("GaussianNB", "KNeighborsClassifier")]
-        board, _ = pos.rank_cell_models(models, table, grid, splits=1)
+        board, _ = pos.rank_cell_models(pos.cell_models(), table, grid)
         return rounded(board.drop("Time"))
 
     r.add("ml15_grid_cell_models", cells)
+
+    # every split's first stump: bins, sums per cell and impurity written out
+    slots = range(1, 8)
+    stump_features = ["Num_connected", *[f"{c}_{i}" for c in ("RSSI", "Longitude", "Latitude") for i in slots]]
+
+    def stumps(spark, sf):
+        table = cut(zero_nulls(table_of(spark, sf), keep=("row_id",)), "row_id")
+        return rounded(pos.first_stumps(table, stump_features))
+
+    listed = ", ".join(f"coalesce({c}, 0)::DOUBLE" for c in stump_features)
+    r.add("ml15_first_cell_stumps", stumps,
+          f"WITH {sq.JOINED}, v AS (SELECT row_id, Target, unnest([{listed}]) AS x, unnest(range({len(stump_features)})) AS f FROM joined), "
+          "e AS (SELECT f, min(x) AS lo, max(x) AS hi FROM v GROUP BY f), "
+          "b AS (SELECT row_id, Target, f, CASE WHEN hi > lo THEN CAST(least(31, greatest(0, floor((x - lo) / (hi - lo) * 32))) AS BIGINT) "
+          "ELSE 0 END AS bin FROM v JOIN e USING (f)), "
+          f"h AS (SELECT split, f, bin, Target, count(*) AS n FROM b, range(10) s(split) WHERE NOT {sq.is_test('split', 'row_id')} GROUP BY ALL), "
+          "t AS (SELECT split, f, Target, sum(n) AS total FROM h GROUP BY ALL), "
+          "l AS (SELECT t.split, t.f, cut, t.Target, t.total, coalesce(sum(n) FILTER (WHERE bin <= cut), 0) AS n_left "
+          "FROM t JOIN h USING (split, f, Target), range(32) c(cut) GROUP BY ALL), "
+          "g AS (SELECT split, f, cut, sum(n_left * n_left)::DOUBLE / sum(n_left)::DOUBLE "
+          "+ sum((total - n_left) * (total - n_left))::DOUBLE / sum(total - n_left)::DOUBLE AS gain, "
+          "max_by(Target, [n_left, -Target]) AS left_cell, max_by(Target, [total - n_left, -Target]) AS right_cell, "
+          "1 - (max(n_left) + max(total - n_left))::DOUBLE / sum(total)::DOUBLE AS error "
+          "FROM l GROUP BY ALL HAVING sum(n_left) > 0 AND sum(total - n_left) > 0), "
+          "k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY gain DESC, f, cut) AS r FROM g) "
+          f"SELECT split, ({stump_features!r})[f + 1] AS feature, cut AS bin, left_cell, right_cell, {sql_double('error', 'error')} FROM k WHERE r = 1")
