@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -45,6 +45,7 @@ SHINGLE = 5
 PERCENT = 80
 GROUPS = 64
 HOT = 128
+SAMPLE = 16
 CHUNK = 256
 FANOUT = 8
 BROADCAST = 1_000_000  # rows of under 50 bytes
@@ -87,17 +88,23 @@ def shingle_set(text: bytes, known: dict) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def stored(hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes, in order."""
-    short = np.unique(hashes >> np.uint64(16))
-    return short.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()
+def stored(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The upper 48 bits of sorted hashes, in order: as many as a set begins with as numbers, the others as bytes."""
+    short = np.unique(hashes >> np.uint64(16)).astype(np.int64)
+    n = beginning(len(short))
+    return short[:n], short[n:].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
-def loaded(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+def loaded(head: np.ndarray, tail: bytes) -> np.ndarray:
+    raw = np.frombuffer(tail, np.uint8).reshape(-1, WIDTH)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, 8 - WIDTH :] = raw
-    return out.view(">u8").ravel().astype(np.int64)
+    out[:, :WIDTH] = raw
+    return np.concatenate([np.asarray(head, np.int64), out.view("<i8").ravel()])
+
+
+def beginning(n: int) -> int:
+    """How many shingles of a set of n hold one of each set that it is linked with."""
+    return n - -(-n * PERCENT // 100) + 1 if n else 0
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -146,19 +153,19 @@ class CountTree:
 
 
 def shingled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(uid, doc_id, n, high, low, groups, shingles) per row, stored; high and low name the set."""
+    """(uid, doc_id, n, high, low, groups, head, tail) per row, stored; high and low name the set."""
 
-    @F.pandas_udf("n long, high long, low long, groups binary, shingles binary")
+    @F.pandas_udf("n long, high long, low long, groups binary, head array<long>, tail binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for batch in batches:
             rows = []
             for t in batch:
                 hashes = shingle_set(t, known)
-                held = stored(hashes)
+                head, tail = stored(hashes)
                 high, low = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64).tolist()
-                rows.append((len(hashes), high, low, point(loaded(held)).tobytes(), held))
-            yield pd.DataFrame(rows, columns=["n", "high", "low", "groups", "shingles"])
+                rows.append((len(hashes), high, low, point(loaded(head, tail)).tobytes(), head, tail))
+            yield pd.DataFrame(rows, columns=["n", "high", "low", "groups", "head", "tail"])
 
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return cut(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", run(body).alias("s")).select("uid", "doc_id", "s.*"))
@@ -169,46 +176,60 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST else rows
 
 
-def _beginning(n: Column) -> Column:
-    """How many shingles of a set must hold one of each set that it is linked with."""
-    return n - F.ceil(n * PERCENT / F.lit(100)).cast("long") + 1
+def _every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        sets = [loaded(h, t) for h, t in zip(b["head"], b["tail"], strict=True)]
+        sizes = [len(x) for x in sets]
+        yield pd.DataFrame({"uid": np.repeat(b["uid"].to_numpy(), sizes), "key": np.concatenate([np.zeros(0, np.int64), *sets])})
+
+
+def _anew(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(uid, n, key): the sets' beginnings if the hot shingles come last."""
+    known = None
+    if hot.count() <= BROADCAST:
+        known = np.sort(hot.toPandas()["key"].to_numpy(np.int64))
+        rows = rows.withColumn("hot", F.lit(None).cast("array<long>"))
+    else:
+        inside = rows.select("uid", "head", "tail").mapInPandas(_every, "uid long, key long").join(hot, "key")
+        rows = rows.join(inside.groupBy("uid").agg(F.sort_array(F.collect_list("key")).alias("hot")), "uid", "left")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for h, t, hots in zip(b["head"], b["tail"], b["hot"], strict=True):
+                own = loaded(h, t)
+                late_ones = known if known is not None else np.zeros(0, np.int64) if hots is None else np.asarray(hots, np.int64)
+                late = np.isin(own, late_ones, assume_unique=True)
+                out.append(np.concatenate([own[~late], own[late]])[: len(h)])
+            sizes = [len(x) for x in out]
+            yield pd.DataFrame({
+                "uid": np.repeat(b["uid"].to_numpy(), sizes), "n": np.repeat(b["n"].to_numpy(), sizes),
+                "key": np.concatenate([np.zeros(0, np.int64), *out]),
+            })
 
-def _each(places: Column) -> Column:
-    return F.explode(F.transform(places, lambda i: F.substring(F.col("shingles"), i * WIDTH + 1, F.lit(WIDTH)))).alias("key")
+    return rows.select("uid", "n", "head", "tail", "hot").mapInPandas(run, "uid long, n long, key long")
 
 
 def beginnings(nodes: DataFrame) -> DataFrame:
-    """(uid, n, key): the first shingles of each set, in the order of all shingles that has the hot ones last."""
-    size = F.octet_length("shingles") / WIDTH  # equals n, but for clashes of 48 bits
-    last = (_beginning(size.cast("long")) - 1).alias("last")
-    rows = nodes.select("uid", "n", "shingles", last)
-    keys = rows.select("uid", "n", _each(F.sequence(F.lit(0).cast("long"), "last")))
+    """(uid, n, key): the first shingles of each set, in the order of all shingles that has the hot ones last.
+
+    Which shingles are hot is a matter of the order alone, so any choice is right: it is made by the counts of beginnings, and, to take
+    the whole of a passage at once, by what is frequent in every ``SAMPLE``-th document that begins with a hot shingle.
+    """
+    rows = nodes.select("uid", "n", "head", "tail")
+    keys = rows.select("uid", "n", F.explode("head").alias("key"))
     hot = None
     while True:
         many = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("key"))
         new = many if hot is None else cut(many.join(hot, "key", "left_anti"))
         if new.isEmpty():
             return keys
-        if hot is None:
-            keys = cut(keys)
-        anew = cut(keys.join(_few(new), "key", "left_semi").select("uid").distinct())
-        theirs = rows.join(_few(anew), "uid", "left_semi")
-        every = theirs.select("uid", _each(F.sequence(F.lit(0).cast("long"), (F.octet_length("shingles") / WIDTH).cast("long") - 1)))
-        more = every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("key").union(new)
+        again = cut(keys.join(_few(new), "key", "left_semi").select("uid").distinct())
+        theirs = rows.join(_few(again), "uid", "left_semi")
+        some = theirs.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).mapInPandas(_every, "uid long, key long")
+        more = some.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max(2, HOT // (2 * SAMPLE))).select("key").union(new)
         hot = cut((more if hot is None else more.union(hot)).distinct())
-        inside = every.join(_few(hot), "key").groupBy("uid").agg(F.collect_list("key").alias("hot"))
-
-        @F.pandas_udf("array<binary>")
-        def first(shingles: pd.Series, hots: pd.Series, last: pd.Series) -> pd.Series:
-            out = []
-            for s, h, n in zip(shingles, hots, last, strict=True):
-                late, each = set(h), [s[i : i + WIDTH] for i in range(0, len(s), WIDTH)]
-                out.append(([x for x in each if x not in late] + [x for x in each if x in late])[: n + 1])
-            return pd.Series(out)
-
-        again = theirs.join(inside, "uid").select("uid", "n", F.explode(first("shingles", "hot", "last")).alias("key"))
-        keys = cut(keys.join(_few(anew), "uid", "left_anti").unionByName(again))
+        keys = cut(keys.join(_few(again), "uid", "left_anti").unionByName(_anew(theirs, hot)))
 
 
 def _met(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -232,8 +253,8 @@ def _bound(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([linked(loaded(x), loaded(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+def _linked(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series([linked(loaded(w, x), loaded(y, z)) for w, x, y, z in zip(a, b, c, d, strict=True)], dtype=bool)
 
 
 def hub_links(members: DataFrame, rows: DataFrame) -> DataFrame:
@@ -246,27 +267,31 @@ def hub_links(members: DataFrame, rows: DataFrame) -> DataFrame:
     near = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("uid") != F.col("b"))
     pairs = cut(members.join(hubs, "key").where(near).select(F.col("uid").alias("a"), "b").distinct())
     open_ = cut(_met(pairs, rows, ["groups"]).where(_bound("groups_a", "groups_b")).select("a", "b"))
-    return cut(_met(open_, rows, ["shingles"]).where(_linked("shingles_a", "shingles_b")).select("a", "b"))
+    return cut(_met(open_, rows, ["head", "tail"]).where(_linked("head_a", "tail_a", "head_b", "tail_b")).select("a", "b"))
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """Members as (key, band, i, j, side, ...): part i of those outside the main class, by size, meets part j of all of like size."""
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT)))
-    rows = members.withColumn("band", band)
-    right = rows.withColumn("side", F.lit(1))
-    left = rows.where("outside").withColumns({"band": F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)), "side": F.lit(0)})
-    both = left.unionByName(right)
+    """Members as (key, band, i, j, side, ...): part i of those outside the main class meets part j of all of like size.
+
+    Blocks of up to ``CHUNK`` members are one cell, whatever the sizes.
+    """
+    one = F.col("size") <= CHUNK
+    own = F.when(one, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))))
+    right = members.withColumns({"band": own, "side": F.lit(1)})
+    near = F.when(one, F.array(F.col("band"))).otherwise(F.sequence(F.col("band") - 1, F.col("band") + 1))
+    left = members.where("outside").withColumn("band", own).withColumn("band", F.explode(near)).withColumn("side", F.lit(0))
+    both = left.unionByName(right, allowMissingColumns=True)
     parts = both.groupBy("key", "band").agg(
         F.ceil(F.sum(F.lit(1) - F.col("side")) / CHUNK).alias("lefts"), F.ceil(F.sum("side") / CHUNK).alias("rights")
     ).where("lefts > 0 and rights > 0")
     both = both.join(parts, ["key", "band"])
     is_left = F.col("side") == 0
-    own = F.pmod(F.xxhash64(F.when(is_left, F.col("uid")).otherwise(F.col("label"))), F.when(is_left, F.col("lefts")).otherwise(F.col("rights")))
+    part = F.pmod(F.xxhash64(F.when(is_left, F.col("uid")).otherwise(F.col("label"))), F.when(is_left, F.col("lefts")).otherwise(F.col("rights")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_left, F.col("rights")).otherwise(F.col("lefts")) - 1))
-    dealt = both.withColumn("own", own).withColumn("other", other)
+    dealt = both.withColumn("own", part).withColumn("other", other)
     return dealt.withColumns({
         "i": F.when(is_left, F.col("own")).otherwise(F.col("other")), "j": F.when(is_left, F.col("other")).otherwise(F.col("own")),
-    }).drop("own", "other", "lefts", "rights", "outside")
+    }).drop("own", "other", "lefts", "rights", "outside", "size")
 
 
 def _by_task(rows: DataFrame, each: int) -> DataFrame:
@@ -275,65 +300,67 @@ def _by_task(rows: DataFrame, each: int) -> DataFrame:
     return rows.withColumn("task", F.pmod(F.xxhash64("key", "band", "i", "j"), F.lit(tasks)))
 
 
-def _searched(part: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Per cell its two sides and the places of pairs of different classes that the tree could not rule out."""
-    part = part.sort_values(["key", "band", "i", "j", "side", "label", "n", "uid"], kind="stable").reset_index(drop=True)
-    new = (part[["key", "band", "i", "j"]] != part[["key", "band", "i", "j"]].shift()).any(axis=1).to_numpy()
-    edges = np.append(np.flatnonzero(new), len(part))
-    side = part["side"].to_numpy()
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        middle = a + int((side[a:b] == 0).sum())
-        left, right = part.iloc[a:middle], part.iloc[middle:b]
-        if not len(left) or not len(right):
+def _searched(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per cell of sorted rows the places of pairs of different classes that the tree could not rule out: left, right."""
+    where = part[["key", "band", "i", "j"]].to_numpy()
+    edges = np.r_[0, np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1, len(part)]
+    side, label, n = (part[c].to_numpy() for c in ("side", "label", "n"))
+    points = np.frombuffer(b"".join(part["groups"]), np.int32).reshape(len(part), -1)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        middle = a + int(np.searchsorted(side[a:b], 1))
+        if middle in (a, b):
             continue
-        p, q = (np.frombuffer(b"".join(s["groups"]), np.int32).reshape(len(s), -1) for s in (left, right))
-        ask, found = CountTree(q, q.sum(1)).search(p, p.sum(1))
-        apart = left["label"].to_numpy()[ask] != right["label"].to_numpy()[found]
-        yield left, right, ask[apart], found[apart]
+        ask, found = CountTree(points[middle:b], n[middle:b]).search(points[a:middle], n[a:middle])
+        apart = label[a + ask] != label[middle + found]
+        yield a + ask[apart], middle + found[apart]
+
+
+def _in_order(part: pd.DataFrame) -> pd.DataFrame:
+    """Rows cell by cell, the asking side first; rows of a class and of like size next to each other, for close boxes."""
+    return part.sort_values(["key", "band", "i", "j", "side", "label", "n", "uid"], kind="stable").reset_index(drop=True)
 
 
 def _candidates(part: pd.DataFrame) -> pd.DataFrame:
     """Members of the cells of a task with a partner that may be linked."""
-    keys, uids = [], []
-    for left, right, ask, found in _searched(part):
-        for side, at in ((left, np.unique(ask)), (right, np.unique(found))):
-            keys += side["key"].iloc[at].tolist()
-            uids += side["uid"].iloc[at].tolist()
-    return pd.DataFrame({"key": pd.Series(keys, dtype=object), "uid": pd.Series(uids, dtype="int64")})
+    part = _in_order(part)
+    hit = np.zeros(len(part), bool)
+    for ask, found in _searched(part):
+        hit[ask] = hit[found] = True
+    return part.loc[hit, ["key", "uid"]].drop_duplicates()
 
 
 def _cell_links(part: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for left, right, ask, found in _searched(part):
-        root = {v: v for v in (*left["label"], *right["label"])}
-
-        def find(v: int, root: dict = root) -> int:
-            while root[v] != v:
-                root[v] = v = root[root[v]]
-            return v
-
-        sets: dict[int, np.ndarray] = {}
-        mine, theirs = left["label"].tolist(), right["label"].tolist()
+    part, out = _in_order(part), []
+    label, uid, heads, tails = (part[c].tolist() for c in ("label", "uid", "head", "tail"))
+    sets: dict[int, np.ndarray] = {}
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    def set_of(at: int) -> np.ndarray:
+        if uid[at] not in sets:
+            if len(sets) > 4 * CHUNK:
+                sets.clear()
+            sets[uid[at]] = loaded(heads[at], tails[at])
+        return sets[uid[at]]
+
+    for ask, found in _searched(part):
         for i, j in zip(ask.tolist(), found.tolist(), strict=True):
-            if find(mine[i]) == find(theirs[j]):
-                continue
-            for side, at in ((left, i), (right, j)):
-                uid = side["uid"].iloc[at]
-                if uid not in sets:
-                    sets[uid] = loaded(side["shingles"].iloc[at])
-            a, b = left["uid"].iloc[i], right["uid"].iloc[j]
-            if linked(sets[a], sets[b]):
-                root[find(mine[i])] = find(theirs[j])
-                out.append((a, b))
+            if find(label[i]) != find(label[j]) and linked(set_of(i), set_of(j)):
+                root[find(label[i])] = find(label[j])
+                out.append((uid[i], uid[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def tree_links(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links between members of a block that are in different classes; ``members`` has key, uid, n, label and outside."""
+    """Links between members of a block that are in different classes; ``members`` has key, uid, n, label, size (of the block) and outside."""
     points = rows.select("uid", "groups").join(_few(cut(members.select("uid").distinct())), "uid", "left_semi")
     dealt = cut(_cells(members.join(points, "uid")))
-    good = cut(_by_task(dealt, 20_000).groupBy("task").applyInPandas(_candidates, "key binary, uid long").distinct())
-    sets = rows.select("uid", "groups", "shingles").join(_few(cut(good.select("uid").distinct())), "uid", "left_semi")
+    good = cut(_by_task(dealt, 20_000).groupBy("task").applyInPandas(_candidates, "key long, uid long").distinct())
+    sets = rows.select("uid", "groups", "head", "tail").join(_few(cut(good.select("uid").distinct())), "uid", "left_semi")
     dealt = cut(_cells(members.join(good, ["key", "uid"]).join(sets, "uid")))
     return cut(_by_task(dealt, 2 * CHUNK).groupBy("task").applyInPandas(_cell_links, "a long, b long"))
 
@@ -344,20 +371,24 @@ def node_classes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     ``rows`` holds the points and sets by uid, those of copies too.
     """
     keys = cut(beginnings(nodes))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(keys.join(shared, "key"))
+    # shingles with the same members make one block: their sets of ids agree in size and in two sums of 64-bit hashes
+    shared = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y")
+    ).where("size > 1")
+    blocks = shared.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    members = cut(keys.join(blocks, "key"))
     links = hub_links(members, rows)
     labels = components(links)
     placed = (
         members.where("size > 2").join(labels.withColumnRenamed("node", "uid"), "uid", "left")
-        .select("key", "uid", "n", F.coalesce("label", "uid").alias("label"))
+        .select("key", "uid", "n", "size", F.coalesce("label", "uid").alias("label"))
     )
     several = (
         placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
         .groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("rows", "label"))["label"].alias("main"))
         .where("classes > 1").select("key", "main")
     )
-    rest = cut(placed.join(several, "key").select("key", "uid", "n", "label", (F.col("label") != F.col("main")).alias("outside")))
+    rest = cut(placed.join(several, "key").select("key", "uid", "n", "size", "label", (F.col("label") != F.col("main")).alias("outside")))
     return components(links.union(tree_links(rest, rows)))
 
 

@@ -70,8 +70,9 @@ def corpus(families=12):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("hot,chunk", [(128, 256), (3, 4)])
-def test_against_brute_force(spark, monkeypatch, hot, chunk):
+@pytest.mark.parametrize("hot,chunk,few", [(128, 256, 10**6), (3, 4, 10**6), (3, 4, 0)])
+def test_against_brute_force(spark, monkeypatch, hot, chunk, few):
+    monkeypatch.setattr(g, "BROADCAST", few)
     monkeypatch.setattr(g, "HOT", hot)
     monkeypatch.setattr(g, "CHUNK", chunk)
     rows = corpus()
@@ -104,8 +105,9 @@ def test_bound_never_rules_out_a_link():
 
 def test_stored_shingles_keep_order_and_values():
     hashes = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 500, dtype=np.uint64))
-    assert (g.loaded(g.stored(hashes)) == np.unique(hashes >> np.uint64(16)).astype(np.int64)).all()
-    assert len(g.loaded(g.stored(hashes[:0]))) == 0
+    head, tail = g.stored(hashes)
+    assert len(head) == g.beginning(500) == 101 and (g.loaded(head, tail) == np.unique(hashes >> np.uint64(16)).astype(np.int64)).all()
+    assert len(g.loaded(*g.stored(hashes[:0]))) == 0
 
 
 def test_odd_rows(spark):
