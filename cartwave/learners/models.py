@@ -13,6 +13,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from cartwave.functions.columns import feature_columns
 from cartwave.learners.boosting import BoostedClassifier, BoostedRegressor
-from cartwave.learners.neighbours import average, nearest, vote
+from cartwave.learners.neighbours import average, nearest_vectors, vote
+from cartwave.session import cut
 
 
 def to_vectors(
@@ -68,24 +70,14 @@ class NeighbourModel:
     combine: Callable
 
     def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        size = self.train.select(F.array_size(vector_to_array("features")).alias("n")).first()["n"]
-        names = [f"_f{i}" for i in range(size)]
-
-        def unpacked(rows: DataFrame) -> DataFrame:
-            arr = vector_to_array("features")
-            return rows.select("*", *[arr[i].alias(n) for i, n in enumerate(names)])
-
+        arrays = vector_to_array("features").alias("x")
         # every distinct vector is searched once; its copies share the answer
-        asked = unpacked(df).withColumn("_id", F.to_json(F.struct(vector_to_array("features").alias("x"))))
-        # orders equal distances only; rows that share it are copies of each other
-        known = unpacked(self.train).withColumn(
-            "_key", F.xxhash64(vector_to_array("features"), F.col("target"))
-        )
-        distinct = asked.select("_id", *names).dropDuplicates(["_id"])
-        found = self.combine(nearest(known, distinct, names, self.k, "_key", "_id"), "_id")
-        return asked.drop(*names).join(found, "_id", "left").drop("_id")
+        asked = cut(df.select(arrays).distinct().withColumn("test_id", F.monotonically_increasing_id()))
+        # the key orders equal distances only; rows that share it are copies of each other
+        known = self.train.select(F.col("target").cast("double").alias("label"), arrays).withColumn("key", F.xxhash64("x", "label"))
+        found = self.combine(nearest_vectors(known, asked, self.k), "test_id")
+        named = asked.join(found, "test_id", "left").drop("test_id").withColumnRenamed("x", "_x")
+        return df.withColumn("_x", vector_to_array("features")).join(named, "_x", "left").drop("_x")
 
 
 @dataclass

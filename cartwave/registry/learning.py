@@ -177,11 +177,11 @@ def register(r: Registry) -> None:
         f" SELECT s.user_id, {sql_double('s.prediction * b.prediction', 'prediction', 4)} "
         f"FROM ({SPEND_RULE}) s JOIN ({RULED}) b ON b.user_id = s.user_id", 4)
     add("prj5_feature_vectors",
-        lambda t: ml.to_vectors(monthly_users(t, TRAIN), ["user_id"], features=[f"f{i}" for i in range(1, 7)])
+        lambda t: ml.to_vectors(monthly_users(t, TRAIN), ["user_id"], features=[f"f{i}" for i in range(1, 10)])
         .select("user_id", "target", F.aggregate(
             vector_to_array("features"), F.lit(0.0), lambda a, v: a + v).alias("total")),
         f" SELECT user_id, CAST(target AS BIGINT) AS target, "
-        f"{sql_double('f1 + f2 + f3 + f4 + f5 + f6', 'total')} FROM ({monthly_sql(TRAIN)}) u")
+        f"{sql_double('f1 + f2 + f3 + f4 + f5 + f6 + f7 + f8 + f9', 'total')} FROM ({monthly_sql(TRAIN)}) u")
 
     # -- sinks ------------------------------------------------------------
     def written_csv(df, schema, header=False):
@@ -270,8 +270,8 @@ def register(r: Registry) -> None:
         f"z AS (SELECT user_id, c, ln(n::DOUBLE) - 0.5 * ({score}) AS p FROM b, s) "
         "SELECT user_id, CAST(arg_max(c, p) AS BIGINT) AS prediction FROM z GROUP BY user_id")
 
-    ints = [f"f{i}" for i in range(1, 7)]
-    away = " + ".join(f"power(a.f{i} - b.f{i}, 2)" for i in range(1, 7))
+    every = [f"f{i}" for i in range(1, 10)]
+    away = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in every)
 
     def near_sql(k, spend):
         return (f", a AS ({monthly_sql(TRAIN, spend)}), b AS ({monthly_sql(TEST, spend)}), "
@@ -279,7 +279,7 @@ def register(r: Registry) -> None:
                 f"a.user_id) AS r FROM a, b), k AS (SELECT * FROM n WHERE r <= {k}) ")
 
     def near(t, k, spend):
-        return nearest(monthly_users(t, TRAIN, spend), monthly_users(t, TEST, spend), ints, k,
+        return nearest(monthly_users(t, TRAIN, spend), monthly_users(t, TEST, spend), every, k,
                        "user_id", "user_id")
 
     add("ml3_nearest_neighbours", lambda t: vote(near(t, 3, False), "user_id").select(

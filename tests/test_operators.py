@@ -152,10 +152,10 @@ def test_far_edge_is_in_the_last_cell(spark):
     assert top == spec.grid_rows * spec.grid_cols - 1
 
 
-@pytest.mark.parametrize("block, pivots", [(4096, 128), (60, 4)])
-def test_nearest_equals_brute_force(spark, monkeypatch, block, pivots):
+@pytest.mark.parametrize("block, leaf", [(4096, 2048), (60, 10), (7, 3)])
+def test_nearest_equals_brute_force(spark, monkeypatch, block, leaf):
     monkeypatch.setattr(nn, "BLOCK", block)
-    monkeypatch.setattr(nn, "PIVOTS", pivots)
+    monkeypatch.setattr(nn, "LEAF", leaf)
     rnd = np.random.default_rng(3)
     train = rnd.integers(0, 6, (300, 3)).astype(float)
     train[:100] = train[0]  # a third of the rows are copies
@@ -176,6 +176,29 @@ def test_nearest_equals_brute_force(spark, monkeypatch, block, pivots):
         assert votes[i] == float(sum(label[j] for _, j in near) >= 2)
 
 
+def test_search_of_clustered_rows_meets_few_leaves(spark, monkeypatch):
+    monkeypatch.setattr(nn, "LEAF", 50)
+    rnd = np.random.default_rng(9)
+    centres = rnd.uniform(0, 1000, (40, 6))
+    train = centres[rnd.integers(0, 40, 4000)] + rnd.normal(size=(4000, 6))
+    test = np.r_[centres[rnd.integers(0, 40, 300)] + rnd.normal(size=(300, 6)), rnd.uniform(0, 1000, (20, 6))]
+    known = spark.createDataFrame([(i, float(i % 3), list(map(float, x))) for i, x in enumerate(train)], "key long, label double, x array<double>")
+    asked = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(test)], "test_id long, x array<double>")
+    got = {}
+    for r in nn.nearest_vectors(known, asked, 5).collect():
+        got.setdefault(r.test_id, []).append((r.d, r.key))
+    for i, x in enumerate(test):
+        d = ((train - x) ** 2).sum(axis=1)
+        assert {j for _, j in got[i]} == set(np.argsort(d, kind="stable")[:5].tolist())
+    placed, tree = nn.grown(known)
+    waiting = nn._placed(asked, tree)
+    own = nn._pick(nn._met(waiting.select("test_id", "x", "leaf"), placed, tree, 5), ["test_id"], ["d", "key"], 5)
+    met = nn.further_leaves(waiting, own, tree, 5).groupBy("leaf").count().collect()
+    leaves, pairs = int((tree.counts > 0).sum()), len(test) + sum(r["count"] for r in met)
+    rows = len(test) / len(tree.counts) * len(train) + sum(r["count"] * tree.counts[r["leaf"]] for r in met)
+    assert leaves > 40 and pairs < 0.1 * leaves * len(test) and rows < 0.1 * len(train) * len(test)
+
+
 def test_forest_finds_planted_steps(spark):
     rnd = np.random.default_rng(5)
     rows = []
