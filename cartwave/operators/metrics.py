@@ -48,7 +48,7 @@ def rank_auc(df: DataFrame, groups: Sequence[str], score: str, target: str = "ta
     """
     keys = [*groups, score]
     ones = df.where(F.col(score).isNotNull()).groupBy(*keys).agg(_count(F.col(target) == 1).alias("_ones"))
-    runs = sorted_runs(df, groups, score, 1 / 1024).join(ones, keys)
+    runs = sorted_runs(df, groups, score).join(ones, keys)
     sums = runs.groupBy(*groups).agg(
         F.sum("_ones").cast("double").alias("p"),
         F.sum(F.col("n") - F.col("_ones")).cast("double").alias("q"),

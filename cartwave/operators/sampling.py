@@ -14,7 +14,6 @@ from cartwave.operators.ranking import take_smallest
 
 # the first 8 hex digits of an md5 as a number
 HASH_RANGE = 1 << 32
-HASH_BUCKETS = 1 << 16
 # copies of a row that are made in one place
 COPIES = 4096
 
@@ -33,7 +32,7 @@ def balanced_down(
     kept = df.where(F.col(target) == keep)
     wanted = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
     other = df.where(F.col(target) == 1 - keep).withColumn("_h", key_hash(keys, seed))
-    taken = take_smallest(other, "_h", keys, wanted, HASH_RANGE / HASH_BUCKETS)
+    taken = take_smallest(other, "_h", keys, wanted)
     return kept.unionByName(taken.drop("_h"))
 
 
@@ -62,7 +61,7 @@ def balanced_up(
     rest = sizes.select(
         (F.greatest("ones", "zeros") % F.nullif(F.least("ones", "zeros"), F.lit(0))).alias("r")
     ).scalar()
-    marked = take_smallest(minor, "_h", keys, rest, HASH_RANGE / HASH_BUCKETS, flag="_extra")
+    marked = take_smallest(minor, "_h", keys, rest, flag="_extra")
     copies = F.floor(F.col("_s.big") / F.col("_s.small")) + F.col("_extra")
     # chunks of copies are spread before they are expanded: few rows may stand for very many.  The number of parts is
     # stated, as it would else follow from the few bytes before

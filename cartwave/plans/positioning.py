@@ -151,12 +151,12 @@ def fifth(medians: DataFrame, share: float = 0.2):
 
 
 def best_stations(medians: DataFrame, share: float = 0.2) -> DataFrame:
-    return take_smallest(medians, "median_error", MAIN, fifth(medians, share), 1 / 64)
+    return take_smallest(medians, "median_error", MAIN, fifth(medians, share))
 
 
 def worst_stations(medians: DataFrame, share: float = 0.2) -> DataFrame:
     turned = medians.withColumn("_neg", -F.col("median_error"))
-    return take_smallest(turned, "_neg", MAIN, fifth(medians, share), 1 / 64).drop("_neg")
+    return take_smallest(turned, "_neg", MAIN, fifth(medians, share)).drop("_neg")
 
 
 def best_to_worst(medians: DataFrame, share: float = 0.2) -> tuple[DataFrame, DataFrame]:

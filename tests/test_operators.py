@@ -35,7 +35,15 @@ def by_group(rows):
     return {g: sorted(vs) for g, vs in out.items()}
 
 
-def test_medians(hot):
+@pytest.fixture(params=[(65_536, 1024), (40, 8)])
+def bound(request, monkeypatch):
+    """Windows of the size in use, and windows so small that every group is split, some buckets again and again."""
+    monkeypatch.setattr(ranking, "BOUND", request.param[0])
+    monkeypatch.setattr(ranking, "PARTS", request.param[1])
+    return request.param[0]
+
+
+def test_medians(hot, bound):
     rows, df = hot
     want = by_group(rows)
     got = {r.g: r["median"] for r in ranking.upper_median(df, ["g"], "v").collect()}
@@ -50,7 +58,7 @@ def test_upper_median_golden(spark, values, want):
     assert ranking.upper_median(df, ["g"], "v").first()["median"] == want
 
 
-def test_sorted_curve(hot):
+def test_sorted_curve(hot, bound):
     rows, df = hot
     got = {}
     for r in ranking.sorted_curve(df, ["g"], "v", chunk=7).collect():
@@ -60,15 +68,40 @@ def test_sorted_curve(hot):
 
 
 @pytest.mark.parametrize("k", [0, 1, 700, 2999, 3000, 5000])
-def test_take_smallest(hot, k):
+def test_take_smallest(hot, bound, k):
     rows, df = hot
-    got = sorted(r.id for r in ranking.take_smallest(df, "v", ["id"], k, 1 / 64).collect())
+    got = sorted(r.id for r in ranking.take_smallest(df, "v", ["id"], k).collect())
     want = sorted(i for i, _, _ in sorted(rows, key=lambda r: (r[2], r[0]))[:k])
     assert got == want
-    flagged = ranking.take_smallest(df, "v", ["id"], k, 1 / 64, flag="f").collect()
+    flagged = ranking.take_smallest(df, "v", ["id"], k, flag="f").collect()
     assert len(flagged) == len(rows) and sorted(r.id for r in flagged if r.f) == want
 
 
+def test_no_window_over_many_values_however_close(spark, monkeypatch):
+    """A third of the values are equal, all others lie within 1/64, most of them within a millionth of that."""
+    monkeypatch.setattr(ranking, "BOUND", 50)
+    monkeypatch.setattr(ranking, "PARTS", 16)
+    rnd = np.random.default_rng(4)
+    values = [7.0] * 1000 + (7 + rnd.random(1500) / 64e6).tolist() + (7 + rnd.random(500) / 64).tolist()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(6)
+    runs = ranking._runs(df, [], "v")
+    placed = ranking._refined(runs, [], "v")
+    sizes = [r["count"] for r in placed.groupBy("_path").count().collect()]
+    assert max(sizes) <= 50 and sum(sizes) == len(set(values))
+    assert len({r["_path"].rpartition(".")[0] for r in placed.collect()}) > 1  # buckets of several levels
+    one = ranking._refined(runs, [], "v", F.lit(1700).cast("long"))
+    assert one.count() <= 50
+    want = sorted(values)
+    got = {}
+    for r in ranking.sorted_runs(df, [], "v").collect():
+        got.update({r["rank_from"] + i: r["v"] for i in range(r["n"])})
+    assert [got[i] for i in range(len(values))] == want
+    # ties of a third of the rows are settled by the key, found by refinement too
+    for k in (1, 500, 1000, 1003):
+        chosen = {r.id for r in ranking.take_smallest(df, "v", ["id"], k).collect()}
+        assert chosen == {i for _, i in sorted((v, i) for i, v in enumerate(values))[:k]}
+
+
 def test_spread_join_equals_plain(spark, hot):
     _, df = hot
     right = df.select("g").distinct().where("g <> 'g3'").withColumn("w", F.length("g"))
