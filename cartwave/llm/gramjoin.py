@@ -3,24 +3,24 @@
 A text is the set of its shingles (``SHINGLE`` words, lower-cased A-Z; a shorter text is one shingle).  Two texts are linked if
 100 * shared >= ``PERCENT`` * all shingles of both.  Texts with one set are one node, so copies are never paired.
 
-Each shingle is hashed to one of ``GROUPS`` groups; a node's point is how many of its shingles fall in each.  Two sets share at most the
-sum of the smaller of both counts over the groups, and a set shares at most the sum of the smaller of its count and a box's upper corner
-with any point in the box.  Both sizes known, a link needs a certain number, so boxes and points below it are never opened.  The few
-pairs left are counted exactly.
+Each shingle is hashed to a group; a node's point is how many of its shingles fall in each.  Larger sets have more groups, two to four
+shingles to each, and a point folds to half as many by adding its halves.  Two sets share at most the sum of the smaller of both counts
+over the groups, and a set shares at most the sum of the smaller of its count and a box's upper corner with any point in the box.  Both
+sizes known, a link needs a certain number, so boxes and points below it are never opened.  The few pairs left are counted exactly.
 
 Blocks.  A pair that is linked shares a shingle among the first n - ceil(n * PERCENT / 100) + 1 of each set, in any one order of all
-shingles.  The order is by hash, but shingles held by more than ``HOT`` of these beginnings (a passage that many documents share)
-come last: documents that begin with one count all their shingles, and begin anew behind the hot ones.  Only documents of little else
-begin with a hot shingle then.  Within the block of a shingle:
+shingles.  The order is by hash, but hot shingles (of a passage that many documents share) come last, so that only documents of little
+else begin with one.  Any choice of hot ones gives the same links: those of ``OFTEN`` or more in every ``SAMPLE``-th document, and any that
+still begin more than ``HOT`` sets.  Within the block of a shingle:
 
 1. Every member meets the block's hub, its member with the largest blocks; that is one pair per member, however large the block.
 2. Blocks whose members are still in several classes are dealt by size (linked sets differ by a fifth at most) into cells of about ``CHUNK`` by
-   ``CHUNK``: members outside the block's main class search an R-tree of the others, first by points alone, then those that found
+   ``CHUNK``: members outside the block's main class search an R-tree of the others, the first time by points alone, then those that found
    something with their sets; a cell leaves out pairs that its own links have joined.
 
 So no block is gathered in a task, none is capped, and each pair of different classes in a block is counted, ruled out by its
-bound, or joined by other links.  Shingles are compared by 48 bits of a 64-bit hash: a pair of sets of 20,000 has a chance of about one in
-a million to seem to share one more than it does.
+bound, or joined by other links.  Shingles are compared by 40 bits of a 64-bit hash: a pair of sets of 20,000 has a chance of about one in
+3,000 to seem to share one more than it does.  Tables stored on the way are deleted as soon as all that is made of them is stored.
 
 Odd rows: null and empty texts and those without words have 0 shingles and are linked with nothing; repeated rows are in one class; long
 texts are taken whole; a null doc_id has no say in the class id, which is null only if all of the class are (or for a null doc_id without
@@ -34,22 +34,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from cartwave.llm.graph import components
-from cartwave.session import cut
+from cartwave.session import cut, fresh_path
 
 SHINGLE = 5
 PERCENT = 80
-GROUPS = 64
-HOT = 128
-SAMPLE = 16
+GROUPS = 64, 4096  # fewest and most
+HOT = 512
+SAMPLE, OFTEN = 16, 3
 CHUNK = 256
 FANOUT = 8
 BROADCAST = 1_000_000  # rows of under 50 bytes
-WIDTH = 6  # bytes of a stored shingle
+WIDTH = 5  # bytes of a stored shingle
 _CACHE = 100_000
 
 _RNG = np.random.default_rng(11)
@@ -88,18 +88,17 @@ def shingle_set(text: bytes, known: dict) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def stored(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The upper 48 bits of sorted hashes, in order: as many as a set begins with as numbers, the others as bytes."""
-    short = np.unique(hashes >> np.uint64(16)).astype(np.int64)
-    n = beginning(len(short))
-    return short[:n], short[n:].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+def stored(hashes: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted hashes, in order."""
+    short = np.unique(hashes >> np.uint64(64 - 8 * WIDTH))
+    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
-def loaded(head: np.ndarray, tail: bytes) -> np.ndarray:
-    raw = np.frombuffer(tail, np.uint8).reshape(-1, WIDTH)
+def loaded(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :WIDTH] = raw
-    return np.concatenate([np.asarray(head, np.int64), out.view("<i8").ravel()])
+    return out.view("<i8").ravel()
 
 
 def beginning(n: int) -> int:
@@ -107,8 +106,22 @@ def beginning(n: int) -> int:
     return n - -(-n * PERCENT // 100) + 1 if n else 0
 
 
+def groups_of(n: int) -> int:
+    """Groups of a set of n: a power of two, a quarter to half of n within bounds."""
+    return max(GROUPS[0], min(GROUPS[1], 1 << max(0, n // 4).bit_length()))
+
+
 def point(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount(shingles % GROUPS, minlength=GROUPS).astype(np.int32)
+    g = groups_of(len(shingles))
+    return np.bincount(shingles % g, minlength=g).astype(np.int32)
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """A point, or the rows of a matrix of points, in fewer groups."""
+    while p.shape[-1] > groups:
+        half = p.shape[-1] // 2
+        p = p[..., :half] + p[..., half:]
+    return p
 
 
 def least_shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -153,24 +166,37 @@ class CountTree:
 
 
 def shingled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(uid, doc_id, n, high, low, groups, head, tail) per row, stored; high and low name the set."""
+    """(uid, doc_id, n, high, low, groups, shingles) per row, stored; high and low name the set."""
 
-    @F.pandas_udf("n long, high long, low long, groups binary, head array<long>, tail binary")
+    @F.pandas_udf("n long, high long, low long, groups binary, shingles binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for batch in batches:
             rows = []
             for t in batch:
                 hashes = shingle_set(t, known)
-                head, tail = stored(hashes)
+                held = stored(hashes)
                 high, low = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64).tolist()
-                rows.append((len(hashes), high, low, point(loaded(head, tail)).tobytes(), head, tail))
-            yield pd.DataFrame(rows, columns=["n", "high", "low", "groups", "head", "tail"])
+                rows.append((len(hashes), high, low, point(loaded(held)).tobytes(), held))
+            yield pd.DataFrame(rows, columns=["n", "high", "low", "groups", "shingles"])
 
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return cut(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", run(body).alias("s")).select("uid", "doc_id", "s.*"))
 
 
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` stored in the shared folder, and where."""
+    path = fresh_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a stored table; all that was made of it must be stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _few(rows: DataFrame) -> DataFrame:
     """Stored rows, to be broadcast if a count says that they are few."""
     return F.broadcast(rows) if rows.count() <= BROADCAST else rows
@@ -178,62 +204,70 @@ def _few(rows: DataFrame) -> DataFrame:
 
 def _every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        sets = [loaded(h, t) for h, t in zip(b["head"], b["tail"], strict=True)]
-        sizes = [len(x) for x in sets]
-        yield pd.DataFrame({"uid": np.repeat(b["uid"].to_numpy(), sizes), "key": np.concatenate([np.zeros(0, np.int64), *sets])})
+        sets = [loaded(x) for x in b["shingles"]]
+        yield pd.DataFrame({"uid": np.repeat(b["uid"].to_numpy(), [len(x) for x in sets]), "key": np.concatenate([np.zeros(0, np.int64), *sets])})
 
 
-def _anew(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """(uid, n, key): the sets' beginnings if the hot shingles come last."""
+def _first(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(uid, n, key, late): the sets' beginnings if the hot shingles come last, late if the key is one of those."""
     known = None
     if hot.count() <= BROADCAST:
         known = np.sort(hot.toPandas()["key"].to_numpy(np.int64))
         rows = rows.withColumn("hot", F.lit(None).cast("array<long>"))
     else:
-        inside = rows.select("uid", "head", "tail").mapInPandas(_every, "uid long, key long").join(hot, "key")
+        inside = rows.select("uid", "shingles").mapInPandas(_every, "uid long, key long").join(hot, "key")
         rows = rows.join(inside.groupBy("uid").agg(F.sort_array(F.collect_list("key")).alias("hot")), "uid", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for h, t, hots in zip(b["head"], b["tail"], b["hot"], strict=True):
-                own = loaded(h, t)
+            keys, lates = [], []
+            for held, hots in zip(b["shingles"], b["hot"], strict=True):
+                own = loaded(held)
+                n = beginning(len(own))
                 late_ones = known if known is not None else np.zeros(0, np.int64) if hots is None else np.asarray(hots, np.int64)
-                late = np.isin(own, late_ones, assume_unique=True)
-                out.append(np.concatenate([own[~late], own[late]])[: len(h)])
-            sizes = [len(x) for x in out]
+                place = np.searchsorted(late_ones, own)
+                late = np.zeros(len(own), bool)
+                late[place < len(late_ones)] = late_ones[place[place < len(late_ones)]] == own[place < len(late_ones)]
+                order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:n]
+                keys.append(own[order])
+                lates.append(late[order])
+            sizes = [len(x) for x in keys]
             yield pd.DataFrame({
                 "uid": np.repeat(b["uid"].to_numpy(), sizes), "n": np.repeat(b["n"].to_numpy(), sizes),
-                "key": np.concatenate([np.zeros(0, np.int64), *out]),
+                "key": np.concatenate([np.zeros(0, np.int64), *keys]), "late": np.concatenate([np.zeros(0, bool), *lates]),
             })
 
-    return rows.select("uid", "n", "head", "tail", "hot").mapInPandas(run, "uid long, n long, key long")
+    return rows.select("uid", "n", "shingles", "hot").mapInPandas(run, "uid long, n long, key long, late boolean")
 
 
-def beginnings(nodes: DataFrame) -> DataFrame:
-    """(uid, n, key): the first shingles of each set, in the order of all shingles that has the hot ones last.
+def blocks(nodes: DataFrame) -> DataFrame:
+    """(key, uid, n, size), stored: the sets that begin with a shingle, for shingles of several sets.
 
-    Which shingles are hot is a matter of the order alone, so any choice is right: it is made by the counts of beginnings, and, to take
-    the whole of a passage at once, by what is frequent in every ``SAMPLE``-th document that begins with a hot shingle.
+    Shingles with the same members make one block: their members agree in number and in two sums of 64-bit hashes.
     """
-    rows = nodes.select("uid", "n", "head", "tail")
-    keys = rows.select("uid", "n", F.explode("head").alias("key"))
-    hot = None
+    rows = nodes.select("uid", "n", "shingles")
+    some = rows.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).mapInPandas(_every, "uid long, key long")
+    hot = cut(some.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= OFTEN).select("key"))
+    size, x, y = F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("uid", "n")).alias("x"), F.bit_xor(F.xxhash64("n", "uid")).alias("y")
     while True:
-        many = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("key"))
-        new = many if hot is None else cut(many.join(hot, "key", "left_anti"))
-        if new.isEmpty():
-            return keys
-        again = cut(keys.join(_few(new), "key", "left_semi").select("uid").distinct())
-        theirs = rows.join(_few(again), "uid", "left_semi")
-        some = theirs.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).mapInPandas(_every, "uid long, key long")
-        more = some.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max(2, HOT // (2 * SAMPLE))).select("key").union(new)
-        hot = cut((more if hot is None else more.union(hot)).distinct())
-        keys = cut(keys.join(_few(again), "uid", "left_anti").unionByName(_anew(theirs, hot)))
+        keys, path = kept(_first(rows, hot))
+        # cold keys are dealt once, for their counts and for the join; hot ones are counted before they meet
+        cold, late = (keys.where(c).select("key", "uid", "n") for c in ("not late", "late"))
+        cold = cold.repartition("key")
+        counts = [part.groupBy("key").agg(size, x, y).where("size > 1") for part in (cold, late)]
+        single = counts[0].unionByName(counts[1]).groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+        found = cut(cold.join(single, "key").unionByName(late.join(single, "key")))
+        more = found.where(F.col("size") > HOT).select("key").distinct().join(hot, "key", "left_anti")
+        dropped(nodes.sparkSession, path)
+        if more.isEmpty():
+            return found
+        hot = cut(hot.union(more))
 
 
 def _met(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (a, b) with the columns of both; a ``b`` that many meet is copied, each copy for at most about ``CHUNK`` pairs."""
+    ids = cut(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct())
+    rows = rows.join(_few(ids), "uid", "left_semi")
     copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("copies"))
     spread = (
         rows.select("uid", *columns).join(copies, F.col("uid") == F.col("b"))
@@ -244,17 +278,20 @@ def _met(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     return dealt.join(mine, "a").join(spread, ["b", "copy"])
 
 
+def may_link(p: np.ndarray, q: np.ndarray) -> bool:
+    g = min(len(p), len(q))
+    p, q = folded(p, g), folded(q, g)
+    return bool(np.minimum(p, q).sum() >= least_shared(p.sum(), q.sum()))
+
+
 @F.pandas_udf(BooleanType())
 def _bound(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=bool)
-    x, y = (np.frombuffer(b"".join(s), np.int32).reshape(len(s), -1) for s in (a, b))
-    return pd.Series(np.minimum(x, y).sum(1) >= least_shared(x.sum(1), y.sum(1)))
+    return pd.Series([may_link(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(BooleanType())
-def _linked(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([linked(loaded(w, x), loaded(y, z)) for w, x, y, z in zip(a, b, c, d, strict=True)], dtype=bool)
+def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([linked(loaded(x), loaded(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def hub_links(members: DataFrame, rows: DataFrame) -> DataFrame:
@@ -267,19 +304,24 @@ def hub_links(members: DataFrame, rows: DataFrame) -> DataFrame:
     near = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("uid") != F.col("b"))
     pairs = cut(members.join(hubs, "key").where(near).select(F.col("uid").alias("a"), "b").distinct())
     open_ = cut(_met(pairs, rows, ["groups"]).where(_bound("groups_a", "groups_b")).select("a", "b"))
-    return cut(_met(open_, rows, ["head", "tail"]).where(_linked("head_a", "tail_a", "head_b", "tail_b")).select("a", "b"))
+    return cut(_met(open_, rows, ["shingles"]).where(_linked("shingles_a", "shingles_b")).select("a", "b"))
 
 
 def _cells(members: DataFrame) -> DataFrame:
     """Members as (key, band, i, j, side, ...): part i of those outside the main class meets part j of all of like size.
 
-    Blocks of up to ``CHUNK`` members are one cell, whatever the sizes.
+    Blocks of up to ``CHUNK`` members are parted by the number of groups alone, larger ones by steps of a fifth.
     """
-    one = F.col("size") <= CHUNK
-    own = F.when(one, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))))
-    right = members.withColumns({"band": own, "side": F.lit(1)})
-    near = F.when(one, F.array(F.col("band"))).otherwise(F.sequence(F.col("band") - 1, F.col("band") + 1))
-    left = members.where("outside").withColumn("band", own).withColumn("band", F.explode(near)).withColumn("side", F.lit(0))
+    def band(n: Column) -> Column:
+        least, most = (F.lit(g) for g in GROUPS)
+        groups = F.greatest(least, F.least(most, F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.lit(1), F.floor(n / 4)))) + 1).cast("long")))
+        return F.when(F.col("size") <= CHUNK, groups).otherwise(F.floor(F.log(n) / F.log(F.lit(100 / PERCENT))))
+
+    n = F.col("n")
+    right = members.withColumns({"band": band(n), "side": F.lit(1)})
+    low, high = band(F.ceil(n * PERCENT / 100)), band(F.floor(n * 100 / PERCENT))
+    near = F.when(F.col("size") <= CHUNK, F.array_distinct(F.array(low, band(n), high))).otherwise(F.sequence(low, high))
+    left = members.where("outside").withColumn("band", F.explode(near)).withColumn("side", F.lit(0))
     both = left.unionByName(right, allowMissingColumns=True)
     parts = both.groupBy("key", "band").agg(
         F.ceil(F.sum(F.lit(1) - F.col("side")) / CHUNK).alias("lefts"), F.ceil(F.sum("side") / CHUNK).alias("rights")
@@ -305,12 +347,14 @@ def _searched(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     where = part[["key", "band", "i", "j"]].to_numpy()
     edges = np.r_[0, np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1, len(part)]
     side, label, n = (part[c].to_numpy() for c in ("side", "label", "n"))
-    points = np.frombuffer(b"".join(part["groups"]), np.int32).reshape(len(part), -1)
+    points = [np.frombuffer(x, np.int32) for x in part["groups"]]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         middle = a + int(np.searchsorted(side[a:b], 1))
         if middle in (a, b):
             continue
-        ask, found = CountTree(points[middle:b], n[middle:b]).search(points[a:middle], n[a:middle])
+        g = min(len(p) for p in points[a:b])
+        here = np.stack([folded(p, g) for p in points[a:b]])
+        ask, found = CountTree(here[middle - a :], n[middle:b]).search(here[: middle - a], n[a:middle])
         apart = label[a + ask] != label[middle + found]
         yield a + ask[apart], middle + found[apart]
 
@@ -331,7 +375,7 @@ def _candidates(part: pd.DataFrame) -> pd.DataFrame:
 
 def _cell_links(part: pd.DataFrame) -> pd.DataFrame:
     part, out = _in_order(part), []
-    label, uid, heads, tails = (part[c].tolist() for c in ("label", "uid", "head", "tail"))
+    label, uid, held = (part[c].tolist() for c in ("label", "uid", "shingles"))
     sets: dict[int, np.ndarray] = {}
     root: dict[int, int] = {}
 
@@ -344,7 +388,7 @@ def _cell_links(part: pd.DataFrame) -> pd.DataFrame:
         if uid[at] not in sets:
             if len(sets) > 4 * CHUNK:
                 sets.clear()
-            sets[uid[at]] = loaded(heads[at], tails[at])
+            sets[uid[at]] = loaded(held[at])
         return sets[uid[at]]
 
     for ask, found in _searched(part):
@@ -358,11 +402,14 @@ def _cell_links(part: pd.DataFrame) -> pd.DataFrame:
 def tree_links(members: DataFrame, rows: DataFrame) -> DataFrame:
     """Links between members of a block that are in different classes; ``members`` has key, uid, n, label, size (of the block) and outside."""
     points = rows.select("uid", "groups").join(_few(cut(members.select("uid").distinct())), "uid", "left_semi")
-    dealt = cut(_cells(members.join(points, "uid")))
+    dealt, path = kept(_cells(members.join(points, "uid")))
     good = cut(_by_task(dealt, 20_000).groupBy("task").applyInPandas(_candidates, "key long, uid long").distinct())
-    sets = rows.select("uid", "groups", "head", "tail").join(_few(cut(good.select("uid").distinct())), "uid", "left_semi")
-    dealt = cut(_cells(members.join(good, ["key", "uid"]).join(sets, "uid")))
-    return cut(_by_task(dealt, 2 * CHUNK).groupBy("task").applyInPandas(_cell_links, "a long, b long"))
+    dropped(rows.sparkSession, path)
+    sets = rows.select("uid", "groups", "shingles").join(_few(cut(good.select("uid").distinct())), "uid", "left_semi")
+    dealt, path = kept(_cells(members.join(good, ["key", "uid"]).join(sets, "uid")))
+    links = cut(_by_task(dealt, 2 * CHUNK).groupBy("task").applyInPandas(_cell_links, "a long, b long"))
+    dropped(rows.sparkSession, path)
+    return links
 
 
 def node_classes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -370,13 +417,7 @@ def node_classes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
     ``rows`` holds the points and sets by uid, those of copies too.
     """
-    keys = cut(beginnings(nodes))
-    # shingles with the same members make one block: their sets of ids agree in size and in two sums of 64-bit hashes
-    shared = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y")
-    ).where("size > 1")
-    blocks = shared.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-    members = cut(keys.join(blocks, "key"))
+    members = blocks(nodes)
     links = hub_links(members, rows)
     labels = components(links)
     placed = (

@@ -70,11 +70,10 @@ def corpus(families=12):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("hot,chunk,few", [(128, 256, 10**6), (3, 4, 10**6), (3, 4, 0)])
-def test_against_brute_force(spark, monkeypatch, hot, chunk, few):
-    monkeypatch.setattr(g, "BROADCAST", few)
-    monkeypatch.setattr(g, "HOT", hot)
-    monkeypatch.setattr(g, "CHUNK", chunk)
+@pytest.mark.parametrize("hot,often,chunk,few", [(512, 3, 256, 10**6), (3, 10**6, 4, 10**6), (3, 1, 8, 0)])
+def test_against_brute_force(spark, monkeypatch, hot, often, chunk, few):
+    for name, value in (("HOT", hot), ("OFTEN", often), ("CHUNK", chunk), ("BROADCAST", few)):
+        monkeypatch.setattr(g, name, value)
     rows = corpus()
     assert run(spark, rows) == brute(rows)
 
@@ -92,22 +91,28 @@ def test_chain_that_no_hub_reaches(spark, monkeypatch):
 def test_bound_never_rules_out_a_link():
     rng = np.random.default_rng(1)
     for _ in range(300):
-        base = rng.choice(1 << 40, rng.integers(5, 400), replace=False)
+        base = rng.choice(1 << 40, rng.integers(5, 900), replace=False)
         k = max(1, int(len(base) * rng.uniform(0, 0.15)))
-        other = np.unique(np.concatenate([base[k:], rng.choice(1 << 40, k)]))
-        a, b = np.sort(base), np.sort(other)
-        points = np.stack([g.point(b)] + [g.point(rng.choice(1 << 40, 300)) for _ in range(40)])
-        ask, found = g.CountTree(points, points.sum(1)).search(g.point(a)[None], np.array([len(a)]))
-        assert not g.linked(a, b) or 0 in found.tolist()
-        exact = {j for j in range(len(points)) if np.minimum(points[j], g.point(a)).sum() >= g.least_shared(len(a), points[j].sum())}
+        a, b = np.sort(base), np.unique(np.concatenate([base[k:], rng.choice(1 << 40, rng.integers(1, k + 1))]))
+        others = [b] + [rng.choice(1 << 40, rng.integers(5, 900), replace=False) for _ in range(40)]
+        groups = min(len(g.point(x)) for x in (a, *others))
+        points, sizes = np.stack([g.folded(g.point(x), groups) for x in others]), np.array([len(x) for x in others])
+        ask, found = g.CountTree(points, sizes).search(g.folded(g.point(a), groups)[None], np.array([len(a)]))
+        assert not g.linked(a, b) or (0 in found.tolist() and g.may_link(g.point(a), g.point(b)))
+        exact = {j for j in range(len(points)) if np.minimum(points[j], g.folded(g.point(a), groups)).sum() >= g.least_shared(len(a), sizes[j])}
         assert set(found.tolist()) <= exact
 
 
+def test_points_fold_to_points_of_fewer_groups():
+    shingles = np.random.default_rng(3).choice(1 << 40, 5000, replace=False)
+    assert len(g.point(shingles)) == g.groups_of(5000) == 2048
+    assert (g.folded(g.point(shingles), 128) == np.bincount(shingles % 128, minlength=128)).all()
+
+
 def test_stored_shingles_keep_order_and_values():
     hashes = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 500, dtype=np.uint64))
-    head, tail = g.stored(hashes)
-    assert len(head) == g.beginning(500) == 101 and (g.loaded(head, tail) == np.unique(hashes >> np.uint64(16)).astype(np.int64)).all()
-    assert len(g.loaded(*g.stored(hashes[:0]))) == 0
+    assert (g.loaded(g.stored(hashes)) == np.unique(hashes >> np.uint64(24)).astype(np.int64)).all()
+    assert len(g.loaded(g.stored(hashes[:0]))) == 0 and g.beginning(500) == 101
 
 
 def test_odd_rows(spark):
