@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -23,6 +24,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, functions as F
 
 from cartwave.functions.columns import feature_columns
+from cartwave.learners import extra
 from cartwave.learners.boosting import BoostedClassifier, BoostedRegressor
 from cartwave.learners.neighbours import average, nearest_vectors, vote
 from cartwave.session import cut
@@ -176,16 +178,13 @@ def linear(
 
 
 def important_features(
-    vectors: DataFrame, names: Sequence[str], threshold: str = "mean", trees: int = 20, seed: int = 6
+    table: DataFrame, names: Sequence[str], threshold: str = "mean", trees: int = 10, depth: int = 10, seed: int = 6
 ) -> list[str]:
-    """Features whose forest importance reaches ``mean``, ``0.7*mean`` or ``median``."""
-    model = RandomForestClassifier(labelCol="target", numTrees=trees, seed=seed).fit(vectors)
-    scores = model.featureImportances.toArray()
-    if threshold == "median":
-        ordered = sorted(scores)
-        half = len(ordered) // 2
-        edge = ordered[half] if len(ordered) % 2 else (ordered[half - 1] + ordered[half]) / 2
-    else:
-        factor = float(threshold.split("*")[0]) if "*" in threshold else 1.0
-        edge = factor * float(sum(scores)) / len(scores)
-    return [n for n, s in zip(names, scores) if s >= edge]
+    """Columns whose importance in extremely randomised trees reaches ``mean``, a multiple (``0.7*mean``) or the ``median``.
+
+    ``table`` has the columns and a 0/1 ``target``; trees end at ``depth`` levels.
+    """
+    scores = extra.importances(extra.grown(extra.stored_rows(table, names), len(names), 2, trees, depth, seed), len(names))
+    factor, _, kind = threshold.rpartition("*")
+    edge = float(np.median(scores) if kind == "median" else np.mean(scores)) * float(factor or 1)
+    return [n for n, s in zip(names, scores, strict=True) if s >= edge]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cartwave.functions.columns import drop_containing, half_even, yes_no, zero_nulls
 from cartwave.functions.geo import grid_of
+from cartwave.learners import extra
 from cartwave.learners import models as ml
 from cartwave.learners.neighbours import average, nearest, vote
 from cartwave.operators import labels, metrics, sampling
@@ -331,13 +332,43 @@ def register(r: Registry) -> None:
 
     add("ml8_l1_logistic", logistic)
 
-    def selected(t):
-        table = cut(ds.buy_dataset(t, TRAIN))
-        names = [c for c in table.columns if c not in ("user_id", "target")]
-        kept = ml.important_features(ml.to_vectors(table, ["user_id"]), names, "median")
-        return table.select("user_id", "target", *kept)
+    # the three selections: pairs balanced up at 0.7 of the mean, pairs as they are at the mean, buyers at the median
+    def selected(build, keys, threshold, balance=False):
+        def run(t):
+            table = cut(build(t, TRAIN))
+            names = [c for c in table.columns if c not in (*keys, "target")]
+            balanced = cut(sampling.balanced_up(table, keys)) if balance else table
+            return table.select(*keys, "target", *ml.important_features(balanced, names, threshold))
+        return run
 
-    add("ml1_feature_selection", selected)
+    pair_table = lambda attribute: lambda t, w: ds.user_pair_dataset(t, w, attribute)
+    add("ml1_feature_selection", selected(ds.buy_dataset, ["user_id"], "median"))
+    add("ml1_brand_selection", selected(pair_table("brand"), ["user_id", "brand_id"], "0.7*mean", True))
+    add("ml1_category_selection", selected(pair_table("cat"), ["user_id", "cat_id"], "mean"))
+
+    # every tree's first cut
+    def first_cuts(t):
+        table = cut(monthly_users(t, TRAIN))
+        trees = extra.grown(extra.stored_rows(table, every), len(every), 2, depth=1)
+        return t.sparkSession.createDataFrame(
+            [(i, every[tree[1].feature], tree[1].at, tree[1].fall) for i, tree in enumerate(trees) if tree], "tree long, feature string, cut double, fall double")
+
+    def drawn(tail):
+        return f"('0x' || substr(md5('6|' || tree || '|1|' || (f - 1) || '{tail}'), 1, 8))::BIGINT / 4294967296::DOUBLE"
+
+    def impure(n, ones):
+        return f"({n} - (({ones}) * ({ones}) + ({n} - {ones}) * ({n} - {ones}))::DOUBLE / nullif({n}, 0))"
+
+    add("ml1_first_cuts", first_cuts,
+        f", a AS ({monthly_sql(TRAIN)}), v AS (SELECT target, unnest([{', '.join(f'{c}::DOUBLE' for c in every)}]) AS x, unnest(range(1, 10)) AS f FROM a), "
+        "e AS (SELECT f, min(x) AS lo, max(x) AS hi FROM v GROUP BY f HAVING min(x) < max(x)), "
+        f"c AS (SELECT tree, f, lo + {drawn('')} * (hi - lo) AS cut, row_number() OVER (PARTITION BY tree ORDER BY {drawn('|pick')}, f) AS place "
+        "FROM e, range(10) r(tree) QUALIFY place <= 3), "
+        "n AS (SELECT tree, f, cut, place, count(*) AS n, sum(target) AS ones, count(*) FILTER (WHERE x <= cut) AS nl, "
+        "coalesce(sum(target) FILTER (WHERE x <= cut), 0) AS lones FROM c JOIN v USING (f) GROUP BY ALL), "
+        f"g AS (SELECT *, ({impure('n', 'ones')} - coalesce({impure('nl', 'lones')}, 0) - coalesce({impure('(n - nl)', '(ones - lones)')}, 0)) / n AS fall FROM n), "
+        "k AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY fall DESC, place) AS r FROM g) "
+        f"SELECT CAST(tree AS BIGINT) AS tree, 'f' || f AS feature, {sql_double('cut', 'cut')}, {sql_double('fall', 'fall')} FROM k WHERE r = 1")
 
     def spend_vectors(t, window):
         return cut(ml.to_vectors(ds.spend_dataset(t, window), ["user_id"]))
