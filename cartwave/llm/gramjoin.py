@@ -29,7 +29,7 @@ words); an empty table gives an empty result; other columns are ignored, whateve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -113,7 +113,18 @@ def groups_of(n: int) -> int:
 
 def point(shingles: np.ndarray) -> np.ndarray:
     g = groups_of(len(shingles))
-    return np.bincount(shingles % g, minlength=g).astype(np.int32)
+    return np.bincount(shingles % g, minlength=g)
+
+
+def packed(p: np.ndarray) -> bytes:
+    """Two bytes a group, or eight if a count is too large for two."""
+    return p.astype("<u2" if p.max() < 1 << 16 else "<i8").tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """A packed point of a set of n, folded or not."""
+    few = groups_of(n) if len(data) >= 2 * groups_of(n) else GROUPS[0]
+    return np.frombuffer(data, "<u2" if len(data) == 2 * few else "<i8").astype(np.int64)
 
 
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
@@ -166,9 +177,12 @@ class CountTree:
 
 
 def shingled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(uid, doc_id, n, high, low, groups, shingles) per row, stored; high and low name the set."""
+    """(uid, doc_id, n, high, low, coarse, fine, shingles) per row, stored.
+
+    High and low name the set, fine is its point, coarse the point in the fewest groups.
+    """
 
-    @F.pandas_udf("n long, high long, low long, groups binary, shingles binary")
+    @F.pandas_udf("n long, high long, low long, coarse binary, fine binary, shingles binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for batch in batches:
@@ -177,8 +191,9 @@ def shingled(docs: DataFrame, text: str = "text") -> DataFrame:
                 hashes = shingle_set(t, known)
                 held = stored(hashes)
                 high, low = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64).tolist()
-                rows.append((len(hashes), high, low, point(loaded(held)).tobytes(), held))
-            yield pd.DataFrame(rows, columns=["n", "high", "low", "groups", "shingles"])
+                p = point(loaded(held))
+                rows.append((len(hashes), high, low, packed(folded(p, GROUPS[0])), packed(p), held))
+            yield pd.DataFrame(rows, columns=["n", "high", "low", "coarse", "fine", "shingles"])
 
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return cut(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", run(body).alias("s")).select("uid", "doc_id", "s.*"))
@@ -252,7 +267,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
     while True:
         keys, path = kept(_first(rows, hot))
         # cold keys are dealt once, for their counts and for the join; hot ones are counted before they meet
-        cold, late = (keys.where(c).select("key", "uid", "n") for c in ("not late", "late"))
+        cold, late = (keys.where(f"key is not null and {c}").select("key", "uid", "n") for c in ("not late", "late"))
         cold = cold.repartition("key")
         counts = [part.groupBy("key").agg(size, x, y).where("size > 1") for part in (cold, late)]
         single = counts[0].unionByName(counts[1]).groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
@@ -285,8 +300,8 @@ def may_link(p: np.ndarray, q: np.ndarray) -> bool:
 
 
 @F.pandas_udf(BooleanType())
-def _bound(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([may_link(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)) for x, y in zip(a, b, strict=True)], dtype=bool)
+def _bound(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([may_link(unpacked(x, i), unpacked(y, j)) for i, x, j, y in zip(n, a, m, b, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(BooleanType())
@@ -303,12 +318,12 @@ def hub_links(members: DataFrame, rows: DataFrame) -> DataFrame:
     )
     near = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("uid") != F.col("b"))
     pairs = cut(members.join(hubs, "key").where(near).select(F.col("uid").alias("a"), "b").distinct())
-    open_ = cut(_met(pairs, rows, ["groups"]).where(_bound("groups_a", "groups_b")).select("a", "b"))
+    open_ = cut(_met(pairs, rows, ["n", "fine"]).where(_bound("n_a", "fine_a", "n_b", "fine_b")).select("a", "b"))
     return cut(_met(open_, rows, ["shingles"]).where(_linked("shingles_a", "shingles_b")).select("a", "b"))
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """Members as (key, band, i, j, side, ...): part i of those outside the main class meets part j of all of like size.
+    """Members as (key, band, i, j, side, uid, n, label): part i of those outside the main class meets part j of all of like size.
 
     Blocks of up to ``CHUNK`` members are parted by the number of groups alone, larger ones by steps of a fifth.
     """
@@ -336,18 +351,20 @@ def _cells(members: DataFrame) -> DataFrame:
     }).drop("own", "other", "lefts", "rights", "outside", "size")
 
 
-def _by_task(rows: DataFrame, each: int) -> DataFrame:
-    """Rows with a number ``task`` that keeps a cell together, about ``each`` rows to a task."""
-    tasks = max(1, -(-rows.count() // each))
-    return rows.withColumn("task", F.pmod(F.xxhash64("key", "band", "i", "j"), F.lit(tasks)))
+def _dealt(members: DataFrame, payload: DataFrame, each: int):
+    """Members of the cells with their payload, grouped by tasks of about ``each`` rows that keep cells together."""
+    tasks = max(1, -(-2 * members.count() // each))
+    cells = _cells(members).withColumn("task", F.pmod(F.xxhash64("key", "band", "i", "j"), F.lit(tasks)))
+    wanted = payload.join(_few(cut(members.select("uid").distinct())), "uid", "left_semi")
+    return cells.join(wanted, "uid").groupBy("task")
 
 
-def _searched(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _searched(part: pd.DataFrame, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per cell of sorted rows the places of pairs of different classes that the tree could not rule out: left, right."""
     where = part[["key", "band", "i", "j"]].to_numpy()
     edges = np.r_[0, np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1, len(part)]
     side, label, n = (part[c].to_numpy() for c in ("side", "label", "n"))
-    points = [np.frombuffer(x, np.int32) for x in part["groups"]]
+    points = [unpacked(x, m) for x, m in zip(part[column], n.tolist(), strict=True)]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         middle = a + int(np.searchsorted(side[a:b], 1))
         if middle in (a, b):
@@ -364,13 +381,17 @@ def _in_order(part: pd.DataFrame) -> pd.DataFrame:
     return part.sort_values(["key", "band", "i", "j", "side", "label", "n", "uid"], kind="stable").reset_index(drop=True)
 
 
-def _candidates(part: pd.DataFrame) -> pd.DataFrame:
-    """Members of the cells of a task with a partner that may be linked."""
-    part = _in_order(part)
-    hit = np.zeros(len(part), bool)
-    for ask, found in _searched(part):
-        hit[ask] = hit[found] = True
-    return part.loc[hit, ["key", "uid"]].drop_duplicates()
+def _candidates(column: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Members of the cells of a task with a partner that, by this column's points, may be linked."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = _in_order(part)
+        hit = np.zeros(len(part), bool)
+        for ask, found in _searched(part, column):
+            hit[ask] = hit[found] = True
+        return part.loc[hit, ["key", "uid"]].drop_duplicates()
+
+    return run
 
 
 def _cell_links(part: pd.DataFrame) -> pd.DataFrame:
@@ -391,7 +412,7 @@ def _cell_links(part: pd.DataFrame) -> pd.DataFrame:
             sets[uid[at]] = loaded(held[at])
         return sets[uid[at]]
 
-    for ask, found in _searched(part):
+    for ask, found in _searched(part, "fine"):
         for i, j in zip(ask.tolist(), found.tolist(), strict=True):
             if find(label[i]) != find(label[j]) and linked(set_of(i), set_of(j)):
                 root[find(label[i])] = find(label[j])
@@ -400,16 +421,14 @@ def _cell_links(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def tree_links(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links between members of a block that are in different classes; ``members`` has key, uid, n, label, size (of the block) and outside."""
-    points = rows.select("uid", "groups").join(_few(cut(members.select("uid").distinct())), "uid", "left_semi")
-    dealt, path = kept(_cells(members.join(points, "uid")))
-    good = cut(_by_task(dealt, 20_000).groupBy("task").applyInPandas(_candidates, "key long, uid long").distinct())
-    dropped(rows.sparkSession, path)
-    sets = rows.select("uid", "groups", "shingles").join(_few(cut(good.select("uid").distinct())), "uid", "left_semi")
-    dealt, path = kept(_cells(members.join(good, ["key", "uid"]).join(sets, "uid")))
-    links = cut(_by_task(dealt, 2 * CHUNK).groupBy("task").applyInPandas(_cell_links, "a long, b long"))
-    dropped(rows.sparkSession, path)
-    return links
+    """Links between members of a block that are in different classes; ``members`` has key, uid, n, label, size (of the block) and outside.
+
+    Members are dealt three times: with coarse points, those left with fine ones, those left with their sets.
+    """
+    for column in ("coarse", "fine"):
+        found = _dealt(members, rows.select("uid", column), 20_000).applyInPandas(_candidates(column), "key long, uid long")
+        members = cut(members.join(found.distinct(), ["key", "uid"]))
+    return cut(_dealt(members, rows.select("uid", "fine", "shingles"), 2 * CHUNK).applyInPandas(_cell_links, "a long, b long"))
 
 
 def node_classes(nodes: DataFrame, rows: DataFrame) -> DataFrame:

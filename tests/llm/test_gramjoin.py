@@ -106,6 +106,9 @@ def test_bound_never_rules_out_a_link():
 def test_points_fold_to_points_of_fewer_groups():
     shingles = np.random.default_rng(3).choice(1 << 40, 5000, replace=False)
     assert len(g.point(shingles)) == g.groups_of(5000) == 2048
+    p = g.point(shingles)
+    assert (g.unpacked(g.packed(p), 5000) == p).all() and (g.unpacked(g.packed(g.folded(p, 64)), 5000) == g.folded(p, 64)).all()
+    assert (g.unpacked(g.packed(p * 99_999), 5000) == p * 99_999).all()
     assert (g.folded(g.point(shingles), 128) == np.bincount(shingles % 128, minlength=128)).all()
 
 
