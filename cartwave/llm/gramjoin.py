@@ -90,7 +90,9 @@ def shingle_set(text: bytes, known: dict) -> np.ndarray:
 
 def stored(hashes: np.ndarray) -> bytes:
     """The upper 40 bits of sorted hashes, in order."""
-    short = np.unique(hashes >> np.uint64(64 - 8 * WIDTH))
+    short = hashes >> np.uint64(64 - 8 * WIDTH)
+    if len(short) > 1:
+        short = short[np.concatenate([[True], short[1:] != short[:-1]])]
     return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
 
 
@@ -364,13 +366,14 @@ def _searched(part: pd.DataFrame, column: str) -> Iterator[tuple[np.ndarray, np.
     where = part[["key", "band", "i", "j"]].to_numpy()
     edges = np.r_[0, np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1, len(part)]
     side, label, n = (part[c].to_numpy() for c in ("side", "label", "n"))
-    points = [unpacked(x, m) for x, m in zip(part[column], n.tolist(), strict=True)]
+    held = part[column].tolist()
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         middle = a + int(np.searchsorted(side[a:b], 1))
         if middle in (a, b):
             continue
-        g = min(len(p) for p in points[a:b])
-        here = np.stack([folded(p, g) for p in points[a:b]])
+        points = [unpacked(held[i], int(n[i])) for i in range(a, b)]
+        g = min(map(len, points))
+        here = np.stack([folded(p, g) for p in points])
         ask, found = CountTree(here[middle - a :], n[middle:b]).search(here[: middle - a], n[a:middle])
         apart = label[a + ask] != label[middle + found]
         yield a + ask[apart], middle + found[apart]
@@ -425,8 +428,8 @@ def tree_links(members: DataFrame, rows: DataFrame) -> DataFrame:
 
     Members are dealt three times: with coarse points, those left with fine ones, those left with their sets.
     """
-    for column in ("coarse", "fine"):
-        found = _dealt(members, rows.select("uid", column), 20_000).applyInPandas(_candidates(column), "key long, uid long")
+    for column, each in (("coarse", 20_000), ("fine", 4 * CHUNK)):
+        found = _dealt(members, rows.select("uid", column), each).applyInPandas(_candidates(column), "key long, uid long")
         members = cut(members.join(found.distinct(), ["key", "uid"]))
     return cut(_dealt(members, rows.select("uid", "fine", "shingles"), 2 * CHUNK).applyInPandas(_cell_links, "a long, b long"))
 
