@@ -1,18 +1,19 @@
-"""AdaBoost as rounds of weighted Spark trees.
+"""AdaBoost: stumps for classes, rounds of weighted Spark trees for amounts.
 
-Only the row weights change between rounds.  They are written to the shared folder
+Of the trees only the row weights change between rounds.  They are written to the shared folder
 every few rounds, so the plan stays short and a lost executor re-reads them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import exp, log
+from math import log
 
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from cartwave.learners import multiclass as mc
 from cartwave.session import cut
 
 CUT_EVERY = 5
@@ -21,65 +22,40 @@ _TINY = 1e-10
 
 @dataclass
 class BoostedClassifierModel:
-    """Weighted vote of the rounds: ``score`` is their sum, prediction is 0 or 1."""
+    """Weighted vote of the stumps: ``score`` is their sum, prediction is 0 or 1."""
 
-    rounds: list
+    quantiles: mc.Quantiles
+    stumps: list[mc.Stump]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out, score = df, F.lit(0.0)
-        for i, (model, alpha) in enumerate(self.rounds):
-            name = f"_p{i}"
-            out = model.copy().setPredictionCol(name).setRawPredictionCol(f"_r{i}").setProbabilityCol(
-                f"_q{i}"
-            ).transform(out).drop(f"_r{i}", f"_q{i}")
-            score = score + F.lit(alpha) * (F.col(name) * 2 - 1)
+        out = df.withColumn("_x", vector_to_array("features"))
+        out = out.withColumn("_bins", self.quantiles.bins_of([F.col("_x")[i] for i in range(len(self.quantiles.cuts))]))
+        votes = [
+            F.when(F.col("_bins")[s.feature] <= s.bin, F.lit(s.alpha * (2 * s.left - 1))).otherwise(F.lit(s.alpha * (2 * s.right - 1)))
+            for s in self.stumps
+        ]
+        score = sum(votes, F.lit(0.0))
         out = out.withColumn("score", score).withColumn("prediction", (F.col("score") > 0).cast("double"))
-        return out.drop(*[f"_p{i}" for i in range(len(self.rounds))])
+        return out.drop("_x", "_bins")
 
 
 @dataclass
 class BoostedClassifier:
-    """Binary SAMME on decision stumps."""
+    """SAMME on decision stumps for a 0/1 target; features are cut at their quantiles.
+
+    Rows are binned and stored once; a round is one job that sums their weights per (feature, bin, class).
+    """
 
     rounds: int = 50
-    depth: int = 1
     learning_rate: float = 1.0
-    seed: int = 0
 
     def fit(self, df: DataFrame) -> BoostedClassifierModel:
-        rows = cut(df.select("features", "target").withColumn("_w", F.lit(1.0)))
-        done = []
-        for i in range(self.rounds):
-            tree = DecisionTreeClassifier(
-                labelCol="target", weightCol="_w", maxDepth=self.depth, seed=self.seed + i
-            ).fit(rows)
-            scored = tree.transform(rows).withColumn(
-                "_miss", (F.col("prediction") != F.col("target")).cast("double")
-            )
-            sums = scored.agg(
-                F.sum(F.col("_w") * F.col("_miss")).alias("miss"), F.sum("_w").alias("all")
-            ).first()
-            error = sums["miss"] / sums["all"]
-            if error >= 0.5:
-                break
-            alpha = self.learning_rate * log((1 - error + _TINY) / (error + _TINY))
-            done.append((tree, alpha))
-            if error <= _TINY:
-                break
-            # weights keep the sum 1 x rows, so they neither vanish nor explode
-            scale = sums["all"] / (sums["all"] - sums["miss"] + sums["miss"] * exp(alpha))
-            rows = scored.select(
-                "features",
-                "target",
-                (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss")) * F.lit(scale)).alias("_w"),
-            )
-            if (i + 1) % CUT_EVERY == 0:
-                rows = cut(rows)
-        if not done:
-            # no stump beats chance: fall back to one plain stump
-            tree = DecisionTreeClassifier(labelCol="target", maxDepth=self.depth).fit(df)
-            done.append((tree, 1.0))
-        return BoostedClassifierModel(done)
+        rows = cut(df.select(vector_to_array("features").alias("x"), F.col("target").cast("int").alias("class")))
+        first = rows.select(F.size("x").alias("n")).first()
+        features = [F.col("x")[i] for i in range(first["n"] if first else 0)]
+        quantiles = mc.quantiles_of(rows, features)
+        binned = cut(rows.select("class", quantiles.bins_of(features).alias("bins"), F.array(F.lit(True)).alias("trains")))
+        return BoostedClassifierModel(quantiles, mc.boost_stumps(binned, 2, 1, self.rounds, self.learning_rate)[0])
 
 
 @dataclass

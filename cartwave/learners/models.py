@@ -93,10 +93,8 @@ class Neighbours:
         return NeighbourModel(df, self.k, average if self.regress else vote)
 
 
-# number of boosting rounds and trees: the full settings, and a light set for
-# trial runs
+# fixed values: number of boosting rounds
 FULL = {"ada": 50, "gbt": 100, "ada_reg": 60}
-LIGHT = {"ada": 5, "gbt": 5, "ada_reg": 5}
 
 
 def classifiers(task: str = "user_brand", rounds: dict[str, int] = FULL) -> list[tuple[str, object]]:

@@ -55,6 +55,27 @@ def edges_of(rows: DataFrame, features: Sequence[str]) -> Edges:
     return Edges(tuple(found[: len(features)]), tuple(found[len(features) :]))
 
 
+@dataclass(frozen=True)
+class Quantiles:
+    """Up to 31 cuts of each feature at even shares of its rows; a value's bin is how many cuts lie below it."""
+
+    cuts: tuple[tuple[float, ...], ...]
+
+    def bins_of(self, features: Sequence):
+        def below(feature, cuts):
+            return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < feature)) if cuts else F.lit(0)
+
+        return F.array(*map(below, features, self.cuts))
+
+
+def quantiles_of(rows: DataFrame, features: Sequence) -> Quantiles:
+    shares = [i / BINS for i in range(1, BINS)]
+    found = rows.agg(*[F.percentile_approx(f, shares).alias(f"c{i}") for i, f in enumerate(features)]).first()
+    # nothing lies above the largest value
+    tops = rows.agg(*[F.max(f).alias(f"c{i}") for i, f in enumerate(features)]).first()
+    return Quantiles(tuple(tuple(sorted({c for c in cuts or () if c < top})) for cuts, top in zip(found, tops, strict=True)))
+
+
 def prepared(rows: DataFrame, features: Sequence[str], target: str, trains: Sequence, keep: Sequence[str] = ()) -> DataFrame:
     """(keep, class, bins, trains) stored; ``trains`` are boolean columns, one per split.  A null feature counts as its lowest value."""
     edges = edges_of(rows, features)

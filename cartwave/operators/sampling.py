@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cartwave.operators.ranking import take_smallest
+from cartwave.operators.ranking import sorted_runs, take_smallest
 
 # the first 8 hex digits of an md5 as a number
 HASH_RANGE = 1 << 32
@@ -100,3 +100,19 @@ def with_fold(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 78) ->
     """
     fold = F.floor(key_hash(keys, seed) * folds / F.lit(HASH_RANGE)).cast("int")
     return df.withColumn("fold", fold)
+
+
+def with_exact_fold(
+    df: DataFrame, keys: Sequence[str], folds: int, seed: int = 78, target: str = "target"
+) -> DataFrame:
+    """Add ``fold`` in 0..folds-1 so that each class's fold sizes differ by at most one.
+
+    A row's rank by hash within its class, modulo the folds.  Ranks of hashes come from refined buckets; only rows that share class and
+    hash are ordered by key, so no class meets in a window.  Rows of a null class have a null fold.
+    """
+    hashed = df.withColumn("_h", key_hash(keys, seed))
+    ranks = sorted_runs(hashed.where(F.col(target).isNotNull()), [target], "_h").select(target, "_h", "rank_from")
+    same = F.row_number().over(Window.partitionBy(target, "_h").orderBy(*keys)) - 1
+    placed = hashed.withColumn("_same", same).join(ranks, [target, "_h"], "left")
+    fold = F.pmod(F.col("rank_from") + F.col("_same"), F.lit(folds)).cast("int")
+    return placed.withColumn("fold", fold).select(*df.columns, "fold")

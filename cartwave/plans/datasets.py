@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from cartwave.functions.columns import zero_nulls
@@ -9,7 +11,7 @@ from cartwave.operators.cube import is_month_cube, month_cube, window_facts
 from cartwave.operators.joins import attach_label
 from cartwave.operators.labels import bought, spent
 from cartwave.plans.profiles import ENTITY, Profiles
-from cartwave.session import cut
+from cartwave.session import cut, delete
 from cartwave.sources.trade import in_months
 from cartwave.sources.windows import DATASETS, TEST_WINDOWS, WINDOWS, Window
 
@@ -91,18 +93,37 @@ def write_window(
         table.write.mode("overwrite").parquet(f"{path}/{DATASETS[name]}/window={window.name}")
 
 
+def update_cube(trade: DataFrame, path: str, months: Sequence[int]) -> DataFrame:
+    """The cube stored by month under ``path``, its ``months`` made anew from the log and all others left as they are.
+
+    Only these months' rows of the log are read.  A month without rows leaves no folder behind, an old one included.
+    """
+    spark = trade.sparkSession
+    fresh = cut(month_cube(in_months(trade, months)))
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{path}/cube")
+    held = {r["month"] for r in fresh.select("month").distinct().collect()}
+    for month in set(months) - held:
+        delete(spark, f"{path}/cube/month={month}")
+    return spark.read.schema(fresh.schema).parquet(f"{path}/cube")
+
+
 def write_all_windows(
     trade: DataFrame,
     path: str,
     windows: tuple[Window, ...] = WINDOWS + TEST_WINDOWS,
     names: tuple[str, ...] = tuple(DATASETS),
+    changed: Sequence[int] | None = None,
 ) -> None:
-    """The window driver: the log is read once into a cube stored by month, every dataset of every window from the cube."""
+    """The window driver: the log is read once into a cube stored by month, every dataset of every window from the cube.
+
+    With ``changed``, the months whose log rows are new, only these are aggregated and only windows that hold one are written again; the
+    others' tables of an earlier run stay.
+    """
     months = sorted({m for w in windows for m in months_of(w)})
-    month_cube(in_months(trade, months)).write.mode("overwrite").partitionBy("month").parquet(f"{path}/cube")
-    cube = trade.sparkSession.read.parquet(f"{path}/cube")
+    cube = update_cube(trade, path, months if changed is None else sorted(set(months) & set(changed)))
     for window in windows:
-        write_window(cube, window, path, names)
+        if changed is None or set(months_of(window)) & set(changed):
+            write_window(cube, window, path, names)
 
 
 def read_dataset(spark, path: str, name: str, window: Window) -> DataFrame:

@@ -115,6 +115,10 @@ def register(r: Registry) -> None:
         .groupBy("fold", "target").agg(F.count(F.lit(1)).alias("n")),
         f"{pair_label} SELECT CAST(('0x' || h)::BIGINT * 4 // 4294967296 AS BIGINT) AS fold, "
         "CAST(target AS BIGINT) AS target, count(*) AS n FROM hashed GROUP BY ALL")
+    add("smp5_exact_stratified_folds",
+        lambda t: sampling.with_exact_fold(labelled_pairs(t), PAIR, 4, seed=0),
+        f"{pair_label} SELECT user_id, brand_id, CAST(target AS BIGINT) AS target, CAST((row_number() OVER (PARTITION BY target "
+        "ORDER BY h, user_id, brand_id) - 1) % 4 AS BIGINT) AS fold FROM hashed")
     add("smp6_folds",
         lambda t: sampling.with_fold(monthly_users(t, TRAIN).select("user_id"), ["user_id"], 3),
         f" SELECT user_id, CAST(('0x' || {hashed('user_id', 78)})::BIGINT * 3 // 4294967296 AS BIGINT) AS fold "
@@ -315,7 +319,7 @@ def register(r: Registry) -> None:
     def classify(name, task="user_brand"):
         def run(t):
             train, test = buy_vectors(t, TRAIN), buy_vectors(t, TEST)
-            model = dict(ml.classifiers(task, ml.LIGHT))[name].fit(train)
+            model = dict(ml.classifiers(task))[name].fit(train)
             return model.transform(test).select("user_id", "target", "prediction")
         return run
 
@@ -379,7 +383,7 @@ def register(r: Registry) -> None:
         if stages == 2:
             nb = dict(ml.classifiers())["GaussianNB"].fit(buy_vectors(t, TRAIN))
             buys = nb.transform(buy_vectors(t, TEST)).select("user_id", "prediction")
-        board, _, _ = tr.rank_regressors(ml.regressors(ml.LIGHT), train, test, buys, parallelism=4)
+        board, _, _ = tr.rank_regressors(ml.regressors(), train, test, buys, parallelism=4)
         return board.drop("Time")
 
     add("ml10_spend_leaderboard", spend_board)
@@ -387,9 +391,7 @@ def register(r: Registry) -> None:
 
     def board(t):
         train, test = buy_vectors(t, TRAIN), buy_vectors(t, TEST)
-        models = [m for m in ml.classifiers("user", ml.LIGHT) if m[0] in (
-            "GaussianNB", "DecisionTreeClassifier", "RandomForestClassifier")]
-        out, _ = tr.rank_classifiers(models, train, test, ["user_id"], parallelism=4)
+        out, _ = tr.rank_classifiers(ml.classifiers("user"), train, test, ["user_id"], parallelism=4)
         return out.drop("Time")
 
     add("ml13_leaderboard", board)

@@ -14,7 +14,7 @@ from cartwave.registry.base import Registry, rounded, sql_double, sql_whole
 from cartwave.session import cut
 from cartwave.sources.reports import SLOTS, star_reports, star_stations
 
-SPLITS = 2
+SPLITS = 3
 SLOT_IDS = range(1, SLOTS + 1)
 POSITIONS = [f"{c}_{i}" for i in SLOT_IDS for c in ("Longitude", "Latitude")]
 
@@ -93,10 +93,10 @@ def register(r: Registry) -> None:
     add("geo1_haversine",
         lambda s, d: table_of(s, d).select("row_id", *[
             haversine(F.col("Latitude_m"), F.col("Longitude_m"),
-                      F.col(f"Latitude_{i}"), F.col(f"Longitude_{i}")).alias(f"metres_{i}") for i in (1, 2)]),
+                      F.col(f"Latitude_{i}"), F.col(f"Longitude_{i}")).alias(f"metres_{i}") for i in SLOT_IDS]),
         select(q.JOINED, ["row_id", *[
             sql_double(q.hav("Latitude_m", "Longitude_m", f"Latitude_{i}", f"Longitude_{i}"),
-                       f"metres_{i}", 3) for i in (1, 2)]], "joined"))
+                       f"metres_{i}", 3) for i in SLOT_IDS]], "joined"))
     add("geo2_grid_label",
         lambda s, d: st.with_cells(star_reports(s, d, slots=())).select("row_id", "Target"),
         select(q.GRID, ["row_id", f"{q.cell('Latitude', 'Longitude')} AS Target"], "reports, grid"))
@@ -273,16 +273,16 @@ def register(r: Registry) -> None:
 
     def concatenated(s, d):
         rows, _, errs = errors_of(s, d)
-        train = rows.where("is_test = 0 and split = 0").select(*STATION, "row_id")
+        train = rows.where("is_test = 0").select("split", *STATION, "row_id")
         best = pos.best_stations(cut(pos.station_medians(errs)))
-        return train.unionByName(train.join(best, STATION, "left_semi")).groupBy(*STATION).agg(
+        return train.unionByName(train.join(best, STATION, "left_semi")).groupBy("split", *STATION).agg(
             F.count(F.lit(1)).alias("n"))
 
     add("set1_concatenate_rows", concatenated,
-        f"WITH {ranked} SELECT RNCID_1, CellID_1, count(*) AS n FROM ("
-        "SELECT RNCID_1, CellID_1 FROM parts WHERE NOT is_test AND split = 0 UNION ALL "
-        "SELECT p.RNCID_1, p.CellID_1 FROM parts p JOIN best b ON b.RNCID_1 = p.RNCID_1 AND "
-        "b.CellID_1 = p.CellID_1 WHERE NOT is_test AND split = 0) GROUP BY RNCID_1, CellID_1")
+        f"WITH {ranked} SELECT CAST(split AS BIGINT) AS split, RNCID_1, CellID_1, count(*) AS n FROM ("
+        "SELECT split, RNCID_1, CellID_1 FROM parts WHERE NOT is_test UNION ALL "
+        "SELECT split, p.RNCID_1, p.CellID_1 FROM parts p JOIN best b ON b.RNCID_1 = p.RNCID_1 AND "
+        "b.CellID_1 = p.CellID_1 WHERE NOT is_test) GROUP BY split, RNCID_1, CellID_1")
 
     # cells: the main station's cell as a prediction of the record's cell
     def station_cell(s, d):

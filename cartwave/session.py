@@ -73,6 +73,12 @@ def _delete(jvm, conf, folder: str) -> None:
         pass  # the JVM has gone first
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, *even_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

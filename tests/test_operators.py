@@ -144,6 +144,17 @@ def test_splits_and_folds(spark):
     assert sorted(set(folds)) == [0, 1, 2, 3] and max(folds.count(f) for f in range(4)) < 1400
 
 
+def test_exact_folds_share_each_class_evenly(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BOUND", 40)
+    rows = [(i, i % 7, 1 if i % 10 == 0 else 0 if i % 11 else None) for i in range(1000)] + [(3, 3, 0)] * 5
+    df = spark.createDataFrame(rows, "a long, b int, target int").repartition(5)
+    got = sampling.with_exact_fold(df, ["a", "b"], 3)
+    assert got.columns == [*df.columns, "fold"] and got.count() == len(rows)
+    for target, sizes in ((t, [got.where((F.col("target") == t) & (F.col("fold") == f)).count() for f in range(3)]) for t in (0, 1)):
+        assert sum(sizes) == sum(r[2] == target for r in rows) and max(sizes) - min(sizes) <= 1
+    assert got.where("target is null and fold is not null").isEmpty()
+
+
 def test_metric_goldens(spark):
     pairs = [(1, 1)] * 3 + [(1, 0)] + [(0, 0)] * 4 + [(0, 1)] * 2
     df = spark.createDataFrame(pairs, "target int, prediction int")

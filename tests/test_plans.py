@@ -10,7 +10,7 @@ from cartwave.plans import positioning as pos
 from cartwave.plans import training as tr
 from cartwave.sources import store
 from cartwave.sources.trade import star_trade
-from cartwave.sources.windows import SCORE, TRAIN
+from cartwave.sources.windows import DATASETS, SCORE, TRAIN
 
 
 class Broken:
@@ -97,6 +97,28 @@ def test_all_windows_read_the_log_once(spark, sf_dir, tmp_path):
     assert ds.read_dataset(spark, str(tmp_path / "out"), "user_brand", TRAIN).count() > 0
 
 
+def test_new_months_alone_are_aggregated(spark, sf_dir, tmp_path):
+    """A second run over a log whose month 5 has changed: the result is that of a full run, from that month's rows alone."""
+    trade = star_trade(spark, sf_dir).where("month between 2 and 7")
+    changed = trade.where("month <> 5 or day % 3 > 0")
+    ds.write_all_windows(trade, str(tmp_path / "a"), windows=(TRAIN, SCORE), names=("user",))
+    ds.write_all_windows(changed, str(tmp_path / "b"), windows=(TRAIN, SCORE), names=("user",))
+    # rows of other months would spoil the cube if they were read
+    only = changed.withColumn("amt", F.when(F.col("month") == 5, F.col("amt")).otherwise(F.raise_error(F.lit("read")).cast("decimal(18,2)")))
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        write = ds.write_window
+        patch.setattr(ds, "write_window", lambda cube, window, *rest: (seen.append(window.name), write(cube, window, *rest)))
+        ds.write_all_windows(only, str(tmp_path / "a"), windows=(TRAIN, SCORE), names=("user",), changed=[5])
+    assert seen == [w.name for w in (TRAIN, SCORE) if 5 in ds.months_of(w)] and seen
+    for part in ("cube", f"{DATASETS['user']}/window={TRAIN.name}", f"{DATASETS['user']}/window={SCORE.name}"):
+        one, two = (spark.read.parquet(str(tmp_path / x / part)) for x in "ab")
+        assert one.columns == two.columns and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    # a month that has lost all its rows
+    ds.update_cube(changed.where("month <> 5"), str(tmp_path / "a"), [5])
+    assert spark.read.parquet(str(tmp_path / "a" / "cube")).where("month = 5").isEmpty()
+
+
 def test_read_or_build_builds_once(spark, tmp_path):
     calls = []
 
