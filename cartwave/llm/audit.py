@@ -10,8 +10,8 @@ Copies are found by compressed tries over whole texts:
    text, is made four times as long until it does not, so the key of a text is as long as its neighbourhood is dense.
 2. A task puts its rows into a trie, which leaves one entry per text and task: a text that holds a third of all rows crosses the
    network once per task.
-3. Entries are range-partitioned by key.  Each key's texts go to a trie whose terminals hold the smallest id; a traversal gives that id
-   with what was counted for it.  All other documents with the text are copies, so copies need not be listed.
+3. Entries are range-partitioned by key.  Each key's texts go to a trie whose terminals hold the smallest id; a traversal lists these ids.  All
+   other documents are copies, so copies need not be listed.
 
 A trie holds at most one bucket of different texts (tasks in step 2 hand theirs on at ``TRIE`` bytes), whatever the table's size.
 
@@ -22,14 +22,14 @@ empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartwave.llm.common import small_batches
 from cartwave.session import cut
 
 FILTERS = "ABCDE"
@@ -41,28 +41,28 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 class _Node:
-    __slots__ = ("label", "children", "least", "rows", "key", "mask")
+    __slots__ = ("label", "children", "least", "parts", "key")
 
     def __init__(self, label: bytes):
         self.label, self.children = label, {}
-        self.least = self.rows = self.key = self.mask = None
+        self.least = self.parts = self.key = None
 
 
 class TextTrie:
-    """A radix trie over byte strings; a terminal holds the smallest id put in and what was counted for rows with that id."""
+    """A radix trie over byte strings; a terminal holds the smallest id put in and the parts of the rows with that id."""
 
     def __init__(self):
         self.root, self.bytes = _Node(b""), 0  # bytes of all texts held
 
-    def put(self, text: bytes, least: int, rows: Counter, key: str = "", mask: int = 0) -> None:
+    def put(self, text: bytes, least: int, parts: Iterable[str], key: str = "") -> None:
         node = self._terminal(text)
         if node.least is None:
             self.bytes += len(text)
-            node.key, node.mask = key, mask
+            node.key = key
         if node.least is None or least < node.least:
-            node.least, node.rows = least, Counter(rows)
+            node.least, node.parts = least, set(parts)
         elif least == node.least:
-            node.rows.update(rows)
+            node.parts.update(parts)
 
     def _terminal(self, text: bytes) -> _Node:
         node, at = self.root, 0
@@ -159,48 +159,49 @@ def keyed(rows: DataFrame, tasks: int) -> DataFrame:
 
 
 def first_copies(rows: DataFrame) -> DataFrame:
-    """(doc_id, part, mask, n): the rows that hold the smallest id of their text; ``rows`` has text, doc_id, part and key."""
-    spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """(doc_id, part, name) of the rows that hold the smallest id of their text, once each; ``rows`` has text, doc_id, part and key."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def entries(trie: TextTrie) -> pd.DataFrame:
-        found = [(e.key, text, e.least, list(e.rows.items())) for text, e in trie.walk()]
-        return pd.DataFrame(found, columns=["key", "text", "least", "held"])
+        found = [(e.key, text, e.least, list(e.parts)) for text, e in trie.walk()]
+        return pd.DataFrame(found, columns=["key", "text", "least", "parts"])
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = TextTrie()
         for b in batches:
             for key, text, doc_id, part in zip(b["key"], b["text"], b["doc_id"], b["part"], strict=True):
-                trie.put(text, doc_id, Counter({part: 1}), key)
+                trie.put(text, doc_id, (part,), key)
                 if trie.bytes > TRIE:
                     yield entries(trie)
                     trie = TextTrie()
         yield entries(trie)
 
-    def firsts(trie: TextTrie) -> pd.DataFrame:
-        out = [(e.least, part, e.mask, n) for _, e in trie.walk() for part, n in e.rows.items()]
-        return pd.DataFrame(out, columns=["doc_id", "part", "mask", "n"])
-
     def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def firsts(trie: TextTrie) -> pd.DataFrame:
+            out = [(e.least, part, e.key) for _, e in trie.walk() for part in e.parts]
+            return pd.DataFrame(out, columns=["doc_id", "part", "name"])
+
         trie, now = TextTrie(), None
         for b in batches:
-            for key, text, doc_id, held, mask in zip(b["key"], b["text"], b["least"], b["held"], b["mask"], strict=True):
+            for key, text, doc_id, parts, name in zip(b["key"], b["text"], b["least"], b["parts"], b["name"], strict=True):
                 if key != now and trie.bytes > TRIE // 8:
                     yield firsts(trie)
                     trie = TextTrie()
                 now = key
-                trie.put(text, doc_id, Counter({h["part"]: h["n"] for h in held}), mask=mask)
+                trie.put(text, doc_id, parts, name)
         yield firsts(trie)
 
-    shape = "key string, text binary, least long, held array<struct<part: string, n: long>>"
+    shape = "key string, text binary, least long, parts array<string>"
     inside = rows.withColumn("text", F.col("text").cast("binary"))
-    combined = inside.mapInPandas(combine, shape).repartitionByRange(tasks, "key").sortWithinPartitions("key")
-    combined = combined.withColumn("mask", failures(F.col("text").cast("string")).cast("int"))
-    return combined.mapInPandas(least, "doc_id long, part string, mask int, n long")
+    dealt = inside.mapInPandas(combine, shape).repartitionByRange(tasks, "key").sortWithinPartitions("key")
+    return dealt.withColumn("name", F.xxhash64("text")).mapInPandas(least, "doc_id long, part string, name long")
 
 
 def masks(docs: DataFrame, labels: DataFrame, part: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, mask, good, toxic, n): documents by the filters they fail, all five, and by their labels."""
+    """(part, mask, good, toxic, n): documents by the filters they fail, all five, and by their labels.
+
+    A document is told from others of its id and part by a hash of its text.
+    """
     slim = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
@@ -209,27 +210,13 @@ def masks(docs: DataFrame, labels: DataFrame, part: str = "source", key: str = "
         F.max((F.coalesce("quality", F.lit(0)) == 1).cast("int")).alias("good"),
         F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias("toxic"),
     )
-    by = ["part", "mask", "good", "toxic"]
-
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.join(said, "doc_id", "left").fillna(0, ["good", "toxic"]).groupBy(*by).agg(F.sum("n").alias("n"))
-
-    marked = slim.withColumn("mask", failures(F.col("text")).cast("int"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = keyed(slim.where("doc_id is not null"), tasks)
-    every = counted(marked.select("doc_id", "part", "mask", F.lit(1).alias("n")))
-    nameless = marked.where("doc_id is null").groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"))
-    first = counted(first_copies(known)).unionByName(nameless.select("part", "mask", F.lit(0).alias("good"), F.lit(0).alias("toxic"), "n"))
-    both = every.select(*by, "n", F.lit(0).alias("first")).unionByName(first.select(*by, F.lit(0).alias("n"), F.col("n").alias("first")))
-    split = both.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("first").alias("first"))
-    halves = F.array(
-        F.struct(F.col("mask").alias("m"), F.col("first").alias("c")),
-        F.struct(F.col("mask").bitwiseOR(F.lit(COPY)).alias("m"), (F.col("n") - F.col("first")).alias("c")),
-    )
-    return (
-        split.select("part", "good", "toxic", F.explode(halves).alias("h"))
-        .select("part", F.col("h.m").alias("mask"), "good", "toxic", F.col("h.c").cast("long").alias("n"))
-    )
+    first = first_copies(keyed(slim.where("doc_id is not null"), tasks)).withColumn("first", F.lit(True))
+    marked = slim.select("doc_id", "part", failures(F.col("text")).alias("mask"), F.xxhash64(F.col("text").cast("binary")).alias("name"))
+    told = marked.join(first, ["doc_id", "part", "name"], "left").join(said, "doc_id", "left").fillna(0, ["good", "toxic"])
+    copy = F.when(F.col("first").isNull() & F.col("doc_id").isNotNull(), F.lit(COPY)).otherwise(F.lit(0))
+    mask = F.col("mask").bitwiseOR(copy).cast("int").alias("mask")
+    return told.groupBy("part", mask, "good", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
 def interactions(counts: DataFrame) -> DataFrame:
@@ -268,4 +255,6 @@ def interactions(counts: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame:
     """The interactions of the five filters over documents, per part."""
-    return interactions(cut(masks(docs, labels, part)))
+    with small_batches(docs.sparkSession):
+        counts = cut(masks(docs, labels, part))
+    return interactions(counts)
