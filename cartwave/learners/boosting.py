@@ -50,12 +50,19 @@ class BoostedClassifier:
     learning_rate: float = 1.0
 
     def fit(self, df: DataFrame) -> BoostedClassifierModel:
-        rows = cut(df.select(vector_to_array("features").alias("x"), F.col("target").cast("int").alias("class")))
+        return self._fit(df, [F.lit(True)])[0]
+
+    def fit_folds(self, df: DataFrame, folds: int) -> list[BoostedClassifierModel]:
+        """A model per ``fold``, of all other folds' rows, in the same jobs; cuts come from all rows, without their targets."""
+        return self._fit(df, [F.col("fold") != f for f in range(folds)])
+
+    def _fit(self, df: DataFrame, trains: list) -> list[BoostedClassifierModel]:
+        rows = cut(df.select(vector_to_array("features").alias("x"), F.col("target").cast("int").alias("class"), F.array(*trains).alias("trains")))
         first = rows.select(F.size("x").alias("n")).first()
         features = [F.col("x")[i] for i in range(first["n"] if first else 0)]
         quantiles = mc.quantiles_of(rows, features)
-        binned = cut(rows.select("class", quantiles.bins_of(features).alias("bins"), F.array(F.lit(True)).alias("trains")))
-        return BoostedClassifierModel(quantiles, mc.boost_stumps(binned, 2, 1, self.rounds, self.learning_rate)[0])
+        binned = cut(rows.select("class", quantiles.bins_of(features).alias("bins"), "trains"))
+        return [BoostedClassifierModel(quantiles, s) for s in mc.boost_stumps(binned, 2, len(trains), self.rounds, self.learning_rate)]
 
 
 @dataclass

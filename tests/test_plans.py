@@ -40,6 +40,19 @@ def test_leaderboard_names_problems_and_keeps_names(spark, vectors):
         assert sum(r.Correct_counts.values()) == r.Correct
 
 
+def test_folds_fitted_together_are_those_fitted_alone(vectors):
+    from cartwave.learners.boosting import BoostedClassifier
+    from cartwave.operators.sampling import with_fold
+
+    folded = with_fold(vectors, ["id"], 3)
+    together = BoostedClassifier(rounds=4).fit_folds(folded, 3)
+    for f, model in enumerate(together):
+        alone = BoostedClassifier(rounds=4)._fit(folded, [F.col("fold") != f])[0]
+        assert [(s.feature, s.bin, s.left, s.right) for s in model.stumps] == [(s.feature, s.bin, s.left, s.right) for s in alone.stumps]
+    scores = tr.cross_validate(BoostedClassifier(rounds=4), vectors, ["id"], 3)
+    assert scores["accuracy_mean"] > 0.95
+
+
 def test_grid_search_orders_by_score(vectors):
     got = tr.grid_search(ml.l1_logistic(0.5, 300), {"regParam": [0.001, 100.0]}, vectors, ["id"], folds=2).collect()
     assert len(got) == 2 and got[0].setting == "regParam=0.001" and got[0].score > got[1].score
