@@ -15,8 +15,9 @@ still begin more than ``HOT`` sets.  Within the block of a shingle:
 
 1. Every member meets the block's hub, its member with the largest blocks; that is one pair per member, however large the block.
 2. Blocks whose members are still in several classes are dealt by size (linked sets differ by a fifth at most) into cells of about ``CHUNK`` by
-   ``CHUNK``: members outside the block's main class search an R-tree of the others, the first time by points alone, then those that found
-   something with their sets; a cell leaves out pairs that its own links have joined.
+   ``CHUNK``: members outside the block's main class search an R-tree of the others, by coarse points, then by fine ones, then with their
+   sets; what the trees leave of a block goes on as groups of texts that may be linked, which many blocks share.  The last pass
+   leaves out pairs that its own links have joined.
 
 So no block is gathered in a task, none is capped, and each pair of different classes in a block is counted, ruled out by its
 bound, or joined by other links.  Shingles are compared by 40 bits of a 64-bit hash: a pair of sets of 20,000 has a chance of about one in
@@ -385,19 +386,50 @@ def _in_order(part: pd.DataFrame) -> pd.DataFrame:
     return part.sort_values(["key", "band", "i", "j", "side", "label", "n", "uid"], kind="stable").reset_index(drop=True)
 
 
+def _groups(uid: np.ndarray, ask: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Per row the smallest uid that pairs of rows reach, rows of one uid counting as one."""
+    ids, own = np.unique(uid, return_inverse=True)
+    group = np.arange(len(ids))
+    while True:
+        low = group.copy()
+        np.minimum.at(low, own[ask], group[own[found]])
+        np.minimum.at(low, own[found], group[own[ask]])
+        low = low[low]
+        if (low == group).all():
+            return ids[group][own]
+        group = low
+
+
 def _candidates(column: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Members of the cells of a task with a partner that, by this column's points, may be linked."""
+    """(key, uid): members of a task's cells that, by this column's points, may be linked, in groups named by their smallest uid.
+
+    Blocks that share documents find the same groups, so a document goes on once per group and not once per block.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = _in_order(part)
-        hit = np.zeros(len(part), bool)
+        uid = part["uid"].to_numpy()
+        keys, uids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for ask, found in _searched(part, column):
-            hit[ask] = hit[found] = True
-        return part.loc[hit, ["key", "uid"]].drop_duplicates()
+            if len(ask):
+                rows = np.unique(np.concatenate([ask, found]))
+                keys.append(_groups(uid[rows], np.searchsorted(rows, ask), np.searchsorted(rows, found)))
+                uids.append(uid[rows])
+        return pd.DataFrame({"key": np.concatenate(keys), "uid": np.concatenate(uids)}).drop_duplicates()
 
     return run
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """(key, uid, n, label, size, outside), stored: members of blocks of several classes; outside is who is not of the largest class."""
+    several = (
+        rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("key").agg(F.sum("rows").alias("size"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("rows", "label"))["label"].alias("main"))
+        .where("classes > 1").select("key", "size", "main")
+    )
+    return cut(rows.join(several, "key").select("key", "uid", "n", "label", "size", (F.col("label") != F.col("main")).alias("outside")))
+
+
 def _cell_links(part: pd.DataFrame) -> pd.DataFrame:
     part, out = _in_order(part), []
     label, uid, held = (part[c].tolist() for c in ("label", "uid", "shingles"))
@@ -429,9 +461,10 @@ def tree_links(members: DataFrame, rows: DataFrame) -> DataFrame:
 
     Members are dealt three times: with coarse points, those left with fine ones, those left with their sets.
     """
+    known = cut(members.select("uid", "n", "label").distinct())
     for column, each in (("coarse", 20_000), ("fine", 4 * CHUNK)):
         found = _dealt(members, rows.select("uid", column), each).applyInPandas(_candidates(column), "key long, uid long")
-        members = cut(members.join(found.distinct(), ["key", "uid"]))
+        members = _apart(cut(found.distinct()).join(_few(known), "uid"))
     return cut(_dealt(members, rows.select("uid", "fine", "shingles"), 2 * CHUNK).applyInPandas(_cell_links, "a long, b long"))
 
 
@@ -445,14 +478,9 @@ def node_classes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     labels = components(links)
     placed = (
         members.where("size > 2").join(labels.withColumnRenamed("node", "uid"), "uid", "left")
-        .select("key", "uid", "n", "size", F.coalesce("label", "uid").alias("label"))
-    )
-    several = (
-        placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
-        .groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("rows", "label"))["label"].alias("main"))
-        .where("classes > 1").select("key", "main")
+        .select("key", "uid", "n", F.coalesce("label", "uid").alias("label"))
     )
-    rest = cut(placed.join(several, "key").select("key", "uid", "n", "size", "label", (F.col("label") != F.col("main")).alias("outside")))
+    rest = _apart(placed)
     return components(links.union(tree_links(rest, rows)))
 
 

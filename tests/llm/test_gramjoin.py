@@ -103,6 +103,14 @@ def test_bound_never_rules_out_a_link():
         assert set(found.tolist()) <= exact
 
 
+def test_groups_are_components_of_pairs():
+    uid = np.array([9, 4, 7, 9, 5, 2, 8, 1])
+    got = g._groups(uid, np.array([0, 3, 5, 6]), np.array([1, 2, 4, 7]))
+    assert got.tolist() == [4, 4, 4, 4, 2, 2, 1, 1]
+    chain = np.arange(100)
+    assert set(g._groups(chain, chain[:-1], chain[1:])) == {0}
+
+
 def test_points_fold_to_points_of_fewer_groups():
     shingles = np.random.default_rng(3).choice(1 << 40, 5000, replace=False)
     assert len(g.point(shingles)) == g.groups_of(5000) == 2048
