@@ -36,6 +36,7 @@ from cartwave.operators.stations import MAIN, distinct_stations, with_absolute,
 from cartwave.session import cut
 
 OFFSETS = ("relative_latitude", "relative_longitude")
+# fixed values: parts of the names of columns that are no features
 NOT_FEATURES = ("AsuLevel", "SignalLevel", "RNCID", "CellID", "IMSI", "MRTime")
 TRUTH = ("row_id", "Latitude_m", "Longitude_m", "Target", *OFFSETS, "split", "is_test")
 # degrees to micro-degrees, so that sums of squares are not tiny
