@@ -101,10 +101,10 @@ def classifiers(task: str = "user_brand", rounds: dict[str, int] = FULL) -> list
     """The seven ranked classifiers with the settings of a task."""
     label = {"labelCol": "target", "seed": 6}
     if task == "user":
-        forest = Balanced(RandomForestClassifier(numTrees=35, **label))
+        forest = Balanced(RandomForestClassifier(numTrees=35, maxDepth=10, **label))
         tree, k = Balanced(DecisionTreeClassifier(maxDepth=10, **label)), 1
     else:
-        forest = RandomForestClassifier(numTrees=30, featureSubsetStrategy="log2", **label)
+        forest = RandomForestClassifier(numTrees=30, maxDepth=10, featureSubsetStrategy="log2", **label)
         tree, k = Balanced(DecisionTreeClassifier(maxDepth=10, **label)), 3
     return [
         ("RandomForestClassifier", forest),
@@ -134,7 +134,7 @@ def buy_models(rows: int) -> list[tuple[str, object]]:
         ("LR", l1_logistic(0.9, rows, balanced=True)),
         ("CART", Balanced(DecisionTreeClassifier(maxDepth=10, **label))),
         ("NB", NaiveBayes(modelType="gaussian", labelCol="target")),
-        ("RF", RandomForestClassifier(numTrees=10, **label)),
+        ("RF", RandomForestClassifier(numTrees=10, maxDepth=10, **label)),
     ]
 
 

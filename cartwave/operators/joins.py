@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -64,13 +66,16 @@ def spread_join(
         return left.join(F.broadcast(right), list(keys), how)
     # fewer than HOT_SHARE rows, whatever the data
     hot = cut(hot_keys(weights, keys))
-    if hot.isEmpty():
+    unknown = reduce(or_, [F.col(k).isNull() for k in keys])
+    if hot.isEmpty() and (how == "inner" or left.where(unknown).isEmpty()):
         return left.join(right, list(keys), how)
     hot = F.broadcast(hot)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
+    # rows of a null key meet nothing and are spread, as they may be many
+    spread = F.when(unknown, F.lit(HOT_SHARE)).otherwise(salts)
     salted_left = (
         left.join(hot, list(keys), "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), spread).cast("int"))
         .drop("_salts")
     )
     salted_right = (
