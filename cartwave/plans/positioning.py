@@ -328,7 +328,10 @@ def rank_cell_models(
     cells = cut(numbered_cells(table))
     classes = cells.count()
     vectors = VectorAssembler(inputCols=features, outputCol="features").transform(table).withColumnRenamed("Target", "cell")
-    known = cut(vectors.select("row_id", "Latitude_m", "Longitude_m", "cell", "features", *features).join(cells, "cell"))
+    known = vectors.select("row_id", "Latitude_m", "Longitude_m", "cell", "features", *features).join(cells, "cell")
+    # Spark's trees ask the column how many classes there are
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": classes}}
+    known = cut(known.withColumn("target", F.col("target").cast("double").alias("target", metadata=nominal)))
     truth = known.select("row_id", "Latitude_m", "Longitude_m", "cell")
     named = cells.select(F.col("target").alias("prediction"), F.col("cell").alias("pred_cell"))
     rows, errors = [], {}
