@@ -285,27 +285,24 @@ def blocks(nodes: DataFrame) -> DataFrame:
 
 def _met(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (a, b) with the columns of both; a ``b`` that many meet is copied, each copy for at most about ``CHUNK`` pairs."""
-    ids = cut(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct())
-    rows = rows.join(_few(ids), "uid", "left_semi")
-    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("copies"))
+    copies = cut(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("copies")))
+    asking = cut(pairs.select(F.col("a").alias("uid")).distinct())
+    hubs = rows.join(_few(copies.select(F.col("b").alias("uid"))), "uid", "left_semi")
     spread = (
-        rows.select("uid", *columns).join(copies, F.col("uid") == F.col("b"))
-        .select("b", *[F.col(c).alias(f"{c}_b") for c in columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+        hubs.select(F.col("uid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns]).join(_few(copies), "b")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
     )
-    mine = rows.select(F.col("uid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    dealt = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), "copies")).drop("copies")
+    mine = rows.join(_few(asking), "uid", "left_semi").select(F.col("uid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    dealt = pairs.join(_few(copies), "b").withColumn("copy", F.pmod(F.xxhash64("a"), "copies")).drop("copies")
     return dealt.join(mine, "a").join(spread, ["b", "copy"])
 
 
-def may_link(p: np.ndarray, q: np.ndarray) -> bool:
-    g = min(len(p), len(q))
-    p, q = folded(p, g), folded(q, g)
-    return bool(np.minimum(p, q).sum() >= least_shared(p.sum(), q.sum()))
-
-
 @F.pandas_udf(BooleanType())
 def _bound(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([may_link(unpacked(x, i), unpacked(y, j)) for i, x, j, y in zip(n, a, m, b, strict=True)], dtype=bool)
+    """Whether coarse points allow a link."""
+    return pd.Series([
+        int(np.minimum(unpacked(x, i), unpacked(y, j)).sum()) >= least_shared(i, j) for i, x, j, y in zip(n, a, m, b, strict=True)
+    ], dtype=bool)
 
 
 @F.pandas_udf(BooleanType())
@@ -322,7 +319,7 @@ def hub_links(members: DataFrame, rows: DataFrame) -> DataFrame:
     )
     near = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("uid") != F.col("b"))
     pairs = cut(members.join(hubs, "key").where(near).select(F.col("uid").alias("a"), "b").distinct())
-    open_ = cut(_met(pairs, rows, ["n", "fine"]).where(_bound("n_a", "fine_a", "n_b", "fine_b")).select("a", "b"))
+    open_ = cut(_met(pairs, rows, ["n", "coarse"]).where(_bound("n_a", "coarse_a", "n_b", "coarse_b")).select("a", "b"))
     return cut(_met(open_, rows, ["shingles"]).where(_linked("shingles_a", "shingles_b")).select("a", "b"))
 
 
