@@ -132,30 +132,33 @@ def failures(text: Column) -> Column:
 def keyed(rows: DataFrame, tasks: int) -> DataFrame:
     """Rows with ``key``, the prefix of their text that is long enough to keep their bucket small.
 
-    Prefixes that must grow are known by a hash, so their table is bounded: at most four per task and one per ``BUCKET`` bytes.  A clash of
-    hashes makes a key longer than it need be, no more.
+    Prefixes that must grow are known by a hash, so their lists are bounded: at most four per task and one per ``BUCKET`` bytes a round.  A
+    clash of hashes makes a key longer than it need be, no more.  A round reads only texts whose shorter prefix must grow, as no
+    other's can; the lists stand in the expression of the key, so no round joins the rows.
     """
     size = F.length(F.col("text").cast("binary")).cast("long")
     total = rows.agg(F.sum(size)).first()[0] or 0
     bound = max(1, min(BUCKET, total // (4 * tasks)))
-    length, open_ = PREFIX, rows.withColumn("key", F.substring("text", 1, PREFIX))
+    rounds: list[list[int]] = []  # hashes of the prefixes of PREFIX * 4 ** i characters that must grow
+    open_ = rows
     while True:
+        prefix = F.substring("text", 1, PREFIX * 4 ** len(rounds))
         heavy = (
-            open_.where(F.length("key") == length).groupBy("key")
+            open_.where(F.length(prefix) == PREFIX * 4 ** len(rounds)).groupBy(prefix.alias("key"))
             .agg(F.sum(size).alias("bytes"), F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
             .where((F.col("bytes") > bound) & (F.col("low") != F.col("high")))
             .select(F.xxhash64("key").alias("_heavy")).distinct()
         )
         found = [r[0] for r in heavy.collect()]
         if not found:
-            return open_
-        table = rows.sparkSession.createDataFrame([(h, True) for h in found], "_heavy long, _more boolean")
-        longer = F.when(F.col("_more") & (F.length("key") == length), F.substring("text", 1, 4 * length)).otherwise(F.col("key"))
-        open_ = (
-            open_.withColumn("_heavy", F.xxhash64("key")).join(F.broadcast(table), "_heavy", "left")
-            .withColumn("key", longer).drop("_heavy", "_more")
-        )
-        length *= 4
+            break
+        open_ = open_.where(F.xxhash64(prefix).isin(found))
+        rounds.append(found)
+    key = F.substring("text", 1, PREFIX * 4 ** len(rounds))
+    for i in reversed(range(len(rounds))):
+        prefix = F.substring("text", 1, PREFIX * 4**i)
+        key = F.when(F.xxhash64(prefix).isin(rounds[i]), key).otherwise(prefix)
+    return rows.withColumn("key", key)
 
 
 def first_copies(rows: DataFrame) -> DataFrame:

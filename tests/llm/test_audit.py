@@ -114,3 +114,12 @@ def test_keys_grow_where_texts_are_dense(spark):
         sizes[r["key"]] += len(r["text"])
     total = sum(len(t) for _, t in rows)
     assert sorted(sizes)[-1] == "hot hot hot hot " and all(n <= total / 32 for k, n in sizes.items() if not k.startswith("hot"))
+
+
+def test_deep_keys_join_no_rows(spark, capsys):
+    head = "a head that very many texts share, " * 8  # four rounds of longer prefixes
+    df = spark.createDataFrame([(i, head + f"{i:04d}" * 300) for i in range(200)] + [(900, "short"), (901, None)], "doc_id long, text string")
+    got = a.keyed(df.fillna("", ["text"]), 8)
+    assert {r["doc_id"]: len(r["key"]) for r in got.collect()} == {**dict.fromkeys(range(200), 1024), 900: 5, 901: 0}
+    got.explain()
+    assert "Join" not in capsys.readouterr().out
