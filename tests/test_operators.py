@@ -348,3 +348,19 @@ def test_read_reports_csv(spark, tmp_path):
     (tmp_path / "st.csv").write_text("RNCID,CellID,Longitude,Latitude\n15,7,121.1,31.1\n")
     assert tuple(read_stations_csv(spark, str(tmp_path / "st.csv")).first()) == (15, 7, 121.1, 31.1)
     assert math.isclose(row.Latitude, 31.2)
+
+
+def test_near_rows_are_chosen_before_they_are_sorted(monkeypatch):
+    """A block's exact distances are those of feature-wise sums, for the few rows that a matrix product leaves."""
+    rng, measured = np.random.default_rng(4), []
+    plain = nn._squares
+    monkeypatch.setattr(nn, "_squares", lambda a, b: measured.append(max(len(a), len(b))) or plain(a, b))
+    for scale, shift in ((1.0, 0.0), (1e-6, 3e4), (1e180, 0.0)):
+        known = np.vstack([rng.integers(0, 3, (200, 4)), rng.normal(size=(200, 4))]) * scale + shift
+        asked = np.vstack([rng.integers(0, 3, (60, 4)), rng.normal(size=(60, 4))]) * scale + shift
+        with np.errstate(over="ignore"):
+            d = plain(asked[:, None], known[None])
+            got = nn._least(asked, known, 5)
+        order = np.argsort(d, axis=1, kind="stable")[:, :5]
+        assert (got[1] == order).all() and (got[0] == np.take_along_axis(d, order, 1)).all()
+    assert measured[0] < 120 * 400 / 4
