@@ -1,22 +1,28 @@
 """One regression forest per group, all groups grown at once by aggregation.
 
-Trees grow level by level.  A level is one pass over the rows: every row walks to
-its node, contributes to a histogram per (group, tree, node, feature, bin), and the
-histograms give the best split of every open node of every group.  Histograms are
-sums, so a group that holds a third of the rows is combined on the map side like any
-other and is never gathered in one task.  No Python runs on the rows.
-
-Only the split table (groups x trees x 2^depth rows) is carried between levels; it
-is written to the shared folder each time, and the rows are read again from the
-binned table.
+Trees grow level by level: every row walks to its node, contributes to a histogram
+per (tree, node, feature, bin), and the histograms give the best split of every open
+node.
+
+A group of at most ``WHOLE_ROWS`` rows times trees is grown where its rows meet after
+one shuffle, all levels and trees at once; it is small by that bound, however many
+groups there are.  A larger group is never gathered in one task.  For those a level is
+one pass over their rows; histograms are sums, combined on the map side, and only the
+split table (groups x trees x 2^depth rows) is carried between levels; it is written
+to the shared folder each time, and the rows are read again from the binned table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from cartwave.operators.joins import spread_join
 from cartwave.session import cut
@@ -24,6 +30,9 @@ from cartwave.session import cut
 # a model table is broadcast only if its arrays together stay below this size
 BROADCAST_BYTES = 64_000_000
 
+# a group is grown in one task if its rows times the trees are no more than this
+WHOLE_ROWS = 200_000
+
 
 def _small_rows(trees: int, depth: int, outputs: int) -> int:
     """How many groups' models fit a broadcast; a model's size is fixed."""
@@ -119,23 +128,171 @@ def fit_grouped_forest(
         F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
         *[F.col(o).cast("double").alias(f"y{j}") for j, o in enumerate(outputs)],
     )
+    finite = [F.coalesce(F.abs(F.col(f"y{j}")) < float("inf"), F.lit(False)) for j in range(k)]
     # materialised once: the edges are needed by every join below
-    edges = cut(
+    known = cut(
         packed.groupBy(*groups).agg(
             F.array(*[F.min(F.col("_x")[i]) for i in range(len(features))]).alias("lo"),
             F.array(*[F.max(F.col("_x")[i]) for i in range(len(features))]).alias("hi"),
             F.count(F.lit(1)).alias("_rows"),
+            F.min(reduce(and_, finite)).alias("_finite"),
         )
     )
-    weights = edges.select(*groups, "_rows")
-    edges = edges.drop("_rows")
-    # read once per level, so it is stored evenly by row, whatever the group sizes
-    binned = cut(
-        spread_join(packed, edges, groups, [row_id], how="inner", weights=weights).select(
-            *groups, row_id, F.expr(_bin_sql(bins)).alias("_b"), *[f"y{j}" for j in range(k)]
-        ),
-        row_id,
+    whole = F.col("_finite") & (F.col("_rows") * trees <= WHOLE_ROWS) & F.lit(bool(features))
+    options = (groups, row_id, len(features), trees, depth, bins, k, feature_share, seed)
+    small, large = (known.where(c).drop("_finite") for c in (whole, ~whole))
+    parts = [grow(packed, some, *options) for grow, some in ((_grown_whole, small), (_grown_by_level, large)) if not some.isEmpty()]
+    model = reduce(DataFrame.unionByName, parts or [_grown_by_level(packed, large, *options)])
+    return GroupedForest(
+        cut(model),
+        groups, features, outputs, row_id, trees, depth, bins,
+    )
+
+
+def _binned(packed: DataFrame, known: DataFrame, groups: tuple[str, ...], row_id: str, bins: int) -> DataFrame:
+    """The rows of the known groups with the bins of their features."""
+    weights, edges = known.select(*groups, "_rows"), known.drop("_rows")
+    return (
+        spread_join(packed, edges, groups, [row_id], how="inner", weights=weights)
+        .withColumn("_b", F.expr(_bin_sql(bins)))
+        .drop("_x", "lo", "hi")
     )
+
+
+def _copies(row_id: str, tree: Column, seed: int) -> Column:
+    """How often a tree's bootstrap sample holds a row."""
+    u = F.pmod(F.xxhash64(F.lit(seed), tree, row_id), F.lit(1 << 20)) / float(1 << 20)
+    w = F.lit(len(POISSON))
+    for n in range(len(POISSON) - 1, -1, -1):
+        w = F.when(u < POISSON[n], n).otherwise(w)
+    return w.cast("double")
+
+
+# -- groups that fit a task --------------------------------------------------------
+
+
+def _grown_whole(
+    packed: DataFrame, known: DataFrame, groups: tuple[str, ...], row_id: str, nf: int,
+    trees: int, depth: int, bins: int, k: int, feature_share: float, seed: int,
+) -> DataFrame:
+    """Models of groups of bounded size: one shuffle brings the rows of a group together."""
+    size = (1 << depth) - 1
+    ys = [f"y{j}" for j in range(k)]
+    rows = _binned(packed, known, groups, row_id, bins).select(
+        *groups, "_b", F.array(*[_copies(row_id, F.lit(t), seed) for t in range(trees)]).alias("_w"), *ys
+    )
+    # the features that each node looks at are worked out once per group
+    node = ", ".join([
+        *[f"`{g}`" for g in groups], f"cast(i div {size * nf} as int)", f"cast(i div {nf} % {size} + 1 as int)", f"cast(i % {nf} as int)",
+    ])
+    looks = f"transform(sequence(0, {trees * size * nf - 1}), i -> pmod(xxhash64({seed + 1}, {node}), 1000) < {int(1000 * feature_share)})"
+    told = known.drop("_rows").withColumn("_looks", F.expr(looks))
+    kept = [*groups, "lo", "hi"]
+    means = [f"mean{j}" for j in range(k)]
+    schema = known.select(*kept).schema.add("codes", ArrayType(IntegerType()))
+    for name in means:
+        schema = schema.add(name, ArrayType(DoubleType()))
+
+    def flat(table: pa.Table, name: str, *shape: int) -> np.ndarray:
+        return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(*shape)
+
+    def grow(held: pa.Table, group: pa.Table) -> pa.Table:
+        out = group.select(kept)
+        lists = [[]] * (1 + k)
+        if held.num_rows and group.num_rows:
+            y = np.stack([held[c].to_numpy() for c in ys])
+            codes, found = grown_trees(
+                flat(held, "_b", -1, nf), flat(held, "_w", -1, trees), y, flat(group, "_looks", trees, size, nf), bins
+            )
+            lists = [pa.array(x, from_pandas=True) for x in (codes, *found)]
+        if not len(lists[0]) or lists[0].null_count == len(lists[0]):
+            out, lists = out.slice(0, 0), None
+        for i, (name, kind) in enumerate([("codes", pa.int32()), *[(m, pa.float64()) for m in means]]):
+            value = pa.array([], pa.list_(kind)) if lists is None else pa.ListArray.from_arrays([0, len(lists[i])], lists[i].cast(kind))
+            out = out.append_column(name, value)
+        return out
+
+    # growing costs far more than the bytes of a row suggest, so the number of parts is stated
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, told = (df.repartition(parts, *groups) for df in (rows, told))
+    return rows.groupBy(*groups).cogroup(told.groupBy(*groups)).applyInArrow(grow, schema)
+
+
+def grown_trees(
+    b: np.ndarray, w: np.ndarray, y: np.ndarray, looks: np.ndarray, bins: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Split codes and node means of one group's trees, NaN for none.
+
+    ``b`` has the bins (rows x features), ``w`` the copies (rows x trees), ``y`` the targets (outputs x rows) and ``looks`` the
+    features that a node looks at (trees x nodes x features).
+    """
+    trees, size, _ = looks.shape
+    codes, means = np.full((trees, size), np.nan), np.full((len(y), trees, 2 * size + 1), np.nan)
+    row, tree = np.nonzero(w > 0)
+    varies = np.flatnonzero(b.max(0) >= 0)
+    b, weight, node = b[row], w[row, tree], np.zeros(len(row), np.int64)
+    values = weight * y[:, row]
+    total = np.bincount(tree, weight, trees)
+    seen = total > 0
+    # every root needs its mean, also where nothing can be split
+    codes[seen, 0] = -1
+    for j, v in enumerate(values):
+        means[j, seen, 0] = np.bincount(tree, v, trees)[seen] / total[seen]
+    level, nv = 0, len(varies)
+    while (1 << level) <= size and nv:
+        first, wide = (1 << level) - 1, 1 << level
+        at = np.flatnonzero(node >= first)
+        if not len(at):
+            break
+        place = ((tree[at] * wide + node[at] - first)[:, None] * nv + np.arange(nv)) * bins + b[at][:, varies]
+        n, *sums = (
+            np.bincount(place.ravel(), np.repeat(v[at], nv), trees * wide * nv * bins).reshape(trees * wide, nv, bins) for v in (weight, *values)
+        )
+        left = n.cumsum(2)
+        all_ = left[..., -1:]
+        looked = looks[:, first : first + wide][..., varies].reshape(trees * wide, nv, 1)
+        if level == 0:
+            looked = looked | (varies == 0)[:, None]
+        # most cells are empty or not looked at: gains are worked out for the others alone
+        cell = np.nonzero((n > 0) & (all_ > left) & looked)
+        whole = (*cell[:2], -1)
+        nl, nt = left[cell], left[whole]
+        gain, sides = np.full(n.shape, -1.0), []
+        found = 0.0
+        for s in (s.cumsum(2) for s in sums):
+            sl, st = s[cell], s[whole]
+            found = found + (sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt)
+            sides.append(s)
+        gain[cell] = found
+        gain = gain.reshape(trees * wide, nv * bins)
+        best = gain.argmax(1)
+        split = np.flatnonzero(gain[np.arange(trees * wide), best] > 1e-9)
+        best, of, here = best[split], split // wide, split % wide + first
+        v, s = best // bins, best % bins
+        codes[of, here] = varies[v] * 64 + s
+        nl, nt = left[split, v, s], left[split, v, -1]
+        for j, x in enumerate(sides):
+            means[j, of, 2 * here + 1] = x[split, v, s] / nl
+            means[j, of, 2 * here + 2] = (x[split, v, -1] - x[split, v, s]) / (nt - nl)
+        code = codes[tree[at], node[at]]
+        go = at[code >= 0]
+        code = code[code >= 0].astype(np.int64)
+        node[go] = 2 * node[go] + 1 + (b[go, code >> 6] > (code & 63))
+        level += 1
+    return codes.ravel(), means.reshape(len(y), -1)
+
+
+# -- groups of any size, level by level --------------------------------------------
+
+
+def _grown_by_level(
+    packed: DataFrame, known: DataFrame, groups: tuple[str, ...], row_id: str, nf: int,
+    trees: int, depth: int, bins: int, k: int, feature_share: float, seed: int,
+) -> DataFrame:
+    """Models of groups of any size: each level sums histograms over all rows."""
+    weights, edges = known.select(*groups, "_rows"), known.drop("_rows")
+    # read once per level, so it is stored evenly by row, whatever the group sizes
+    binned = cut(_binned(packed, known, groups, row_id, bins), row_id)
     splits = None
     for level in range(depth):
         if splits is None:
@@ -148,13 +305,9 @@ def fit_grouped_forest(
         found = _best_splits(walked, groups, row_id, level, k, feature_share, seed)
         grown = cut(found if splits is None else splits.unionByName(found))
         splits = grown
-    model = _codes(splits, edges, groups, trees, depth).join(
+    return _codes(splits, edges, groups, trees, depth).join(
         _means(splits, groups, trees, depth, k), list(groups)
     )
-    return GroupedForest(
-        cut(model),
-        groups, features, outputs, row_id, trees, depth, bins,
-    )
 
 
 def _best_splits(
@@ -176,11 +329,7 @@ def _best_splits(
     per_tree = walked.select(
         *groups, row_id, "_b", *ys, F.posexplode("_node").alias("tree", "node")
     ).where(F.col("node") >= 1 << level)
-    u = F.pmod(F.xxhash64(F.lit(seed), "tree", row_id), F.lit(1 << 20)) / float(1 << 20)
-    w = F.lit(len(POISSON))
-    for n in range(len(POISSON) - 1, -1, -1):
-        w = F.when(u < POISSON[n], n).otherwise(w)
-    weighted = per_tree.withColumn("_w", w.cast("double")).where("_w > 0")
+    weighted = per_tree.withColumn("_w", _copies(row_id, F.col("tree"), seed)).where("_w > 0")
     pick = F.pmod(F.xxhash64(F.lit(seed + 1), *node, "f"), F.lit(1000))
     chosen = (F.col("bin") >= 0) & (pick < int(1000 * feature_share))
     if level == 0:

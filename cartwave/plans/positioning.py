@@ -227,7 +227,8 @@ def forest_errors(
     names = [f"pred_{o}" for o in OFFSETS]
     if lending is not None:
         donors, borrowers = (cut(d) for d in lending)
-        members = donors.unionByName(borrowers).dropDuplicates()
+        # a pool that nobody borrows from needs no forest
+        members = donors.join(borrowers.select("pool").distinct(), "pool", "left_semi").unionByName(borrowers).dropDuplicates()
         pooled = fit_grouped_forest(
             scaled.join(members, list(MAIN)), ["pool"], features, OFFSETS, "row_id", **options
         )
