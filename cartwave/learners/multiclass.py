@@ -22,6 +22,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +93,12 @@ def _arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
+def _matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of an Arrow batch that has rows, without an object per row."""
+    bins, trains = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("bins", "trains"))
+    return bins.astype(np.int64), batch.column("class").to_numpy(zero_copy_only=False).astype(np.int64), trains.astype(bool)
+
+
 # -- stumps ------------------------------------------------------------------------
 
 
@@ -116,6 +123,19 @@ def _weights(stumps: Sequence[Stump], bins: np.ndarray, classes: np.ndarray) ->
     return np.exp(np.maximum(power, -700))
 
 
+def cell_sums(bins: np.ndarray, own: np.ndarray, w: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the cells (feature, bin, class) that hold rows, in order, and the sums of the weights in them."""
+    nf = bins.shape[1]
+    if BINS * classes <= len(bins):
+        # fewer cells than rows: counted without sorting; no weight is zero
+        held = np.concatenate([np.bincount(b * classes + own, w, BINS * classes) for b in bins.T])
+        keys = np.flatnonzero(held)
+        return keys, held[keys]
+    place = (np.arange(nf) * BINS + bins) * classes + own[:, None]
+    keys, back = np.unique(place, return_inverse=True)
+    return keys, np.bincount(back.ravel(), np.repeat(w, nf))
+
+
 def best_stump(table: pd.DataFrame, classes: int) -> tuple[float, int, int, int, float]:
     """(gain, bin, left, right, error) of the best cut of one feature from its sums per (bin, class); no cut: all go left.
 
@@ -142,26 +162,24 @@ def stump_round(rows: DataFrame, classes: int, known: Sequence[Sequence[Stump]],
     """The best next stump of each open split, without its weight."""
     known, open_ = [list(k) for k in known], list(open_)
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, own, trains = _arrays(batch)
+            if not batch.num_rows:
+                continue
+            bins, own, trains = _matrices(batch)
             for s in open_:
-                at = trains[:, s] if len(own) else np.zeros(0, bool)
+                at = trains[:, s]
                 if not at.any():
                     continue
                 b, c = bins[at], own[at]
-                w = _weights(known[s], b, c)
-                place = (np.arange(b.shape[1]) * BINS + b) * classes + c[:, None]
-                keys, back = np.unique(place, return_inverse=True)
-                held = np.bincount(back.ravel(), np.repeat(w, b.shape[1]))
-                yield pd.DataFrame({
-                    "split": s, "feature": keys // classes // BINS, "bin": keys // classes % BINS, "class": keys % classes, "w": held,
-                }).astype({"split": "int32", "feature": "int32", "bin": "int32", "class": "int32"})
+                keys, held = cell_sums(b, c, _weights(known[s], b, c), classes)
+                whole = (np.full(len(keys), s), keys // classes // BINS, keys // classes % BINS, keys % classes)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in whole), pa.array(held)], ["split", "feature", "bin", "class", "w"])
 
     def best(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*key, *best_stump(table, classes))], columns=["split", "feature", "gain", "bin", "left", "right", "error"])
 
-    tables = rows.mapInPandas(sums, "split int, feature int, bin int, class int, w double")
+    tables = rows.select("class", "bins", "trains").mapInArrow(sums, "split int, feature int, bin int, class int, w double")
     found = (
         tables.groupBy("split", "feature", "bin", "class").agg(F.sum("w").alias("w"))
         .groupBy("split", "feature").applyInPandas(best, "split int, feature int, gain double, bin int, left int, right int, error double")

@@ -120,3 +120,16 @@ def test_one_class_and_no_rows(spark, data):
     empty = mc.boost_stumps(rows.limit(0), CLASSES, SPLITS, 5)
     assert empty == [[]] * SPLITS
     assert mc.predicted(rows.limit(0), [mc.stump_classes(m, CLASSES) for m in empty], "id").count() == 0
+
+
+def test_cells_of_few_classes_are_summed_without_sorting(monkeypatch):
+    """Every round sorted all bins of all rows."""
+    rng = np.random.default_rng(3)
+    bins, own, w = rng.integers(0, mc.BINS, (500, 7)), rng.integers(0, 2, 500), rng.random(500)
+    bins[:, 3] = 4
+    place = (np.arange(7) * mc.BINS + bins) * 2 + own[:, None]
+    expected, back = np.unique(place, return_inverse=True)
+    sums = np.bincount(back.ravel(), np.repeat(w, 7))
+    monkeypatch.setattr(mc.np, "unique", lambda *a, **k: pytest.fail("sorted"))
+    keys, held = mc.cell_sums(bins, own, w, 2)
+    assert (keys == expected).all() and (held == sums).all()
