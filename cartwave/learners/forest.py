@@ -261,7 +261,8 @@ def grown_trees(
         found = 0.0
         for s in (s.cumsum(2) for s in sums):
             sl, st = s[cell], s[whole]
-            found = found + (sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt)
+            # added in the order of the SQL below, so that equal gains are told apart in the same way
+            found = found + sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt
             sides.append(s)
         gain[cell] = found
         gain = gain.reshape(trees * wide, nv * bins)

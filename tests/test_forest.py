@@ -14,7 +14,7 @@ def _rows(spark, most=60):
         for _ in range(1 + g * most // 12):
             a, b = rng.randrange(9), rng.random()
             y = None if g == 7 and a == 3 else float(10 * (a > 3) + 4 * (b > 0.5) + rng.randrange(3))
-            rows.append((f"s{g}", g % 2, len(rows), float(a), b, None if g == 5 and a > 6 else 1.0 * a * a, 3.0, y, float(a - g)))
+            rows.append((f"s{g}", g % 2, len(rows), float(a), b, None if g == 5 and a > 6 else -float(a), 3.0, y, float(a - g)))
     rows += [(None, 1, len(rows) + i, 1.0, 1.0, 1.0, 3.0, 2.0, 2.0) for i in range(5)]
     return spark.createDataFrame(rows, "g string, h int, id long, a double, b double, c double, d double, y double, z double").repartition(4)
 
