@@ -6,9 +6,10 @@ import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -165,6 +166,21 @@ GRIDS = {
 }
 
 
+# bytes of vectors that a task passes over in one step of a model
+PART_BYTES = 128 << 20
+
+
+def in_few_parts(vectors: DataFrame, size: int = PART_BYTES) -> DataFrame:
+    """``vectors`` in parts of about ``size`` bytes, dense, or as they are if these are larger.
+
+    A model's step is one pass over all parts and a tree of sums over them, so small parts cost more than they save.
+    """
+    first = vectors.select("features").first()
+    if first is None:
+        return vectors
+    return vectors.coalesce(max(1, -(-vectors.count() * 8 * len(first["features"]) // size)))
+
+
 def grid_search(
     estimator,
     grid: dict[str, Sequence],
@@ -183,17 +199,24 @@ def grid_search(
         judge = BinaryClassificationEvaluator(labelCol="target", metricName=scoring)
     else:
         judge = RegressionEvaluator(labelCol="target", metricName=scoring)
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=judge,
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(cut(with_fold(train, keys, folds)))
+    folded = in_few_parts(cut(with_fold(train, keys, folds)))
+    for f in range(folds):
+        for kind, part in (("training", folded.where(F.col("fold") != f)), ("validation", folded.where(F.col("fold") == f))):
+            if part.isEmpty():
+                raise ValueError(f"The {kind} data at fold {f} is empty.")
+
+    def run(entry):
+        fold, setting = entry
+        model = estimator.fit(folded.where(F.col("fold") != fold), setting)
+        return judge.evaluate(model.transform(folded.where(F.col("fold") == fold), setting))
+
+    # the folds' models share the cluster too: a step of one is a short job that leaves most of it idle
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        every = [(f, m) for f in range(folds) for m in maps]
+        scores = np.reshape(list(pool.map(inheritable_thread_target(train.sparkSession)(run), every)), (folds, len(maps)))
     rows = [
         (", ".join(f"{p.name}={v}" for p, v in m.items()), float(avg), float(std))
-        for m, avg, std in zip(maps, search.avgMetrics, search.stdMetrics)
+        for m, avg, std in zip(maps, scores.mean(axis=0), scores.std(axis=0))
     ]
     order = F.col("score").desc() if judge.isLargerBetter() else F.col("score")
     return train.sparkSession.createDataFrame(

@@ -1,6 +1,10 @@
 """Training, tuning, windows and positioning plans."""
 
+import threading
+
 import pytest
+from pyspark.ml import Estimator, Transformer
+from pyspark.ml.param.shared import HasRegParam
 from pyspark.sql import functions as F
 
 from cartwave.learners import models as ml
@@ -58,6 +62,42 @@ def test_grid_search_orders_by_score(vectors):
     assert len(got) == 2 and got[0].setting == "regParam=0.001" and got[0].score > got[1].score
 
 
+class Waits(Estimator, HasRegParam):
+    """Fits only when ``fits`` fits have begun."""
+
+    def __init__(self, fits):
+        super().__init__()
+        self.barrier = threading.Barrier(fits)
+
+    def _fit(self, df):
+        self.barrier.wait(30)
+        return Constant()
+
+
+class Constant(Transformer):
+    def _transform(self, df):
+        return df.withColumn("rawPrediction", F.lit(0.5))
+
+
+def test_grid_search_fits_all_folds_at_once(vectors):
+    got = tr.grid_search(Waits(8), {"regParam": [0.1, 0.2]}, vectors, ["id"], folds=4).collect()
+    assert [(r.setting, r.score, r.deviation) for r in got] == [("regParam=0.1", 0.5, 0.0), ("regParam=0.2", 0.5, 0.0)]
+
+
+def test_grid_search_names_an_empty_fold(vectors):
+    with pytest.raises(ValueError, match="data at fold 0 is empty"):
+        tr.grid_search(ml.l1_logistic(0.5, 1), {"regParam": [0.1]}, vectors.where("id = 1"), ["id"], folds=2)
+
+
+def test_vectors_are_gathered_in_few_parts(vectors):
+    many = vectors.repartition(12)
+    few = tr.in_few_parts(many)
+    assert few.rdd.getNumPartitions() == 1 and sorted(few.collect()) == sorted(many.collect())
+    assert tr.in_few_parts(many, 300 * 16 // 3).rdd.getNumPartitions() == 3
+    assert tr.in_few_parts(many, 16).rdd.getNumPartitions() == 12
+    assert tr.in_few_parts(many.where("id < 0")).count() == 0
+
+
 def test_neighbour_settings_are_searched(vectors):
     got = tr.search_settings([(f"k={k}", ml.Neighbours(k)) for k in (1, 3)], vectors, ["id"], folds=2).collect()
     assert {r.setting for r in got} == {"k=1", "k=3"} and all(r.score > 0.7 for r in got)
