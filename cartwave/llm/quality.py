@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwave.llm.common import training_labels
+from cartwave.llm.common import small_batches, training_labels
+from cartwave.session import cut
 
 BITS = 18
 MAX_ROWS = 20_000  # bound of the training sample
@@ -147,5 +148,8 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text") -> Column:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents scored at ``threshold`` or more, with their own columns."""
-    return docs.where(score(docs, train(docs, labels)) >= F.lit(threshold))
+    """The documents scored at ``threshold`` or more, stored, with their own columns."""
+    found = docs.where(score(docs, train(docs, labels)) >= F.lit(threshold))
+    # whole texts go to Python
+    with small_batches(docs.sparkSession):
+        return cut(found)

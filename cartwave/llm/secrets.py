@@ -27,6 +27,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartwave.llm.common import small_batches
+from cartwave.session import cut
+
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 1 << 24
 MASK = "[SECRET]"
@@ -274,7 +277,7 @@ def masked(text: str, where: list[Span]) -> str:
 
 
 def without_secrets(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
-    """The documents with their secrets masked and ``size`` counted anew where the text changed; null texts stay null."""
+    """The documents, stored, with their secrets masked and ``size`` counted anew where the text changed; null texts stay null."""
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -283,6 +286,9 @@ def without_secrets(docs: DataFrame, text: str = "text", size: str = "n_chars")
 
     out = docs.withColumn("_clean", clean(F.col(text)))
     changed = ~F.col(text).eqNullSafe(F.col("_clean"))
-    return out.withColumns({
+    out = out.withColumns({
         size: F.when(changed, F.length("_clean").cast("long")).otherwise(F.col(size)), text: F.col("_clean"),
     }).drop("_clean")
+    # whole texts go to Python and come back
+    with small_batches(docs.sparkSession):
+        return cut(out)

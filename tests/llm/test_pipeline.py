@@ -98,3 +98,15 @@ def test_run_is_the_stages(spark, stored):
     got = cp.run(spark, SF)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, stored["packing"][1].select(key).collect()))
+
+
+@pytest.mark.parametrize("module, name", [(quality, "quality"), (secrets, "secrets")])
+def test_texts_reach_python_in_small_batches(spark, stored, monkeypatch, module, name):
+    """A stage's texts cross in few rows at once, so that an executor's memory does not hold thousands of them twice."""
+    rows, used = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    real, before = module.cut, spark.conf.get(rows)
+    monkeypatch.setattr(module, "cut", lambda df: used.append(int(spark.conf.get(rows))) or real(df))
+    got = dict(cp.STAGES)[name](spark, stored[name][0], SF)
+    assert used == [1000] and spark.conf.get(rows) == before
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().toString()
+    assert texts(got) == texts(stored[name][1])
